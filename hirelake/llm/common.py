@@ -46,6 +46,8 @@ def text_or_empty(col: str = "text") -> Column:
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Separators for words of letters only: every ASCII byte that is not a letter.
+NOT_LETTER = np.array([b < 128 and not chr(b).isalpha() for b in range(256)])
 _P = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _CHUNK = 1 << 20
@@ -73,8 +75,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0][:n], _POW[1][:n]
 
 
-def _hashes(b: np.ndarray) -> np.ndarray:
-    word = ~_SPACE[b]
+def _hashes(b: np.ndarray, space: np.ndarray) -> np.ndarray:
+    word = ~space[b]
     if not word.any():
         return np.empty(0, np.uint64)
     edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
@@ -84,18 +86,18 @@ def _hashes(b: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[start]) * inverse[start])
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash per word, in order; words are runs of anything but space and 0x09-0x0D, in lower case."""
+def word_hashes(text: str | None, space: np.ndarray = _SPACE) -> np.ndarray:
+    """One 64-bit hash per word, in order; words are runs of bytes other than `space` (white space), in lower case."""
     b = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
     if len(b) <= _CHUNK:
-        return _hashes(b)
+        return _hashes(b, space)
     out, at = [], 0
     while at < len(b):
         end = min(at + _CHUNK, len(b))
-        while end < len(b) and not _SPACE[b[end]]:
-            gap = np.flatnonzero(_SPACE[b[end : end + _CHUNK]])
+        while end < len(b) and not space[b[end]]:
+            gap = np.flatnonzero(space[b[end : end + _CHUNK]])
             end = end + int(gap[0]) if len(gap) else min(end + _CHUNK, len(b))
-        out.append(_hashes(b[at:end]))
+        out.append(_hashes(b[at:end], space))
         at = end
     return np.concatenate(out)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard_join, mixing, secrets, sharding
+from . import embedding_links, fingerprints, jaccard_join, language, mixing, pieces, pii, secrets, sharding, toxicity
 from .common import documents
 
 
@@ -14,14 +14,34 @@ def op1_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir))
+
+
+def op4_binary_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "kept")
 
 
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(documents(spark, sf_dir))
 
 
+def op8_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir))
+
+
 def op9_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).drop("tie", "judged")
 
