@@ -82,15 +82,14 @@ def with_next(docs: DataFrame, order: str, tie: str, carried: list[str], per_buc
     ahead = _literal([before.get(b) for b in range(len(bounds) + 1)], "bigint")
     guest = F.when(F.get(first, F.col("_bucket")) == F.col("_at"), F.get(ahead, F.col("_bucket")).cast("int"))
     homes = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g")), F.when(guest.isNotNull(), F.struct(guest.alias("b"), F.lit(1).alias("g")))))
-    dealt = docs.withColumn("_home", F.explode(homes))
-    w = W.Window.partitionBy("_home.b").orderBy(F.col("_home.g"), F.col("_at").desc(), F.col(tie).desc())
-    for c in carried:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(w))
-    return dealt.filter("_home.g = 0").drop("_home", "_bucket", "_at")
+    dealt = docs.withColumn("_home", F.explode(homes)).withColumn("_b", F.col("_home.b")).withColumn("_g", F.col("_home.g")).drop("_home", "_bucket")
+    w = W.Window.partitionBy("_b").orderBy("_g", F.col("_at").desc(), F.col(tie).desc())
+    dealt = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
+    return dealt.filter("_g = 0").drop("_b", "_g", "_at")
 
 
 def _literal(values: list, kind: str) -> Column:
-    return F.expr("array(" + ",".join("null" if v is None else f"{v}L" for v in values) + f")").cast(f"array<{kind}>")
+    return F.expr("array(" + ",".join("null" if v is None else f"{v}L" for v in values) + ")").cast(f"array<{kind}>")
 
 
 def _bounds_up_to(at: Column, bounds: list[int]) -> Column:
