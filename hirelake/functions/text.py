@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UNIT = "\u001f"
 TOKEN = "[^a-z0-9]+"
@@ -23,13 +24,13 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha1(F.concat_ws(UNIT, *[normalize_part(p) for p in parts]))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     """Unicode compatibility form and case folding, which Spark has no function for."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """All named and numeric character references, up to three layers deep."""
 
@@ -64,7 +65,7 @@ def strip_tags(c: Column) -> Column:
     c = F.regexp_replace(c, "(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|table|section|article)[^>]*>", "\n")
     c = F.regexp_replace(c, "<[^>]+>", " ")
     c = F.regexp_replace(c, "[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(c, "( ?\n ?)+", "\n"))
+    return F.btrim(F.regexp_replace(c, "( ?\n ?)+", "\n"), F.lit(" \n"))
 
 
 def url_host(c: Column) -> Column:
