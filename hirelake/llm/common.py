@@ -129,6 +129,13 @@ def digest(words: np.ndarray) -> bytes:
     return np.array(out, np.uint64).tobytes()
 
 
+def slices(batches, rows: int = 256):
+    """The same record batches in parts of at most `rows` rows, so that Python objects exist for a few rows at a time."""
+    for rb in batches:
+        for at in range(0, rb.num_rows, rows):
+            yield rb.slice(at, rows)
+
+
 # --- groups read as a sorted stream -----------------------------------------------------------
 
 

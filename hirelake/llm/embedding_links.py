@@ -114,7 +114,7 @@ def _link(threshold: float, confidence: float):
             bits = np.frombuffer(b"".join(group["code"]), np.uint8).reshape(m, -1)
             numbers = np.frombuffer(b"".join(group["numbers"]), np.uint32).reshape(m, -1)[:, :band]
             corr, block, weight = group["corr"].to_numpy(), group["block"].to_numpy(), group["weight"].to_numpy()
-            two = len(np.unique(block)) == 2
+            two = bool(group["cross"].iloc[0])
             turned = unit @ rotation(dim)
             links, root = np.zeros(m, np.int64), np.arange(m)
 

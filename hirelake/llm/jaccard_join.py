@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, digest, mix, runs, shingles, word_hashes
+from .common import cut, digest, mix, runs, shingles, slices, word_hashes
 from .graph import components
 
 HASHES, ROWS, BANDS = 64, 3, 21
@@ -67,7 +67,7 @@ def spanning_edges(sig: np.ndarray, bars: list[tuple[int, int]]) -> list[tuple[i
 
 
 def _sketch(batches):
-    for rb in batches:
+    for rb in slices(batches):
         rid, text = rb.column("rid"), rb.column("text").to_pylist()
         key, n, sig, bands = [], [], [], []
         for t in text:
@@ -106,7 +106,7 @@ def _candidates(bars):
     return run
 
 
-def _overlaps(sets: list[np.ndarray], cross: np.ndarray | None) -> np.ndarray:
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted sets; shingles that only one set has play no part."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -147,10 +147,11 @@ def _verify(threshold: float):
                 linked = np.zeros((2, 2), bool)
                 linked[0, 1] = linked[1, 0] = both >= threshold * (size.sum() - both) - 1e-9
             else:
-                both = _overlaps(sets, None)
-                linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-3 / (1 + both)
+                both = _overlaps(sets)
+                both = both.astype(np.float64)
+                linked = both >= threshold * (size[:, None] + size[None, :] - both) - 1e-6
                 np.fill_diagonal(linked, False)
-            if len(np.unique(block)) == 2:  # of two blocks, pairs within one are counted where it stands alone
+            if group["cross"].iloc[0]:  # pairs within one block are counted where it stands alone
                 linked &= block[:, None] != block[None, :]
             links = linked @ weight
             root = np.arange(len(keys))
@@ -179,12 +180,13 @@ def _verify(threshold: float):
 def _blocks(df: DataFrame, size, width: int, *group: str) -> DataFrame:
     """Deal the members of each group into blocks of about `width` rows and pair every two blocks of a group.
 
-    Column g numbers the pair; a group of one block has the single pair 0. No pair of members is missed.
+    Column g numbers the pair, cross tells two different blocks from one with itself. No pair of members is missed, and
+    each stands in one pair of blocks: within a block where cross is false, else across.
     """
     nb = F.ceil(size / F.lit(width)).cast("int")
     block = F.pmod(F.xxhash64("key"), nb).cast("int")
     df = df.withColumn("nb", nb).withColumn("block", block)
-    return df.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("g", F.least("x", "block") * F.col("nb") + F.greatest("x", "block")).drop("x", "nb")
+    return df.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("g", F.least("x", "block") * F.col("nb") + F.greatest("x", "block")).withColumn("cross", F.col("x") != F.col("block")).drop("x", "nb")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, bucket: int = 4096, block: int = 512) -> DataFrame:
@@ -219,7 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     sizes = cluster.groupBy("comp").agg(F.count("*").alias("m"))
     part = cluster.join(sizes, "comp").join(classes.select("key", "rep", "weight"), "key")
     part = part.join(slim.select(F.col("rid").alias("rep"), "text"), "rep").select("comp", "m", "key", "weight", "text")
-    part = _blocks(part, F.col("m"), block, "comp").select("comp", "g", "key", "weight", "block", "text")
+    part = _blocks(part, F.col("m"), block, "comp").select("comp", "g", "cross", "key", "weight", "block", "text")
     found = part.repartition("comp", "g").sortWithinPartitions("comp", "g").mapInArrow(_verify(threshold), "key binary, links long, root binary")
     found = cut(found, "links")
     label = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "label")

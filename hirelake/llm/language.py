@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold3
+from .common import fold3, slices
 
 BITS, UNIT, PIECE = 16, 4, 1 << 20
 _FOLD: list[np.ndarray] = []
@@ -187,7 +187,7 @@ def infer(texts: list[str], model: Model, penalty: float = 6.0, rounds: int = 12
 
 def _predict(model: Model):
     def run(batches):
-        for rb in batches:
+        for rb in slices(batches, 512):
             found = infer([t or "" for t in rb.column("text").to_pylist()], model)
             columns = [rb.column(c) for c in rb.schema.names if c != "text"]
             shares = ["".join(f",{x}:{s:.4f}" for x, s in zip(model.langs, f[2], strict=True) if s > 0)[1:] for f in found]
@@ -215,7 +215,7 @@ def accept(docs: DataFrame, least: float = 0.0) -> DataFrame:
     model = fit(docs)
 
     def run(batches):
-        for rb in batches:
+        for rb in slices(batches, 512):
             found = infer([t or "" for t in rb.column("text").to_pylist()], model)
             rb = rb.set_column(rb.schema.get_field_index("lang"), "lang", pa.array([f[0] for f in found], pa.string()))
             yield rb.filter(pa.array([f[0] != "und" and f[1] >= least for f in found], pa.bool_()))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_LETTER, cut, fold3, word_hashes
+from .common import NOT_LETTER, cut, fold3, slices, word_hashes
 
 #: Groups of identity terms that may stand for one another. Fixed values.
 IDENTITY = [
@@ -35,7 +35,7 @@ def swapped(text: str) -> str | None:
 
 
 def _labelled(batches):
-    for rb in batches:
+    for rb in slices(batches):
         own, other = [], []
         for text in rb.column("text").to_pylist():
             own.append(words(text).tolist())
@@ -95,12 +95,12 @@ def learn(own: list[list[int]], other: list[list[int] | None], y: np.ndarray, vo
     return Model(vocabulary, w, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, most_labels: int = 1_000_000, fairness: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, most_labels: int = 200_000, fairness: float = 1.0) -> Model:
     """Learn from labelled rows whose fold is not 1.
 
     The labels are broadcast when they are at most `most_labels` rows, else joined by a shuffle. How many documents of
     either label hold each word is counted over all labelled rows, in Spark; the `vocabulary` words that set the labels
-    apart most are kept; the weights are fitted on at most `sample` rows, those of least hash.
+    apart most are kept; the weights are fitted on at most `sample` rows, one for each cell of the rows' hash.
     """
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.filter((fold3() != 1) & F.col("doc_id").isNotNull())
@@ -117,13 +117,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     chosen = seen.filter("a >= 3").withColumn("z", z).filter("z >= 3").orderBy(F.desc("z"), "word").limit(vocabulary).collect()
     words_ = np.sort(np.array([r["word"] for r in chosen], np.int32))
     lit = F.array(*[F.lit(int(x)) for x in words_]) if len(words_) else F.array().cast("array<int>")
-    slim = rows.orderBy("mark").limit(sample).select("toxic", F.array_intersect("words", lit).alias("w"), F.array_intersect("swapped", lit).alias("s")).collect()
+    own = F.struct("toxic", F.array_intersect("words", lit).alias("w"), F.array_intersect("swapped", lit).alias("s"))
+    slim = rows.groupBy(F.pmod("mark", F.lit(sample)).alias("cell")).agg(F.min_by(own, "mark").alias("x")).select("x.*").collect()
     return learn([r["w"] for r in slim], [r["s"] for r in slim], np.array([r["toxic"] for r in slim], np.float64), words_, fairness)
 
 
 def _scores(model: Model, cut_at: float):
     def run(batches):
-        for rb in batches:
+        for rb in slices(batches):
             s = [model.score(t or "") for t in rb.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("held_out"), pa.array(s, pa.float64()), pa.array([int(x >= cut_at) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
