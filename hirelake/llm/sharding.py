@@ -45,8 +45,8 @@ def _leaves(node: Node) -> list[Node]:
     return [node] if node.low is None else _leaves(node.low) + _leaves(node.high)
 
 
-def _div(a: Column, step: int) -> Column:
-    return ((a - F.pmod(a, F.lit(step))) / F.lit(step)).cast("int")
+def _bin(axis: str, lo: int, step: int) -> Column:
+    return F.expr(f"cast(({axis} - {lo}L) div {step}L as int)")
 
 
 def _medians(rows: DataFrame, tree: Node, axes: list[str], todo: list[Node], slack: float) -> None:
@@ -74,7 +74,7 @@ def _medians(rows: DataFrame, tree: Node, axes: list[str], todo: list[Node], sla
         for first, (node, lo, hi, *_) in open_.items():
             a = F.col(axes[node.axis])
             hit = (F.col("leaf") == first) & (a >= lo) & (a < hi)
-            cases = (F if cases is None else cases).when(hit, _div(a - lo, max(1, -(-(hi - lo) // BINS))))
+            cases = (F if cases is None else cases).when(hit, _bin(axes[node.axis], lo, max(1, -(-(hi - lo) // BINS))))
         held = rows.withColumn("leaf", _leaf(tree, axes)).withColumn("bin", cases).filter("bin is not null")
         sums: dict[int, dict[int, tuple[int, int]]] = {}
         for r in held.groupBy("leaf", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect():
@@ -86,6 +86,8 @@ def _medians(rows: DataFrame, tree: Node, axes: list[str], todo: list[Node], sla
                 if below + w >= goal:
                     break
                 below += w
+            else:
+                below -= w
             start, end = lo + k * step, min(hi, lo + (k + 1) * step)
             if w <= most or step == 1 or n == 1:  # the nearer edge of the bin
                 node.at = start if goal - below <= below + w - goal else end
