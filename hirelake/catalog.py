@@ -38,7 +38,7 @@ def query(covers: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from .plans import ingest, listing, scoring, texts, timelines  # noqa: F401
+    from .plans import ingest, listing, payloads, scoring, texts, timelines  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
