@@ -11,16 +11,21 @@ traced back on its own.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, runs
+from .common import cut, runs, slices
 
 BAR = "▁"
 GIANT, CHUNK, FAN = 32_768, 8_192, 64
+#: Short words whose ids are remembered in a process.
+KNOWN = 300_000
 _MODELS: dict[bytes, Pieces] = {}
 
 
@@ -54,6 +59,7 @@ class Pieces:
         self.byte = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.id), default=1)
         self.splits = all(BAR not in p.lstrip(BAR) for p in self.id)
+        self.known: dict[str, list[int]] = {}
         self.pair = lru_cache(1 << 18)(self._pair)
         self.alone = lru_cache(1 << 16)(self._alone)
 
@@ -81,11 +87,22 @@ class Pieces:
         return [i] if i is not None else [self.byte[b] for b in piece.encode("utf-8")]
 
     def encode(self, text: str) -> list[int]:
-        return self.lib.encode(text)
+        """Ids of a text. Where no piece spans the start of a word, words are encoded one by one and remembered."""
+        if not text or not self.splits or text[0] == " " or text[-1] == " " or "  " in text or BAR in text:
+            return self.lib.encode(text)
+        known, out = self.known, []
+        for word in text.split(" "):
+            ids = known.get(word)
+            if ids is None:
+                ids = self.lib.encode(word)
+                if len(known) < KNOWN and len(word) <= 12:
+                    known[word] = ids
+            out += ids
+        return out
 
     def encode_words(self, s: str) -> list[int]:
         """Ids of an escaped stretch that starts with the bar."""
-        return self.lib.encode(s[1:].replace(BAR, " ")) if len(s) > 1 else self.ids(s)
+        return self.encode(s[1:].replace(BAR, " ")) if len(s) > 1 else self.ids(s)
 
     def decode(self, ids: list[int]) -> str:
         return self.lib.decode(ids)
@@ -103,8 +120,17 @@ class Chunk:
 
     def __init__(self, m: Pieces, seen: str, a: int, b: int, first: bool, last: bool):
         self.m, self.s, self.a, self.b, self.first, self.last = m, seen, a, b, first, last
-        cuts = [i for i in range(a, b) if m.safe(seen, i)]
-        self.cut_from, self.cut_to = (cuts[0], cuts[-1]) if cuts else (None, None)
+        self.cut_from = self.cut_to = None
+        at = seen.find(BAR, a, b)
+        while at >= 0 and self.cut_from is None:
+            if m.safe(seen, at):
+                self.cut_from = at
+            at = seen.find(BAR, at + 1, b)
+        at = seen.rfind(BAR, a, b)
+        while at >= 0 and self.cut_from is not None and self.cut_to is None:
+            if m.safe(seen, at):
+                self.cut_to = at
+            at = seen.rfind(BAR, a, at)
 
     def entries(self) -> list[tuple[int, str]]:
         """Boundary states at the start: (reach, piece). The first chunk has only the start state."""
@@ -228,13 +254,25 @@ def split(text: str, longest: int, chunk: int = CHUNK):
         yield s[lo:hi], at - lo, min(at + chunk, len(s)) - lo
 
 
+def _id_column(ids: list[list[int]]) -> pa.Array:
+    """A list column from Python lists, by way of one flat array."""
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(ends[-1]))))
+
+
+def _id_lists(column: pa.Array):
+    """Each row's ids as a Python list; a null row has none."""
+    values, ends = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def _whole(proto: bytes):
     def run(batches):
         m = model(proto)
-        for rb in batches:
+        for rb in slices(batches):
             ids = [m.encode(t or "") for t in rb.column("text").to_pylist()]
             own = [c for c in rb.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[rb.column(c) for c in own], pa.array(ids, pa.list_(pa.int32()))], names=[*own, "ids"])
+            yield pa.RecordBatch.from_arrays([*[rb.column(c) for c in own], _id_column(ids)], names=[*own, "ids"])
 
     return run
 
@@ -242,7 +280,7 @@ def _whole(proto: bytes):
 def _split(proto: bytes, chunk: int):
     def run(batches):
         m = model(proto)
-        for rb in batches:
+        for rb in slices(batches, 16):
             for rid, text in zip(rb.column("rid").to_pylist(), rb.column("text").to_pylist(), strict=True):
                 parts = list(split(text, m.longest, chunk))
                 for at in range(0, len(parts), 256):
@@ -267,7 +305,7 @@ def _chunk(m, r) -> Chunk:
 def _transfer(proto: bytes):
     def run(batches):
         m = model(proto)
-        for rb in batches:
+        for rb in slices(batches, 64):
             rows = rb.to_pylist()
             pairs = [[{"a": a, "b": b} for a, b in _chunk(m, r).transfer()] for r in rows]
             yield pa.RecordBatch.from_arrays([rb.column("rid"), rb.column("i"), rb.column("n"), pa.array(pairs, _PAIRS)], names=["rid", "i", "n", "pairs"])
@@ -278,9 +316,9 @@ def _transfer(proto: bytes):
 def _trace(proto: bytes):
     def run(batches):
         m = model(proto)
-        for rb in batches:
+        for rb in slices(batches, 64):
             ids = [_chunk(m, r).trace(r["entry"], r["exit"]) for r in rb.to_pylist()]
-            yield pa.RecordBatch.from_arrays([rb.column("rid"), rb.column("i"), pa.array(ids, pa.list_(pa.int32()))], names=["rid", "i", "ids"])
+            yield pa.RecordBatch.from_arrays([rb.column("rid"), rb.column("i"), _id_column(ids)], names=["rid", "i", "ids"])
 
     return run
 
@@ -289,15 +327,17 @@ def _pairs(value) -> list[tuple[str, str]]:
     return [(x["a"], x["b"]) for x in value]
 
 
-def _up(batches):
-    """Combine each run of FAN neighbouring matrices of a text."""
-    for group in runs(batches, ["rid", "up"]):
-        group = group.sort_values("i")
-        total = compose([_pairs(p) for p in group["pairs"]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(group["rid"].iloc[0])], pa.int64()), pa.array([int(group["up"].iloc[0])], pa.int64()), pa.array([-(-int(group["n"].iloc[0]) // FAN)], pa.int64()), pa.array([[{"a": a, "b": b} for a, b in total]], _PAIRS)],
-            names=["rid", "i", "n", "pairs"],
-        )
+def _up(fan: int):
+    """Combine each run of `fan` neighbouring matrices of a text."""
+
+    def run(batches):
+        for group in runs(batches, ["rid", "up"]):
+            group = group.sort_values("i")
+            total = [{"a": a, "b": b} for a, b in compose([_pairs(p) for p in group["pairs"]])]
+            rid, up, n = (int(group[c].iloc[0]) for c in ("rid", "up", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array([rid], pa.int64()), pa.array([up], pa.int64()), pa.array([-(-n // fan)], pa.int64()), pa.array([total], _PAIRS)], names=["rid", "i", "n", "pairs"])
+
+    return run
 
 
 def _down(batches):
@@ -308,24 +348,24 @@ def _down(batches):
         yield pa.RecordBatch.from_arrays([pa.array(group["rid"].tolist(), pa.int64()), pa.array(group["i"].tolist(), pa.int64()), pa.array([p[0] for p in path]), pa.array([p[1] for p in path])], names=["rid", "i", "entry", "exit"])
 
 
-def _scan(chunks: DataFrame, proto: bytes) -> DataFrame:
+def _scan(chunks: DataFrame, proto: bytes, fan: int) -> DataFrame:
     """rid and ids of the chunked texts, by the scan: matrices up the tree, boundary states down it, traces per chunk."""
     levels = [cut(chunks.mapInArrow(_transfer(proto), _MATRIX), "transfer")]
     while (levels[-1].agg(F.max("n")).first()[0] or 0) > 1:
-        low = levels[-1].withColumn("up", F.floor(F.col("i") / FAN))
+        low = levels[-1].withColumn("up", F.floor(F.col("i") / fan))
         low = low.repartition("rid", "up").sortWithinPartitions("rid", "up")
-        levels.append(cut(low.mapInArrow(_up, _MATRIX), "transfer"))
+        levels.append(cut(low.mapInArrow(_up(fan), _MATRIX), "transfer"))
     whole = F.col("pairs").getItem(0)
     states = levels[-1].select("rid", "i", whole["a"].alias("entry"), whole["b"].alias("exit"))
     for level in reversed(levels[:-1]):
         states = states.select("rid", F.col("i").alias("up"), "entry", "exit")
-        low = level.withColumn("up", F.floor(F.col("i") / FAN)).join(states, ["rid", "up"])
+        low = level.withColumn("up", F.floor(F.col("i") / fan)).join(states, ["rid", "up"])
         states = low.repartition("rid", "up").sortWithinPartitions("rid", "up").mapInArrow(_down, "rid long, i long, entry string, exit string")
     traced = chunks.join(states, ["rid", "i"]).mapInArrow(_trace(proto), "rid long, i long, ids array<int>")
     return traced.groupBy("rid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, text: str = "text", proto: bytes | None = None, giant: int = GIANT, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", proto: bytes | None = None, giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all but the text) and ids, the model's encoding of each text, equal to the library's.
 
     Texts of at most `giant` characters are encoded whole by the library. A longer one is split into chunks of `chunk`
@@ -346,7 +386,7 @@ def encode(docs: DataFrame, text: str = "text", proto: bytes | None = None, gian
         return short
     kind = "rid long, i long, n long, seen string, a int, b int"
     chunks = cut(long.select("rid", "text").repartition(F.col("rid")).mapInArrow(_split(proto, chunk), kind), "chunks")
-    ids = _scan(chunks, proto)
+    ids = _scan(chunks, proto, fan)
     done = long.select("rid", "kept").join(ids, "rid").select(*([F.col("kept")[c].alias(c) for c in keep]), "ids")
     return short.unionByName(done)
 
@@ -359,8 +399,8 @@ def decode(encoded: DataFrame, proto: bytes | None = None, keep: list[str] | Non
 
     def run(batches):
         m = model(proto)
-        for rb in batches:
-            texts = [m.decode(x or []) for x in rb.column("ids").to_pylist()]
+        for rb in slices(batches):
+            texts = [m.decode(x) for x in _id_lists(rb.column("ids"))]
             yield pa.RecordBatch.from_arrays([*[rb.column(c) for c in rb.schema.names if c != "ids"], pa.array(texts, pa.string())], names=[*(c for c in rb.schema.names if c != "ids"), "decoded"])
 
     return encoded.select(*keep, "ids").mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keep), "decoded string"]))
@@ -377,14 +417,13 @@ def round_trip(docs: DataFrame, proto: bytes | None = None, **options) -> DataFr
     enc = encode(slim, proto=proto, keep=["doc_id", "own"], **options)
 
     def run(batches):
-        import hashlib
-
         m = model(proto)
-        for rb in batches:
+        for rb in slices(batches):
             ids = rb.column("ids")
-            sha = [hashlib.sha256(m.decode(x or []).encode("utf-8")).hexdigest() for x in ids.to_pylist()]
+            lists = _id_lists(ids)
+            sha = [hashlib.sha256(m.decode(x).encode("utf-8")).hexdigest() for x in lists]
             same = [a == b for a, b in zip(sha, rb.column("own").to_pylist(), strict=True)]
-            n = [len(x or []) for x in ids.to_pylist()]
+            n = list(map(len, lists))
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(n, pa.int64()), ids, pa.array(sha), pa.array(same)], names=["doc_id", "n_tokens", "ids", "decoded_sha256", "same"])
 
     return enc.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, same boolean")
