@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import ship
 from .sources.tables import table, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +29,7 @@ def query(covers: str, oracle: str | None = None):
     """Register f(t: Tables) under its own name, with the operators it covers and the SQL that gives the same rows."""
 
     def register(f):
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(ship(spark), sf_dir))
         _COVERS[f.__name__] = covers
         if oracle is not None:
             _ORACLES[f.__name__] = with_views(oracle)
