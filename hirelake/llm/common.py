@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _LOCAL_SHARED: dict[str, str] = {}
 
 
@@ -29,7 +31,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def fold3(doc_id: str = "doc_id") -> Column:
@@ -75,7 +77,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0][:n], _POW[1][:n]
 
 
-def _hashes(b: np.ndarray, space: np.ndarray) -> np.ndarray:
+def _hashes(b: np.ndarray, space: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
     word = ~space[b]
     if not word.any():
         return np.empty(0, np.uint64)
@@ -83,21 +85,28 @@ def _hashes(b: np.ndarray, space: np.ndarray) -> np.ndarray:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     power, inverse = _powers(len(b))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * power, dtype=np.uint64)))
-    return mix((total[end] - total[start]) * inverse[start])
+    out = [mix((total[end] - total[start]) * inverse[start])]
+    for n in prefixes:  # the first n bytes of longer words, apart from whole words by a salt
+        at = start[end - start > n]
+        out.append(mix((total[at + n] - total[at]) * inverse[at] + _U(n)))
+    return out[0] if not prefixes else np.concatenate(out)
+
 
+def word_hashes(text: str | None, space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """One 64-bit hash per word, in order; words are runs of bytes other than `space` (white space), in lower case.
 
-def word_hashes(text: str | None, space: np.ndarray = _SPACE) -> np.ndarray:
-    """One 64-bit hash per word, in order; words are runs of bytes other than `space` (white space), in lower case."""
+    With `prefixes`, hashes of the words' first so many bytes follow, and the order says nothing.
+    """
     b = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
     if len(b) <= _CHUNK:
-        return _hashes(b, space)
+        return _hashes(b, space, prefixes)
     out, at = [], 0
     while at < len(b):
         end = min(at + _CHUNK, len(b))
         while end < len(b) and not space[b[end]]:
             gap = np.flatnonzero(space[b[end : end + _CHUNK]])
             end = end + int(gap[0]) if len(gap) else min(end + _CHUNK, len(b))
-        out.append(_hashes(b[at:end], space))
+        out.append(_hashes(b[at:end], space, prefixes))
         at = end
     return np.concatenate(out)
 

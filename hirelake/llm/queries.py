@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
 from . import embedding_links, fingerprints, jaccard_join, language, mixing, pieces, pii, secrets, sharding, toxicity
 from .common import documents
 
@@ -23,7 +24,7 @@ def op3_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_binary_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_links.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return embedding_links.linked(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

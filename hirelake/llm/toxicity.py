@@ -20,12 +20,14 @@ IDENTITY = [
 ]
 _SWAP = {t: group[(i + 1) % len(group)] for group in IDENTITY for i, t in enumerate(group)}
 _TERM = re.compile(r"\b(" + "|".join(sorted(_SWAP, key=len, reverse=True)) + r")\b", re.I)
-VOCABULARY, SAMPLE = 2048, 20_000
+VOCABULARY, SAMPLE = 4096, 40_000
+#: Lengths in bytes of the word beginnings that are features beside whole words, so that inflected words share one.
+PREFIXES = (3, 4, 5)
 
 
 def words(text: str) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the text's words (runs of letters, in lower case)."""
-    return np.unique((word_hashes(text, NOT_LETTER) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
+    """Sorted distinct 32-bit hashes of the text's words (runs of letters, in lower case) and of their beginnings."""
+    return np.unique((word_hashes(text, NOT_LETTER, PREFIXES) & np.uint64(0xFFFFFFFF)).astype(np.uint32)).view(np.int32)
 
 
 def swapped(text: str) -> str | None:
@@ -61,11 +63,11 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def learn(own: list[list[int]], other: list[list[int] | None], y: np.ndarray, vocabulary: np.ndarray, fairness: float = 1.0, decay: float = 1e-4, rounds: int = 300) -> Model:
+def learn(own: list[list[int]], other: list[list[int] | None], y: np.ndarray, vocabulary: np.ndarray, fairness: float = 1.0, decay: float = 1e-4, rounds: int = 300, balance: float = 0.5) -> Model:
     """Logistic regression by full-batch Adam over presence features.
 
     The loss is the mean log loss plus `fairness` times the mean squared change of the logit when identity terms are
-    swapped, plus `decay` times the weights' squares.
+    swapped, plus `decay` times the weights' squares. Toxic rows weigh (clean rows per toxic row) ** `balance`.
     """
     place = {int(v): i for i, v in enumerate(vocabulary)}
     rows = [np.array(sorted(place[x] for x in r if x in place), np.int64) for r in own]
@@ -81,10 +83,12 @@ def learn(own: list[list[int]], other: list[list[int] | None], y: np.ndarray, vo
     k, n = len(vocabulary), max(1, len(y))
     w, bias = np.zeros(k), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))) if len(y) else -5.0
     m, v = np.zeros(k + 1), np.zeros(k + 1)
+    heavy = np.where(y > 0, (max(1.0, (1 - y.mean()) / max(y.mean(), 1e-9)) if len(y) else 1.0) ** balance, 1.0)
+    heavy = heavy / max(1e-9, heavy.mean()) if len(y) else heavy
     for step in range(1, rounds + 1 if len(y) else 1):
         z = bias + np.bincount(owner, w[column], minlength=len(y))
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        err = (p - y) / n
+        err = heavy * (p - y) / n
         g = np.append(np.bincount(column, err[owner], minlength=k) + 2 * decay * w, err.sum())
         if moves:
             change = np.bincount(mo[0], w[mo[1]] * mo[2], minlength=len(pair))
