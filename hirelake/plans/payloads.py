@@ -20,10 +20,10 @@ def page_states(t):
     p = t("posting")
     name = F.concat(F.lit("posting "), F.col("id").cast("string"))
     core = lambda skills: F.struct(F.col("id"), name.alias("name"), F.struct(F.col("seniority").cast("double").alias("from"), F.lit("KZT").alias("cur")).alias("pay"), F.col("is_active").alias("active"), F.lit(skills).cast("string").alias("skills"))
-    new = F.to_json(F.struct(F.struct(core('{"k":["a","b"]}').alias("vacancy")).alias("full")))
-    old, bare = F.to_json(F.struct(core("a").alias("vacancyView"))), F.to_json(F.struct(core(None).alias("vacancyView")))
+    new = F.to_json(F.struct(F.struct(core('{"k":["a","b"]}').alias("posting")).alias("full")))
+    old, bare = F.to_json(F.struct(core("a").alias("view"))), F.to_json(F.struct(core(None).alias("view")))
     k = F.col("id") % 5
-    state = F.when(k == 0, new).when(k == 1, old).when(k == 2, bare).when(k == 3, '{"vacancyView":{},"errorCode":404}')
+    state = F.when(k == 0, new).when(k == 1, old).when(k == 2, bare).when(k == 3, '{"view":{},"errorCode":404}')
     body = F.when(k == 4, "<html>moved</html>").otherwise(F.concat(F.lit("<html><script>STATE="), state, F.lit(";</script>")))
     return S.postings(p.select("id", body.alias("body"))).select("id", "status", "title", "pay_from", "live", F.size("skills").cast("long").alias("n_skills"))
 

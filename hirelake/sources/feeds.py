@@ -137,7 +137,7 @@ def in_turn(items: list, offset: int) -> list:
 
 # --- payloads ------------------------------------------------------------------------------
 
-STATE = "vacancyView struct<id:bigint,name:string,pay:struct<from:double,cur:string>,active:boolean,skills:string>, full struct<vacancy:struct<id:bigint,name:string,pay:struct<from:double,cur:string>,active:boolean,skills:string>>, errorCode int"
+STATE = "view struct<id:bigint,name:string,pay:struct<from:double,cur:string>,active:boolean,skills:string>, full struct<posting:struct<id:bigint,name:string,pay:struct<from:double,cur:string>,active:boolean,skills:string>>, errorCode int"
 
 
 def page_state(body: Column, marker: str = "STATE") -> Column:
@@ -148,7 +148,7 @@ def page_state(body: Column, marker: str = "STATE") -> Column:
 def postings(df: DataFrame, body: str = "body") -> DataFrame:
     """status (ok, gone, markup_error) and the posting's columns, from either of the two page shapes."""
     df = df.withColumn("_json", page_state(F.col(body))).withColumn("s", F.from_json("_json", STATE))
-    pick = lambda f: F.coalesce(F.col(f"s.full.vacancy.{f}"), F.col(f"s.vacancyView.{f}"))
+    pick = lambda f: F.coalesce(F.col(f"s.full.posting.{f}"), F.col(f"s.view.{f}"))
     status = F.when(F.col("_json").isNull() | F.col("s").isNull(), "markup_error").when(pick("id").isNull(), "gone").otherwise("ok")
     return df.select("*", status.alias("status"), pick("id").alias("found_id"), F.substring(pick("name"), 1, 300).alias("title"), pick("pay")["from"].alias("pay_from"), pick("pay")["cur"].alias("currency"), F.coalesce(pick("active"), F.lit(False)).alias("live"), unwrap(pick("skills")).alias("skills")).drop("_json", "s")
 
