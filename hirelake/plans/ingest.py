@@ -48,7 +48,7 @@ def replace_group_snapshot(t):
     return M.replace_groups(r.drop("held"), new, "posting_id", touched=group)
 
 
-@query("K09 F38", "SELECT id, CASE seniority WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 3.0 WHEN 4 THEN 6.0 END AS min_years FROM posting")
+@query("K09 F38", "SELECT id, CAST(CASE seniority WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 3.0 WHEN 4 THEN 6.0 END AS DOUBLE) AS min_years FROM posting")
 def grouped_update(t):
     years = F.create_map(*[F.lit(x) for pair in ((1, 0.0), (2, 1.0), (3, 3.0), (4, 6.0)) for x in pair])
     return t("posting").select("id", F.try_element_at(years, F.col("seniority")).alias("min_years"))

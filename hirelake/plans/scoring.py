@@ -29,7 +29,7 @@ def coverage_empty_defaults(t):
 HELD = "held AS (SELECT p_name AS skill, min(p_brand) AS family, min(p_partkey) AS place FROM part WHERE p_size <= 10 GROUP BY p_name)"
 
 
-@query("J14 J13", f"WITH {HELD}, near AS (SELECT family, min(place) AS place FROM held GROUP BY family) SELECT r.posting_id, r.line, r.skill, min(CASE WHEN h.skill IS NOT NULL THEN 1.0 WHEN n.place IS NOT NULL THEN 0.25 ELSE 0.0 END) AS credit FROM requirement r LEFT JOIN held h ON h.skill = r.skill LEFT JOIN near n ON n.family = r.family WHERE r.posting_id < 2000 GROUP BY r.posting_id, r.line, r.skill")
+@query("J14 J13", f"WITH {HELD}, near AS (SELECT family, min(place) AS place FROM held GROUP BY family) SELECT r.posting_id, r.line, r.skill, CAST(min(CASE WHEN h.skill IS NOT NULL THEN 1.0 WHEN n.place IS NOT NULL THEN 0.25 ELSE 0.0 END) AS DOUBLE) AS credit FROM requirement r LEFT JOIN held h ON h.skill = r.skill LEFT JOIN near n ON n.family = r.family WHERE r.posting_id < 2000 GROUP BY r.posting_id, r.line, r.skill")
 def neighbour_credit(t):
     """Full credit for a held skill, a quarter for the first held neighbour of its family."""
     held = t("part").filter("p_size <= 10").groupBy(F.col("p_name").alias("skill")).agg(F.min("p_brand").alias("hf"), F.min("p_partkey").alias("place"))
@@ -60,12 +60,12 @@ def penalised_score(t):
     return t("posting").filter("score is not null").select("id", S.final_score(F.col("score").cast("double") - gap - low).alias("score"))
 
 
-@query("F41", "SELECT id, CASE WHEN g <= -2 THEN 0.9 WHEN g <= 0 THEN 1.0 WHEN g <= 1 THEN 0.8 WHEN g <= 2 THEN 0.55 WHEN g <= 4 THEN 0.25 WHEN g IS NOT NULL THEN 0.0 END AS fit FROM (SELECT id, seniority * 2 - company_id % 9 AS g FROM posting)")
+@query("F41", "SELECT id, CAST(CASE WHEN g <= -2 THEN 0.9 WHEN g <= 0 THEN 1.0 WHEN g <= 1 THEN 0.8 WHEN g <= 2 THEN 0.55 WHEN g <= 4 THEN 0.25 WHEN g IS NOT NULL THEN 0.0 END AS DOUBLE) AS fit FROM (SELECT id, seniority * 2 - company_id % 9 AS g FROM posting)")
 def experience_ladder(t):
     return t("posting").select("id", S.experience_fit(F.col("seniority") * 2 - F.col("company_id") % 9).alias("fit"))
 
 
-@query("F42", "SELECT id, round(greatest(0.8, 1 - 0.1 * abs(seniority - company_id % 5)), 2) AS multiplier FROM posting")
+@query("F42", "SELECT id, CAST(round(greatest(0.8, 1 - 0.1 * abs(seniority - company_id % 5)), 2) AS DOUBLE) AS multiplier FROM posting")
 def seniority_multiplier(t):
     return t("posting").select("id", F.round(S.seniority_multiplier(F.col("seniority"), F.col("company_id") % 5).cast("double"), 2).alias("multiplier"))
 
