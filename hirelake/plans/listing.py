@@ -19,11 +19,23 @@ COLUMNS = ["id", "company", "city", "bucket", "seniority"]
 OUT = "id, company, city, bucket, seniority, CAST(score AS DOUBLE) AS score, CAST(salary AS DOUBLE) AS salary, CAST(published AS VARCHAR) AS published"
 
 
+def scored(t):
+    return t("posting").withColumn("bucket", F.when(F.col("id") % 13 == 0, "filtered").otherwise(L.bucket_of(F.col("score"))))
+
+
+def with_company(t, rows):
+    return rows.join(t("company").select("company_id", "company", "city", "segment"), "company_id", "left")
+
+
 def listed(t):
-    """Postings with bucket and company: the wide side keeps its partitioning, the company side is small or hashed by AQE's choice."""
-    bucket = F.when(F.col("id") % 13 == 0, "filtered").otherwise(L.bucket_of(F.col("score")))
-    company = t("company").select("company_id", "company", "city", "segment")
-    return t("posting").withColumn("bucket", bucket).join(company, "company_id", "left")
+    """Postings with bucket and company, for filters on the company's columns."""
+    return with_company(t, scored(t))
+
+
+def ranked(t, value: str, cursor=None, descending: bool = True):
+    """A page whose filters and order read postings alone: at most 200 rows are cut first and meet their companies after."""
+    rows = L.page(L.ListFilter().apply(scored(t)), value, cursor=cursor, descending=descending)
+    return out(with_company(t, rows).orderBy(*L.keyset_order(value, descending=descending)))
 
 
 def out(df):
@@ -42,28 +54,28 @@ DESC = "ORDER BY score DESC NULLS LAST, id DESC LIMIT 50"
 
 @query("J01 P01 P02 P03 O01 O02", sql(order=DESC))
 def ranked_page_first(t):
-    return out(L.page(L.ListFilter().apply(listed(t)), "score"))
+    return ranked(t, "score")
 
 
 @query("P16 O01 O03", sql("(score < 60.50 OR (score = 60.50 AND id < 5000) OR score IS NULL)", DESC))
 def ranked_page_after_value_cursor(t):
     cursor = L.Cursor.decode(L.Cursor(Decimal("60.50"), 5000).encode())
-    return out(L.page(L.ListFilter().apply(listed(t)), "score", cursor=cursor))
+    return ranked(t, "score", cursor)
 
 
 @query("P16 O01", sql("score IS NULL AND id < 9000", DESC))
 def ranked_page_after_null_cursor(t):
-    return out(L.page(L.ListFilter().apply(listed(t)), "score", cursor=L.Cursor(None, 9000)))
+    return ranked(t, "score", L.Cursor(None, 9000))
 
 
 @query("P16 O01", sql("(salary > 150000.00 OR (salary = 150000.00 AND id > 100) OR salary IS NULL)", "ORDER BY salary ASC NULLS LAST, id ASC LIMIT 50"))
 def ranked_page_ascending(t):
-    return out(L.page(L.ListFilter().apply(listed(t)), "salary", cursor=L.Cursor(Decimal("150000.00"), 100), descending=False))
+    return ranked(t, "salary", L.Cursor(Decimal("150000.00"), 100), descending=False)
 
 
 @query("O01 O02 O03", f"WITH {LISTED} SELECT id, CAST(floor((row_number() OVER (ORDER BY score DESC NULLS LAST, id DESC) - 1) / 50) AS BIGINT) AS page FROM listed WHERE {BASE}")
 def page_walk_complete(t):
-    return L.numbered_pages(L.ListFilter().apply(listed(t)).select("id", "score"), "score", 50).select("id", "page")
+    return L.numbered_pages(L.ListFilter().apply(scored(t)).select("id", "score"), "score", 50).select("id", "page")
 
 
 @query("J01", "SELECT id, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS VARCHAR) AS bucket FROM posting WHERE is_active")
