@@ -13,11 +13,15 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
+_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\x20\x09-\x0D\\]*(?:[A-Za-z-]+:\x20[^\x20\x09-\x0D\\]*[\x20\x09-\x0D\\]+){0,9}"
+#: A key's body with its footer or, where that is missing, the base64 that follows the header: whole lines, and where blanks part
+#: them (as in indented lines) up to 60 more runs. Long repeats are of single classes only: Java's patterns recurse on repeated groups.
+_BODY = r"([A-Za-z0-9+/=\x20\x09-\x0D\\]+-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/]{16,}[A-Za-z0-9+/=\x0A-\x0D\\]*(?:[\x20\x09]+[A-Za-z0-9+/]{16,}[A-Za-z0-9+/=\x0A-\x0D\\]*){0,60})"
 #: Wider candidates that count only where few owners hold the value.
 ADDED = [
     ("prefixed", r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-)[A-Za-z0-9_-]{16,}", 0, 20),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    ("privatekey", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+    ("privatekey", _HEAD + _BODY, 1, 27),
 ]
 KINDS = [k for k, *_ in BASE + ADDED]
 MOST_OWNERS = 2
@@ -80,7 +84,7 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_added, tie, judged.
 
-    Base matches always stay. A wider candidate (a prefixed key, a signed token, a private-key header) is added only
+    Base matches always stay. A wider candidate (a prefixed key, a signed token, a private key's whole block) is added only
     where at most MOST_OWNERS distinct sources hold its value: widely copied values are examples. n_live and n_example
     count all spans by that ownership. `judged` lists the spans with their verdict.
 

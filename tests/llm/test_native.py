@@ -146,6 +146,26 @@ def test_owners_decide(spark):
     assert red[3].text == f"see {copied} there" and len(red) == 6
 
 
+def test_private_keys_differ_by_body(spark):
+    body = lambda i: "\n".join(hashlib.sha512(f"{i}:{j}".encode()).hexdigest() for j in range(3)).upper() + "\nabc="
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    enc = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    blocks = [f"{head}\n{body(i)}\n{foot}" for i in range(5)]
+    blocks += [f"{head}\n{body(5)}", f"{head}\n{enc}{body(6)}\n{foot}", f"{head} {body(7)} {foot}".replace("\n", " "), f"{head}\n{body(8)}\n{foot}".replace("\n", "\\n")]
+    rows = [(i, f"see {b} and, after it, words", "en", f"s{i}", 1) for i, b in enumerate(blocks)]
+    copied = f"{head}\n{body(99)}\n{foot}"
+    rows += [(20 + i, f"see {copied} there", "en", f"s{i}", 1) for i in range(3)]
+    rows += [(30, f"files open with {head} and then hold base64", "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    for i, b in enumerate(blocks):
+        assert (got[i].spans, got[i].n_added) == (f"privatekey:4:{4 + len(b)}", 1), i
+    assert all(got[i].spans == "" for i in (20, 21, 22, 30))
+    red = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(red[i] == "see [SECRET] and, after it, words" for i in range(len(blocks)))
+    assert red[20] == f"see {copied} there" and red[30] == rows[-1][1]
+
+
 def test_secrets_awkward(spark):
     docs = awkward(spark)
     assert len(secrets.scan(docs).collect()) == 9 and secrets.scan(empty(spark)).collect() == []
