@@ -87,8 +87,8 @@ def _sketch(batches):
                 sig.append(None)
                 bands.append([])
         yield pa.RecordBatch.from_arrays(
-            [rid, rb.column("doc_id"), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["rid", "doc_id", "key", "n", "sig", "bands"],
+            [rid, rb.column("hash"), rb.column("doc_id"), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+            names=["rid", "hash", "doc_id", "key", "n", "sig", "bands"],
         )
 
 
@@ -130,11 +130,13 @@ def _verify(threshold: float):
 
     def run(batches):
         for group in runs(batches, ["comp", "g"]):
-            group = group.drop_duplicates("key")
-            sets, rows = [], []
+            sets, rows, held = [], [], set()
             for i, (key, text) in enumerate(zip(group["key"], group["text"], strict=True)):
+                if key in held:
+                    continue
                 words = word_hashes(text)
                 if digest(words) == key:
+                    held.add(key)
                     sets.append(shingles(words))
                     rows.append(i)
             if len(rows) < 2:
@@ -191,7 +193,7 @@ def _blocks(df: DataFrame, size, width: int, *group: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, bucket: int = 4096, block: int = 512) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, kept; rid is the id, or a hash of the
-    text where it is null, and class_rid the same for the class.
+    text where it is null, and class_rid the same for the class; hash tells the texts of one id apart, label the classes.
 
     Texts are compared as sets of five-word shingles (words in lower case, split at white space); a text of one to four
     words is one shingle. Two documents are linked when the Jaccard similarity of their sets is at least `threshold`.
@@ -203,12 +205,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     Pairs are never rows: a bucket yields a spanning forest, a block pair one count for each text.
 
     Null and empty texts (and those of white space) have no shingles: they are copies of one another and link with
-    nothing else. Repeated rows each get a row. A null doc_id takes part; its class has the least non-null id, if any.
+    nothing else. Repeated rows each get a row, and texts that share a doc_id are compared each for itself. A null doc_id takes part; its class has the least non-null id, if any.
     `kept` marks the rows whose id is the class's (where no row of a class has an id, those with its least rid). An empty table gives an empty result; further columns are ignored.
     """
-    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(slim.mapInArrow(_sketch, "rid long, doc_id long, key binary, n int, sig binary, bands array<bigint>"), "sketch")
-    classes = cut(rows.groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.max("sig").alias("sig"), F.max("bands").alias("bands")), "classes")
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), F.xxhash64("text").alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cut(slim.mapInArrow(_sketch, "rid long, hash long, doc_id long, key binary, n int, sig binary, bands array<bigint>"), "sketch")
+    classes = cut(rows.groupBy("key").agg(F.min(F.struct("rid", "hash")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.max("sig").alias("sig"), F.max("bands").alias("bands")), "classes")
 
     dealt = classes.select("key", F.explode("bands").alias("bh"))
     shared = dealt.groupBy("bh").agg(F.count("*").alias("m")).filter("m > 1")
@@ -220,25 +222,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
 
     sizes = cluster.groupBy("comp").agg(F.count("*").alias("m"))
     part = cluster.join(sizes, "comp").join(classes.select("key", "rep", "weight"), "key")
-    part = part.join(slim.select(F.col("rid").alias("rep"), "text"), "rep").select("comp", "m", "key", "weight", "text")
+    part = part.select("comp", "m", "key", "weight", F.col("rep.rid").alias("rid"), F.col("rep.hash").alias("hash"))
+    texts = slim.groupBy("rid", "hash").agg(F.first("text").alias("text"))
+    part = part.join(texts, ["rid", "hash"]).select("comp", "m", "key", "weight", "text")
     part = _blocks(part, F.col("m"), block, "comp").select("comp", "g", "cross", "key", "weight", "block", "text")
     found = part.repartition("comp", "g").sortWithinPartitions("comp", "g").mapInArrow(_verify(threshold), "key binary, links long, root binary")
     found = cut(found, "links")
     label = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "label")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     named = classes.select("key", "least", "rep", "weight").join(links, "key", "left").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    ids = named.groupBy("label").agg(F.min("least").alias("class_id"), F.min("rep").alias("first_rid"))
+    ids = named.groupBy("label").agg(F.min("least").alias("class_id"), F.min("rep.rid").alias("first_rid"))
     ids = ids.withColumn("class_rid", F.coalesce("class_id", "first_rid"))
-    named = named.join(ids, "label").select("key", "class_id", "class_rid", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    return rows.select("rid", "doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links", (F.col("rid") == F.col("class_rid")).alias("kept"), "rid", "class_rid")
+    named = named.join(ids, "label").select("key", "label", "class_id", "class_rid", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return rows.select("rid", "hash", "doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links", (F.col("rid") == F.col("class_rid")).alias("kept"), "rid", "class_rid", "hash", "label")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs less all but one of each class of near duplicates; the columns stay as they are.
 
-    Of rows that share the kept id, one stays for each different text.
+    Of the class's rows with the kept id, one with the text of least hash stays.
     """
-    chosen = near_duplicates(docs, **options).filter("kept").select(F.col("rid").alias("_rid")).distinct()
+    kept = near_duplicates(docs, **options).filter("kept").groupBy("label").agg(F.min(F.struct("rid", "hash")).alias("row"))
+    chosen = kept.select(F.col("row.rid").alias("_rid"), F.col("row.hash").alias("_text")).distinct()
     rid = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
     docs = docs.withColumn("_rid", rid).withColumn("_text", F.xxhash64("text"))
-    return docs.join(chosen, "_rid", "left_semi").dropDuplicates(["_rid", "_text"]).drop("_rid", "_text")
+    return docs.join(chosen, ["_rid", "_text"], "left_semi").dropDuplicates(["_rid", "_text"]).drop("_rid", "_text")

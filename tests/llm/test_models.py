@@ -141,6 +141,21 @@ def test_jaccard_awkward(spark):
     assert jaccard_join.near_duplicates(empty(spark)).collect() == [] and jaccard_join.keep_one(empty(spark)).collect() == []
 
 
+def test_jaccard_one_id_on_several_texts(spark):
+    """Id 7 stands on eight texts, each with a near copy; in half the pairs the copy has the lesser id."""
+    rng = random.Random(3)
+    rows, want = [], []
+    for i in range(8):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
+        other = i if i < 4 else 20 + i
+        rows += [(7, " ".join(words), "en", "s", 1), (other, " ".join(words[:-1] + ["changed"]), "en", "s", 1)]
+        want.append((min(7, other), rows[-2 if other > 7 else -1][1]))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = jaccard_join.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == sorted((d, c, 1) for i, (c, _) in enumerate(want) for d in (rows[2 * i][0], rows[2 * i + 1][0]))
+    assert sorted((r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()) == sorted(want)
+
+
 # --- embeddings ------------------------------------------------------------------------------
 
 
