@@ -19,6 +19,10 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Candidate zones: neighbouring tokens that each hold a digit or an at-sign.
 ZONE = re.compile(r"[^\s]*[0-9@][^\s]*(?:[\x20 ][^\s]*[0-9@][^\s]*)*")
+#: Spelled-out addresses: tokens with [at], (at), [dot] or (dot) open a zone as well, with the tokens beside them.
+SPELLED = r"[\[(](?:[aA][tT]|[dD][oO][tT])[\])]"
+WIDE = re.compile(rf"(?:[^\s]+\x20)?[^\s]*{SPELLED}[^\s]*(?:\x20[^\s]+)?")
+_SPELLED = re.compile(SPELLED)
 TOKEN = re.compile(r"[^\s\x20 ]+")
 EDGE = " \t\n\r()[]{}<>,;:!?\"'*#$%&|."
 LONGEST, TRAIN_ZONES, SURE = 6, 500, 0.9
@@ -160,7 +164,16 @@ class Lattice:
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in ZONE.finditer(text)]
+    found = [m.span() for m in ZONE.finditer(text)]
+    if not _SPELLED.search(text):
+        return found
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found + [m.span() for m in WIDE.finditer(text)]):
+        if out and (a <= out[-1][1] or a == out[-1][1] + 1 and text[a - 1] == " "):
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def _gold(lat: Lattice, spans) -> np.ndarray:
@@ -200,6 +213,14 @@ def made_examples(seed: int = 11, n: int = 240) -> list[tuple[str, list[tuple[in
                 spans.append((len(text), kind, len(text) + len(shape)))
             text += shape + " "
         out.append((text.rstrip(), spans))
+    names, hosts, words = ("jane.doe", "max", "a_lee", "Info", "sales-team"), ("example", "mail.example", "uni-x", "Corp"), ("meet", "noon", "list", "see", "room")
+    pick = lambda of: of[int(rng.integers(0, len(of)))]
+    for i in range(n // 4):  # addresses and other uses of the same tokens, all without digits
+        user, host, end, at, dot = pick(names), pick(hosts), pick(("com", "org", "de")), pick(("[at]", "(at)", "[AT]")), pick(("[dot]", "(dot)"))
+        shape = (f"{user}{at}{host}.{end}", f"{user} {at} {host}.{end}", f"{user} {at} {host} {dot} {end}", f"{user}{at}{host}{dot}{end}")[i % 4]
+        one, two = pick(words), pick(words)
+        plain = (f"{one} {at} {two}", f"{one}{dot} {two}", f"{one} {at} the", f"{one} {dot} {two}")[i // 4 % 4]
+        out += [(f"{one} {shape} {two}", [(len(one) + 1, 0, len(one) + 1 + len(shape))]), (plain, [])]
     return out
 
 
@@ -223,28 +244,57 @@ def train(examples, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -
     return w
 
 
+def decode(text: str, a: int, b: int, weights: np.ndarray, stretch: int = 400) -> list[tuple[int, int, int, float]]:
+    """(start, kind, end, posterior) of the labelled segments of the zone's best labelling.
+
+    Features of a longer zone are made a stretch at a time, each with the tokens that its last segments reach into; the
+    sums run over the whole zone, so stretches change nothing. Kept for each token: its segments' best and summed scores.
+    """
+    edges = [m.span() for m in TOKEN.finditer(text, a, b)]
+    n = len(edges)
+    total, top = np.full((n, LONGEST), -np.inf), np.full((n, LONGEST), -np.inf)
+    kind = np.zeros((n, LONGEST), np.int8)
+    bounds = np.zeros((n, LONGEST, 2), np.int64)
+    for at in range(0, n, stretch):
+        lat = Lattice(text, edges[at][0], edges[min(n, at + stretch + LONGEST - 1) - 1][1])
+        s = lat.scores(weights)
+        sums, best, which = np.logaddexp.reduce(s, axis=1), s.max(axis=1), s.argmax(axis=1)
+        for (i, k), r in lat.rows.items():
+            if i < stretch:
+                total[at + i, k - 1], top[at + i, k - 1], kind[at + i, k - 1], bounds[at + i, k - 1] = sums[r], best[r], which[r], lat.bounds[i, k]
+    score, back = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int8)
+    score[0] = 0.0
+    for j in range(1, n + 1):
+        for k in range(1, min(LONGEST, j) + 1):
+            if score[j - k] + top[j - k, k - 1] > score[j]:
+                score[j], back[j] = score[j - k] + top[j - k, k - 1], k
+    path, j = [], n
+    while j > 0:
+        k = int(back[j])
+        j -= k
+        if kind[j, k - 1] < len(KINDS):
+            path.append((j, k))
+    if not path:
+        return []
+    fore, rest = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    fore[0] = rest[n] = 0.0
+    for j in range(1, n + 1):
+        fore[j] = np.logaddexp.reduce([fore[j - k] + total[j - k, k - 1] for k in range(1, min(LONGEST, j) + 1)])
+    for i in range(n - 1, -1, -1):
+        rest[i] = np.logaddexp.reduce([total[i, k - 1] + rest[i + k] for k in range(1, min(LONGEST, n - i) + 1)])
+    p = lambda i, k: float(np.exp(fore[i] + top[i, k - 1] + rest[i + k] - fore[n]))
+    return [(int(bounds[i, k - 1, 0]), int(kind[i, k - 1]), int(bounds[i, k - 1, 1]), p(i, k)) for i, k in reversed(path)]
+
+
 def added_spans(text: str, base, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """Segments of the best labelling that no base span touches and whose posterior is at least SURE."""
     out = []
     for a, b in zones(text):
         if b - a < 7 or any(s <= a and b <= e for s, _, e in base):
             continue
-        at = a
-        while at < b:  # a zone of many tokens is decoded in stretches of 400, which meet at a token's edge
-            tokens = TOKEN.finditer(text, at, b)
-            ends = [m.end() for _, m in zip(range(400), tokens, strict=False)]
-            if not ends:
-                break
-            lat = Lattice(text, at, ends[-1])
-            s = lat.scores(weights)
-            best = lat.best(s)
-            if best:
-                p, _z = lat.marginals(s)
-                for i, k, t, r in best:
-                    x, y = lat.bounds[i, k]
-                    if p[r, t] >= SURE and not any(s0 < y and e0 > x for s0, _, e0 in base):
-                        out.append((x, t, y))
-            at = ends[-1]
+        for x, t, y, p in decode(text, a, b, weights):
+            if p >= SURE and not any(s0 < y and e0 > x for s0, _, e0 in base):
+                out.append((x, t, y))
     return out
 
 
@@ -253,16 +303,16 @@ def _sample(batches):
         texts, marks = [], []
         for text in rb.column("text").to_pylist():
             for a, b in zones(text):
-                if 7 <= b - a <= 300:
+                if 7 <= b - a <= 300 and not _SPELLED.search(text, a, b):  # the exact patterns cannot label spelled-out addresses
                     texts.append(text[a:b])
                     marks.append(hashlib.blake2b(text[a:b].encode("utf-8", "surrogatepass"), digest_size=8).hexdigest())
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(marks, pa.string())], names=["zone", "mark"])
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """doc_id and text, with the text null where it has neither a digit nor an at-sign and so no candidate."""
+    """doc_id and text, with the text null where it has neither a digit, an at-sign nor a spelled-out [at] or [dot] and so no candidate."""
     text = F.col("text")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike("[0-9@]"), text).alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike("[0-9@]|" + SPELLED), text).alias("text"))
 
 
 def fit(docs: DataFrame, most_zones: int = TRAIN_ZONES) -> np.ndarray:
@@ -294,7 +344,7 @@ def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added.
 
     The exact patterns' spans always stay. A semi-Markov conditional random field scores whole candidate segments (up
-    to LONGEST neighbouring tokens that hold a digit or an at-sign) and its dynamic program chooses their bounds and
+    to LONGEST neighbouring tokens that hold a digit or an at-sign, or stand at a spelled-out [at] or [dot]) and its dynamic program chooses their bounds and
     kinds together; a segment is added where no exact span touches it and its posterior is at least SURE.
 
     A null text is empty and has no spans; whole texts are read, at any length; repeated rows each get a row; an empty

@@ -316,6 +316,27 @@ def test_marginals_against_enumeration():
     assert [(r, t) for _, _, t, r in lat.best(s)] == [(r, t) for r, t in best if t < len(pii.KINDS)]
 
 
+def test_spelled_addresses_without_digits(spark):
+    texts = ["write jane.roe[at]sample.net soon", "write mary [at] sample [dot] org soon", "write bob(at)firm.example.com, please", "come home (at) once or ask [dot] there"]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "email:6:28", 1: "email:6:32", 2: "email:6:29", 3: ""}
+
+
+def test_stretches_change_nothing():
+    weights = pii.train(pii.made_examples(n=60), rounds=40)
+    text = " ".join(["12"] * 399 + ["(555)", "555-1234"] + ["17"] * 420 + ["(743)", "555-3824", "5"])
+    lat = pii.Lattice(text, 0, len(text))
+    s = lat.scores(weights)
+    p, _z = lat.marginals(s)
+    want = [(*lat.bounds[i, k], t, p[r, t]) for i, k, t, r in lat.best(s)]
+    for size in (7, 400, 10_000):
+        got = pii.decode(text, 0, len(text), weights, size)
+        assert [(a, b, t) for a, t, b, _ in got] == [x[:3] for x in want]
+        assert np.allclose([x[3] for x in got], [x[3] for x in want])
+    at = text.index("(555)")
+    assert (at, at + 14) in [x[:2] for x in want]
+
+
 def test_pii_awkward(spark):
     weights = pii.train(pii.made_examples(n=40), rounds=5)
     got = pii.find(awkward(spark), weights).collect()
