@@ -135,7 +135,7 @@ def skill_mentions_verdict(t):
     return sentences.select("doc_id", F.explode(named).alias("skill"), verdict.alias("v")).groupBy("doc_id", "skill").agg(F.max("v").alias("verdict"))
 
 
-@query("T03 T07 T09 T10", f"WITH need AS (SELECT item_id, term FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark WHERE item_id < 10) WHERE length(term) > 6 GROUP BY ALL), have AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY ALL), n AS (SELECT item_id, count(*) AS need FROM need GROUP BY item_id) SELECT h.doc_id, b.item_id, count(*) AS present, max(n.need) - count(*) AS absent FROM need b JOIN have h ON h.term = b.term JOIN n ON n.item_id = b.item_id GROUP BY h.doc_id, b.item_id")
+@query("T03 T10", f"WITH need AS (SELECT item_id, term FROM (SELECT item_id, unnest({WORDS}) AS term FROM benchmark WHERE item_id < 10) WHERE length(term) > 6 GROUP BY ALL), have AS (SELECT doc_id, term FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY ALL), n AS (SELECT item_id, count(*) AS need FROM need GROUP BY item_id) SELECT h.doc_id, b.item_id, count(*) AS present, max(n.need) - count(*) AS absent FROM need b JOIN have h ON h.term = b.term JOIN n ON n.item_id = b.item_id GROUP BY h.doc_id, b.item_id")
 def requirement_vs_document(t):
     long = lambda df, i: df.select(i, F.explode(F.array_distinct(F.filter(X.tokens(F.col("text")), lambda w: F.length(w) > 6))).alias("term"))
     need = long(t("benchmark").filter("item_id < 10"), "item_id")

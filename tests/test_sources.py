@@ -44,3 +44,9 @@ def test_document_encodings(spark, tmp_path):
 
 def test_rotation():
     assert S.in_turn([1, 2, 3], 4) == [2, 3, 1] and S.in_turn([], 3) == []
+
+
+def test_requirement_vs_document_claims_only_what_it_holds():
+    from hirelake import catalog
+
+    assert catalog.covers()["requirement_vs_document"].split() == ["T03", "T10"]
