@@ -15,19 +15,46 @@ _LOCAL_SHARED: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and all
+    work is done by one machine (tests). On a cluster without the setting this raises: each executor would write to a
+    disk that the others do not see.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         path = _LOCAL_SHARED.setdefault(app, "file://" + tempfile.mkdtemp(prefix="hirelake-"))
     return path.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path object for a path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back, so that a lost executor costs no recomputation upstream."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df once to the shared folder and read it back, so that a lost executor costs no recomputation upstream.
+
+    The files go at the application's end, or before by `discard`.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, place = _file_system(spark, path)
+    fs.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame made by `cut` that nothing will read again."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        fs, place = _file_system(df.sparkSession, path)
+        fs.delete(place, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

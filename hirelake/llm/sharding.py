@@ -4,132 +4,176 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 from .ranking import rank_in, sub_bucket
 
-#: Bits of a position: the value's place on its axis, then a hash that orders equal values.
-VALUE_BITS, TIE_BITS = 20, 42
-BINS = 4096
+#: Bits of a position: the value's place on its axis, a hash that orders equal values, and a hash that parts repeated rows.
+VALUE_BITS, HASH_BITS, COPY_BITS = 20, 32, 10
+TIE_BITS = HASH_BITS + COPY_BITS
+#: Sums of one histogram pass: so many bins a node, fewer where many nodes are open.
+BINS, LEAST_BINS, SUMS = 4096, 16, 1 << 15
+AXES = ("id", "size", "source", "lang")
+_BOX = {"leaf": pa.int32(), "axis": pa.int32(), "lo": pa.int64(), "hi": pa.int64(), "step": pa.int64()}
+_SPLIT = {"leaf": pa.int32(), "axis": pa.int32(), "at": pa.int64(), "high": pa.int32()}
 
 
 @dataclass
 class Node:
-    """A box of the tree: the shards it becomes, its first shard's number, and the split once it has one."""
+    """A box that is still to be split: the shards it becomes, its first shard's number, and the interval of its quantile."""
 
     shards: int
     first: int
-    axis: int | None = None
+    axis: int = 0
+    lo: int = 0
+    hi: int = 0
+    below: float = 0.0
+    goal: float = 0.0
+    slack: float = 0.0
     at: int = 0
-    low: Node | None = None
-    high: Node | None = None
+
+    def step(self, bins: int) -> int:
+        return max(1, -(-(self.hi - self.lo) // bins))
 
 
 def _axis(value: Column, low: float, high: float, key: str) -> Column:
     place = F.floor((value.cast("double") - low) / max(high - low, 1e-9) * (2**VALUE_BITS - 1)).cast("long")
     place = F.greatest(F.lit(0), F.least(F.lit(2**VALUE_BITS - 1), F.coalesce(place, F.lit(0))))
-    tie = F.shiftrightunsigned(F.xxhash64(F.lit(key), F.col("doc_id"), F.col("text_crc32")), 64 - TIE_BITS)
-    return F.shiftleft(place, TIE_BITS).bitwiseOR(tie)
+    tie = F.shiftrightunsigned(F.xxhash64(F.lit(key), F.col("doc_id"), F.col("text_crc32")), 64 - HASH_BITS)
+    copy = F.shiftrightunsigned(F.xxhash64(F.lit(key), F.col("row")), 64 - COPY_BITS)
+    return F.shiftleft(place, TIE_BITS).bitwiseOR(F.shiftleft(tie, COPY_BITS)).bitwiseOR(copy)
 
 
-def _leaf(node: Node, axes: list[str]) -> Column:
-    """The first shard of the leaf that a row falls in, as nested conditions."""
-    if node.low is None:
-        return F.lit(node.first)
-    return F.when(F.col(axes[node.axis]) < node.at, _leaf(node.low, axes)).otherwise(_leaf(node.high, axes))
+def positions(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """doc_id, size, text_crc32, leaf (0) and `a`, the row's positions on the axes; with the number of rows and their bytes."""
+    crc = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"))
+    slim = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
+        F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"),
+        crc("source").alias("source_at"),
+        crc("lang").alias("lang_at"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    slim = cut(slim, "shard-sizes")
+    s = slim.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("w"), F.coalesce(F.min("size"), F.lit(1)).alias("s0"), F.coalesce(F.max("size"), F.lit(1)).alias("s1"),
+        F.coalesce(F.min("doc_id"), F.lit(0)).alias("d0"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("d1"),
+    ).first()
+    scale = {
+        "id": (F.col("doc_id"), s["d0"], s["d1"]),
+        "size": (F.log2("size"), float(s["s0"].bit_length()) - 1, float((2 * s["s1"]).bit_length()) - 1),
+        "source": (F.col("source_at"), 0, 2**32 - 1),
+        "lang": (F.col("lang_at"), 0, 2**32 - 1),
+    }
+    placed = slim.select("doc_id", "size", "text_crc32", F.lit(0).alias("leaf"), F.array(*[_axis(*scale[a], a) for a in AXES]).alias("a"))
+    out = cut(placed, "shard-positions")
+    discard(slim)
+    return out, s["n"], s["w"]
+
+
+def _open(rows: DataFrame, todo: list[Node], slack: float) -> list[Node]:
+    """The widest axis of each node, its interval there and the weight sought; nodes without rows are left out."""
+    ends = [f(F.get("a", i)).alias(f"{n}{i}") for i in range(len(AXES)) for n, f in (("lo", F.min), ("hi", F.max))]
+    stats = {r["leaf"]: r for r in rows.groupBy("leaf").agg(F.sum("size").alias("w"), *ends).collect()}  # one row a leaf
+    found = []
+    for node in todo:
+        s = stats.get(node.first)
+        if s is None:
+            continue
+        width = [(s[f"hi{i}"] >> TIE_BITS) - (s[f"lo{i}"] >> TIE_BITS) for i in range(len(AXES))]
+        node.axis = max(range(len(AXES)), key=lambda i: (width[i], -i))
+        node.lo, node.hi, node.below = s[f"lo{node.axis}"], s[f"hi{node.axis}"] + 1, 0.0
+        node.goal, node.slack = s["w"] * (node.shards // 2) / node.shards, slack * s["w"] / node.shards
+        found.append(node)
+    return found
 
 
-def _leaves(node: Node) -> list[Node]:
-    return [node] if node.low is None else _leaves(node.low) + _leaves(node.high)
+def _small(rows: DataFrame, kinds: dict[str, pa.DataType], values: list[tuple]) -> DataFrame:
+    """A broadcast table of a row for each box of the tree, so that every pass runs the same code over other boxes."""
+    columns = zip(*values, strict=True)
+    return F.broadcast(rows.sparkSession.createDataFrame(pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns, strict=True)})))
 
 
-def _bin(axis: str, lo: int, step: int) -> Column:
-    return F.expr(f"cast(({axis} - {lo}L) div {step}L as int)")
+def _sums(rows: DataFrame, nodes: list[Node], bins: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The filled bins of each node's interval in order, with their weights and row counts: SUMS numbers in all at most."""
+    boxes = [(n.first, n.axis, n.lo, n.hi, n.step(bins)) for n in nodes]
+    held = rows.join(_small(rows, _BOX, boxes), "leaf").withColumn("p", F.get("a", F.col("axis"))).filter("p >= lo and p < hi")
+    sums = held.groupBy("leaf", F.expr("(p - lo) div step").alias("bin")).agg(F.sum("size").alias("w"), F.count("*").alias("n")).toArrow()
+    leaf, bin_, w, n = (sums.column(c).to_numpy() for c in ("leaf", "bin", "w", "n"))
+    order = np.lexsort((bin_, leaf))
+    leaf, bin_, w, n = leaf[order], bin_[order], w[order], n[order]
+    at = {x.first: slice(*np.searchsorted(leaf, [x.first, x.first + 1])) for x in nodes}
+    return {k: (bin_[x], w[x], n[x]) for k, x in at.items()}
 
 
-def _medians(rows: DataFrame, tree: Node, axes: list[str], todo: list[Node], slack: float) -> None:
-    """Split each node of todo at its weighted quantile, all at once.
+def _medians(rows: DataFrame, todo: list[Node], slack: float) -> list[Node]:
+    """Find the split of each node, all at once: its weighted quantile on its widest axis.
 
-    Each pass sums the weights in 4096 equal bins of every node's open interval on its axis and narrows the interval
-    to the bin that holds the quantile, until that bin holds one row, weighs no more than the slack or is one position wide. What
-    comes back in a pass is at most 4096 sums a node.
+    Each pass narrows every open interval to the bin that holds the quantile, until that bin holds one row, weighs no
+    more than the slack or is one position wide; the split is then the nearer edge of the bin.
     """
-    leaf = _leaf(tree, axes)
-    span = {f"lo{i}": F.min(a).alias(f"lo{i}") for i, a in enumerate(axes)} | {f"hi{i}": F.max(a).alias(f"hi{i}") for i, a in enumerate(axes)}
-    stats = {r["leaf"]: r for r in rows.groupBy(leaf.alias("leaf")).agg(F.sum("size").alias("w"), *span.values()).collect()}
-    open_ = {}
-    for node in todo:
-        s = stats.get(node.first)
-        if s is None:  # no rows: any split will do
-            node.axis = 0
-            continue
-        width = [(s[f"hi{i}"] >> TIE_BITS) - (s[f"lo{i}"] >> TIE_BITS) for i in range(len(axes))]
-        node.axis = max(range(len(axes)), key=lambda i: (width[i], -i))
-        goal = s["w"] * (node.shards // 2) / node.shards
-        open_[node.first] = [node, s[f"lo{node.axis}"], s[f"hi{node.axis}"] + 1, 0.0, goal, slack * s["w"] / node.shards]
-    while open_:
-        cases = None
-        for first, (node, lo, hi, *_) in open_.items():
-            a = F.col(axes[node.axis])
-            hit = (F.col("leaf") == first) & (a >= lo) & (a < hi)
-            cases = (F if cases is None else cases).when(hit, _bin(axes[node.axis], lo, max(1, -(-(hi - lo) // BINS))))
-        held = rows.withColumn("leaf", _leaf(tree, axes)).withColumn("bin", cases).filter("bin is not null")
-        sums: dict[int, dict[int, tuple[int, int]]] = {}
-        for r in held.groupBy("leaf", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect():
-            sums.setdefault(r["leaf"], {})[r["bin"]] = (r["w"], r["n"])
-        for first in list(open_):
-            node, lo, hi, below, goal, most = open_[first]
-            step = max(1, -(-(hi - lo) // BINS))
-            for k, (w, n) in sorted(sums[first].items()):
-                if below + w >= goal:
-                    break
-                below += w
-            else:
-                below -= w
-            start, end = lo + k * step, min(hi, lo + (k + 1) * step)
-            if w <= most or step == 1 or n == 1:  # the nearer edge of the bin
-                node.at = start if goal - below <= below + w - goal else end
-                del open_[first]
+    found = _open(rows, todo, slack)
+    left = list(found)
+    while left:
+        bins = max(LEAST_BINS, min(BINS, SUMS // len(left)))
+        sums = _sums(rows, left, bins)
+        still = []
+        for node in left:
+            bin_, weights, counts = sums[node.first]
+            up = node.below + np.cumsum(weights)
+            i = min(int(np.searchsorted(up, node.goal)), len(bin_) - 1)
+            k, w, n, below, step = int(bin_[i]), int(weights[i]), int(counts[i]), float(up[i] - weights[i]), node.step(bins)
+            start, end = node.lo + k * step, min(node.hi, node.lo + (k + 1) * step)
+            if w <= node.slack or step == 1 or n == 1:
+                node.at = start if node.goal - below <= below + w - node.goal else end
             else:
-                open_[first] = [node, start, end, below, goal, most]
-    for node in todo:
-        half = node.shards // 2
-        node.low, node.high = Node(half, node.first), Node(node.shards - half, node.first + half)
+                node.lo, node.hi, node.below = start, end, below
+                still.append(node)
+        left = still
+    return found
+
+
+def leaves(rows: DataFrame, n_shards: int, slack: float) -> DataFrame:
+    """rows with `leaf` as the number of the shard that each falls in."""
+    todo = [Node(n_shards, 0)] if n_shards > 1 else []
+    while todo:
+        split = _medians(rows, todo, slack)
+        moved = [(n.first, n.axis, n.at, n.first + n.shards // 2) for n in split]
+        if moved:
+            side = F.when(F.get("a", F.col("axis")) >= F.col("at"), F.col("high")).otherwise(F.col("leaf"))
+            above = rows
+            rows = cut(rows.join(_small(rows, _SPLIT, moved), "leaf", "left").select("doc_id", "size", "text_crc32", side.alias("leaf"), "a"), "shard-leaves")
+            discard(above)
+        halves = [h for n in todo for h in (Node(n.shards // 2, n.first), Node(n.shards - n.shards // 2, n.first + n.shards // 2))]
+        todo = [h for h in halves if h.shards > 1]
+    return rows
 
 
 def shards(docs: DataFrame, n_shards: int | None = 40, target_bytes: int | None = None, slack: float = 0.002) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    The axes are the document's size, id, source and language (the latter two by hash) on a scale of 2**20 places. A
+    The axes are the document's id, size, source and language (the latter two by hash) on a scale of 2**20 places. A
     box that is to become k shards is split along its widest axis at the weighted quantile (k//2)/k of its bytes, found
     by distributed histograms; rows of equal value are ordered by a hash, so one value that holds a third of all rows is
-    split like any other. The boxes are split until each is one shard (`n_shards`, or as many as bring the mean to
-    `target_bytes`). The law is `bytes`: each split is within `slack` of its quantile or within one document of it.
-    size is the text's bytes (null: none) plus 16; text_crc32 is 0 for a null text. slot counts from 0 without gaps in
-    each shard. grown_shard is null, as the law is not `key`. Nulls of any column take the first place of their axis;
-    repeated rows each get a slot; an empty table gives an empty result; further columns are ignored.
+    split like any other, and so are repeated rows. The boxes are split until each is one shard (`n_shards`, or as many
+    as bring the mean to `target_bytes`). The law is `bytes`: each split is within `slack` of its quantile or within one
+    document of it. size is the text's bytes (null: none) plus 16; text_crc32 is 0 for a null text. slot counts from 0
+    without gaps in each shard. grown_shard is null, as the law is not `key`. Nulls of any column take the first place of
+    their axis; repeated rows each get a slot; an empty table gives an empty result; further columns are ignored.
+
+    The open boxes are a small broadcast table and each row carries the box it is in, written once a level to the shared
+    folder; a pass returns at most SUMS sums to the driver (16 for each box where more than 2,048 boxes are open).
     """
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    slim = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"),
-        F.crc32(name("source").cast("binary")).alias("source_at"), F.crc32(name("lang").cast("binary")).alias("lang_at"),
-    )
-    slim = cut(slim, "shard-sizes")
-    s = slim.agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.min("size").alias("s0"), F.max("size").alias("s1"), F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).first()
+    rows, n, weight = positions(docs)
     if target_bytes:
-        n_shards = max(1, round((s["w"] or 0) / target_bytes))
-    d0, d1 = s["d0"] or 0, s["d1"] or 0
-    log = lambda c: F.log2(c)
-    rows = slim.select(
-        "doc_id", "size", "text_crc32", _axis(F.col("doc_id"), d0, d1, "id").alias("a0"), _axis(log(F.col("size")), *[float(len(bin(x or 1))) - 3 for x in (s["s0"], (s["s1"] or 1) * 2)], "size").alias("a1"),
-        _axis(F.col("source_at"), 0, 2**32 - 1, "source").alias("a2"), _axis(F.col("lang_at"), 0, 2**32 - 1, "lang").alias("a3"),
-    )
-    axes = ["a0", "a1", "a2", "a3"]
-    tree = Node(n_shards, 0)
-    while s["n"] and (todo := [x for x in _leaves(tree) if x.shards > 1]):
-        _medians(rows, tree, axes, todo, slack)
-    placed = rows.withColumn("shard", _leaf(tree, axes).cast("int")).withColumn("sub", sub_bucket(F.col("doc_id"), s["n"] or 0, least=1))
+        n_shards = max(1, round(weight / target_bytes))
+    if n:
+        rows = leaves(rows, n_shards, slack)
+    placed = rows.select("doc_id", "size", "text_crc32", F.col("leaf").alias("shard"), sub_bucket(F.col("doc_id"), n, least=1).alias("sub"))
     out = rank_in(placed, ["shard"], ["sub"], [F.col("doc_id").asc_nulls_first(), F.col("text_crc32")], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
