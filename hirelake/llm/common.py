@@ -57,6 +57,29 @@ def discard(df: DataFrame) -> None:
         fs.delete(place, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where df has a column of that name already."""
+    held, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in held:
+            n += "_"
+        held.add(n.lower())
+        out.append(n)
+    return out
+
+
+def join_spread(df: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "inner") -> DataFrame:
+    """df joined to `small`, which has one row for each key, where one key may hold any share of df's rows.
+
+    df's rows are dealt by the keys and a salt of `spread`; small's row goes once to each salt that occurs with its key,
+    no more than there are shuffle partitions.
+    """
+    salt, n = "_salt", int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn(salt, F.pmod(F.xxhash64(spread), F.lit(n)).cast("int"))
+    parts = df.select(*keys, salt).distinct().join(small, keys)
+    return df.join(parts, [*keys, salt], how).drop(salt)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

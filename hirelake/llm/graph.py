@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from .common import cut
+from .common import cut, discard
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with m = the least of u and all its v. The least is a partial aggregate; the join may be split by AQE."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m0"))
-    return pairs.join(least, "u").withColumn("m", F.least("u", "m0")).drop("m0")
+    """pairs (u, v) with m = the least of u and all its v.
+
+    A node's pairs are dealt by a salt of v over as many parts as the session has shuffle partitions, so that the centre
+    of a star is spread like any other rows. The least of each part is found where its pairs are; the parts of a node,
+    no more than there are salts, then agree on theirs and are joined back to their own pairs.
+    """
+    salts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    part = pairs.groupBy("u", "salt").agg(F.min("v").alias("m0"))
+    part = part.select("u", "salt", F.min("m0").over(W.Window.partitionBy("u")).alias("m0"))
+    return pairs.join(part, ["u", "salt"]).select("u", "v", F.least("u", "m0").alias("m"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
@@ -28,7 +37,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 4
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = _with_least(large)  # every v is the lesser end here
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        last = pairs
         pairs = cut(small.filter("u <> v").distinct(), "edges")
+        discard(last)
         now = pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(20,0)))")).first()
         if now == before:
             break
