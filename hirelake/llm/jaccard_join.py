@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, digest, mix, runs, shingles, slices, word_hashes
+from .common import cut, digest, discard, join_spread, mix, runs, shingles, slices, unused, word_hashes
 from .graph import components
 
 HASHES, ROWS, BANDS = 64, 3, 21
+#: Mean shingles a text at which a block of texts keeps its number of rows; blocks of longer texts have fewer.
+SHINGLES = 4096
 _SEED = np.random.default_rng(7919)
 _A = _SEED.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -130,19 +132,10 @@ def _verify(threshold: float):
 
     def run(batches):
         for group in runs(batches, ["comp", "g"]):
-            sets, rows, held = [], [], set()
-            for i, (key, text) in enumerate(zip(group["key"], group["text"], strict=True)):
-                if key in held:
-                    continue
-                words = word_hashes(text)
-                if digest(words) == key:
-                    held.add(key)
-                    sets.append(shingles(words))
-                    rows.append(i)
-            if len(rows) < 2:
+            if len(group) < 2:
                 continue
-            group = group.iloc[rows]
             keys, weight, block = group["key"].tolist(), group["weight"].to_numpy(), group["block"].to_numpy()
+            sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
             size = np.array([len(s) for s in sets])
             if len(sets) == 2:
                 both = len(np.intersect1d(*sets, assume_unique=True))
@@ -179,16 +172,38 @@ def _verify(threshold: float):
     return run
 
 
-def _blocks(df: DataFrame, size, width: int, *group: str) -> DataFrame:
-    """Deal the members of each group into blocks of about `width` rows and pair every two blocks of a group.
+def _shingled(batches):
+    """The texts' shingle hashes, for those whose words are the class's own (one id may stand on different texts)."""
+    for rb in slices(batches):
+        sets = []
+        for key, text in zip(rb.column("key").to_pylist(), rb.column("text").to_pylist(), strict=True):
+            words = word_hashes(text)
+            sets.append(shingles(words).tobytes() if digest(words) == key else None)
+        columns = [rb.column(c) for c in rb.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], names=[*(c for c in rb.schema.names if c != "text"), "shingles"])
+
+
+def _blocks(df: DataFrame, blocks, *group: str) -> DataFrame:
+    """Deal the members of each group into its number of blocks and pair every two blocks of a group.
 
     Column g numbers the pair, cross tells two different blocks from one with itself. No pair of members is missed, and
     each stands in one pair of blocks: within a block where cross is false, else across.
     """
-    nb = F.ceil(size / F.lit(width)).cast("int")
-    block = F.pmod(F.xxhash64("key"), nb).cast("int")
-    df = df.withColumn("nb", nb).withColumn("block", block)
-    return df.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("g", F.least("x", "block") * F.col("nb") + F.greatest("x", "block")).withColumn("cross", F.col("x") != F.col("block")).drop("x", "nb")
+    nb = F.greatest(F.lit(1), F.ceil(blocks)).cast("int")
+    df = df.withColumn("nb", nb).withColumn("block", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    df = df.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    pair = F.least("x", "block") * F.col("nb") + F.greatest("x", "block")
+    return df.withColumn("g", pair).withColumn("cross", F.col("x") != F.col("block")).drop("x", "nb")
+
+
+def _dealt(df: DataFrame, work: int, keys: list[str], a_task: int) -> DataFrame:
+    """df in runs of equal keys over as many tasks as `work`, the comparisons to be made, asks for.
+
+    The number is given, as rows joined by bytes alone would leave the quadratic work to a few tasks.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = min(200_000, max(least, -(-work // a_task)))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, bucket: int = 4096, block: int = 512) -> DataFrame:
@@ -209,41 +224,54 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
     `kept` marks the rows whose id is the class's (where no row of a class has an id, those with its least rid). An empty table gives an empty result; further columns are ignored.
     """
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("rid"), F.xxhash64("text").alias("hash"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(slim.mapInArrow(_sketch, "rid long, hash long, doc_id long, key binary, n int, sig binary, bands array<bigint>"), "sketch")
-    classes = cut(rows.groupBy("key").agg(F.min(F.struct("rid", "hash")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.max("sig").alias("sig"), F.max("bands").alias("bands")), "classes")
-
-    dealt = classes.select("key", F.explode("bands").alias("bh"))
-    shared = dealt.groupBy("bh").agg(F.count("*").alias("m")).filter("m > 1")
-    members = dealt.join(shared, "bh").join(classes.select("key", "sig"), "key")
-    members = _blocks(members, F.col("m"), bucket, "bh").select("bh", "g", "key", "sig")
+    kind = "rid long, hash long, doc_id long, key binary, n int, sig binary, bands array<bigint>"
+    rows = cut(slim.mapInArrow(_sketch, kind).withColumn("row", F.monotonically_increasing_id()), "sketch")
+    classes = rows.groupBy("key").agg(
+        F.min(F.struct("rid", "hash")).alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("weight"),
+        F.max("n").alias("n"), F.max("sig").alias("sig"), F.max("bands").alias("bands"),
+    )
+    classes = cut(classes, "classes")
+
+    held = classes.select("key", F.explode("bands").alias("bh"))
+    shared = cut(held.groupBy("bh").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    work = shared.agg(F.sum(F.col("m") * F.least(F.col("m"), F.lit(2 * bucket)))).first()[0] or 0
+    members = join_spread(held, shared, ["bh"], F.col("key")).join(classes.select("key", "sig"), "key")
+    members = _blocks(members, F.col("m") / bucket, "bh").select("bh", "g", "key", "sig")
     bars = least_matches(threshold, tolerance, (16, 32, 48, 64))
-    candidate = members.repartition("bh", "g").sortWithinPartitions("bh", "g").mapInArrow(_candidates(bars), "a binary, b binary")
+    candidate = _dealt(members, work, ["bh", "g"], 50_000_000).mapInArrow(_candidates(bars), "a binary, b binary")
     cluster = cut(components(candidate).select(F.col("node").alias("key"), F.col("label").alias("comp")), "clusters")
-
-    sizes = cluster.groupBy("comp").agg(F.count("*").alias("m"))
-    part = cluster.join(sizes, "comp").join(classes.select("key", "rep", "weight"), "key")
-    part = part.select("comp", "m", "key", "weight", F.col("rep.rid").alias("rid"), F.col("rep.hash").alias("hash"))
-    texts = slim.groupBy("rid", "hash").agg(F.first("text").alias("text"))
-    part = part.join(texts, ["rid", "hash"]).select("comp", "m", "key", "weight", "text")
-    part = _blocks(part, F.col("m"), block, "comp").select("comp", "g", "cross", "key", "weight", "block", "text")
-    found = part.repartition("comp", "g").sortWithinPartitions("comp", "g").mapInArrow(_verify(threshold), "key binary, links long, root binary")
+    discard(shared)
+
+    part = cluster.join(classes.select("key", "rep", "weight", "n"), "key")
+    sizes = part.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    sizes = cut(sizes.select("comp", F.greatest(F.col("m") / block, F.col("all") / (block * SHINGLES)).alias("nb"), "m", "all"), "cluster-sizes")
+    work = sizes.agg(F.sum(F.col("all") * F.greatest(F.lit(1.0), F.col("nb")) * F.least(F.col("m"), F.lit(block)))).first()[0] or 0
+    part = join_spread(part, sizes, ["comp"], F.col("key"))
+    part = part.select("comp", "nb", "key", "weight", F.col("rep.rid").alias("rid"), F.col("rep.hash").alias("hash"))
+    texts = slim.select("rid", "hash", "text").join(part, ["rid", "hash"]).select("comp", "nb", "key", "weight", "text")
+    texts = texts.mapInArrow(_shingled, "comp binary, nb double, key binary, weight long, shingles binary").filter("shingles is not null").dropDuplicates(["key"])
+    texts = _blocks(texts, F.col("nb"), "comp").select("comp", "g", "cross", "key", "weight", "block", "shingles")
+    found = _dealt(texts, int(work), ["comp", "g"], 200_000_000).mapInArrow(_verify(threshold), "key binary, links long, root binary")
     found = cut(found, "links")
+    discard(sizes)
     label = components(found.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "label")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     named = classes.select("key", "least", "rep", "weight").join(links, "key", "left").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = cut(named, "named")
     ids = named.groupBy("label").agg(F.min("least").alias("class_id"), F.min("rep.rid").alias("first_rid"))
     ids = ids.withColumn("class_rid", F.coalesce("class_id", "first_rid"))
-    named = named.join(ids, "label").select("key", "label", "class_id", "class_rid", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    return rows.select("rid", "hash", "doc_id", "key").join(named, "key").select("doc_id", "class_id", "n_links", (F.col("rid") == F.col("class_rid")).alias("kept"), "rid", "class_rid", "hash", "label")
+    named = join_spread(named, ids, ["label"], F.col("key")).select("key", "label", "class_id", "class_rid", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = join_spread(rows.select("rid", "hash", "doc_id", "key", "row"), named, ["key"], F.col("row"))
+    return out.select("doc_id", "class_id", "n_links", (F.col("rid") == F.col("class_rid")).alias("kept"), "rid", "class_rid", "hash", "label")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs less all but one of each class of near duplicates; the columns stay as they are.
 
-    Of the class's rows with the kept id, one with the text of least hash stays.
+    Of the class's rows with the kept id, one with the text of least hash stays. Further columns may have any name.
     """
+    rid, text = unused(docs, "rid_", "text_")
     kept = near_duplicates(docs, **options).filter("kept").groupBy("label").agg(F.min(F.struct("rid", "hash")).alias("row"))
-    chosen = kept.select(F.col("row.rid").alias("_rid"), F.col("row.hash").alias("_text")).distinct()
-    rid = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    docs = docs.withColumn("_rid", rid).withColumn("_text", F.xxhash64("text"))
-    return docs.join(chosen, ["_rid", "_text"], "left_semi").dropDuplicates(["_rid", "_text"]).drop("_rid", "_text")
+    chosen = kept.select(F.col("row.rid").alias(rid), F.col("row.hash").alias(text)).distinct()
+    docs = docs.withColumn(rid, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn(text, F.xxhash64("text"))
+    return docs.join(chosen, [rid, text], "left_semi").dropDuplicates([rid, text]).drop(rid, text)
