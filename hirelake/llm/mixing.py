@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import cut
+from .common import cut, unused
 from .ranking import rank_in, sub_bucket
 
 WEIGHTS = (5, 2, 1)
@@ -73,11 +73,14 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, s
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document's row as many times as it has copies; the columns stay as they are.
 
-    Rows that share id, source and text count as one document with the copies of all of them.
+    Rows that share id, source and text count as one document with the copies of all of them. Further columns may have
+    any name.
     """
-    n = copies(docs, **options).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias("_n")).filter("_n > 0")
-    n = n.select(F.struct("doc_id", "source", "tie").alias("_row"), "_n")
-    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"))
+    row, times, copy = unused(docs, "row_", "times_", "copy_")
+    n = copies(docs, **options).groupBy("doc_id", "source", "tie").agg(F.sum("copies").alias(times)).filter(F.col(times) > 0)
+    n = n.select(F.struct("doc_id", "source", "tie").alias(row), times)
+    tie = F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie")
     own = docs.columns
-    once = docs.withColumn("_row", row).join(n, "_row").dropDuplicates(["_row"])
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*own)
+    docs = docs.withColumn(row, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tie))
+    once = docs.join(n, row).dropDuplicates([row])
+    return once.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*own)

@@ -85,7 +85,7 @@ def _op9() -> str:
     kinds = secrets.BASE + secrets.ADDED
     quoted = [(i, k, p.replace("'", "''"), g, n) for i, (k, p, g, n) in enumerate(kinds)]
     found = " UNION ALL ".join(
-        f"SELECT doc_id, owner, {i} AS rank, '{k}' AS kind, {n} AS least, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {g}) AS v, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')"
+        f"SELECT doc_id, owner, t, {i} AS rank, '{k}' AS kind, {n} AS least, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {g}) AS v, string_split_regex(t, '{p}') AS g FROM d WHERE regexp_matches(t, '{p}')"
         for i, k, p, g, n in quoted
     )
     last = len(secrets.BASE)
@@ -95,9 +95,10 @@ def _op9() -> str:
     return f"""WITH d AS (SELECT doc_id, coalesce('s' || source, '') AS owner, coalesce(text, '') AS t FROM documents),
 found AS ({found}),
 each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
-span AS (SELECT doc_id, owner, rank, kind, v[i] AS value, length(m[i]) AS n, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
+span AS (SELECT doc_id, owner, t, rank, kind, v[i] AS value, length(m[i]) AS n, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
     + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS s FROM each WHERE length(v[i]) >= least),
-own AS (SELECT value, count(DISTINCT owner) <= {secrets.MOST_OWNERS} AS live FROM span GROUP BY value),
+own AS (SELECT value, count(DISTINCT owner) <= {secrets.MOST_OWNERS} AND count(DISTINCT (owner, t)) <= {secrets.MOST_REPOSITORIES}
+    AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}') AND len(list_distinct(string_split(value, ''))) >= {secrets.LEAST_CHARACTERS} AS live FROM span GROUP BY value),
 judged AS (SELECT span.*, live FROM span JOIN own ON span.value = own.value),
 x AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE {p}) AS {n}" for n, p in names.items())},
     {line} FILTER (WHERE rank < {last}) AS base, {line} FILTER (WHERE live OR rank < {last}) AS spans FROM judged GROUP BY doc_id)

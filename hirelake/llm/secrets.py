@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, join_spread, text_or_empty, unused
 
 #: kind, pattern, group that holds the value, least length of the value. Fixed values.
 BASE = [
@@ -24,7 +24,10 @@ ADDED = [
     ("privatekey", _HEAD + _BODY, 1, 27),
 ]
 KINDS = [k for k, *_ in BASE + ADDED]
-MOST_OWNERS = 2
+#: A value is an example where more sources or more of their texts hold it, whatever it looks like.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 8
+#: Values that say of themselves that they are none, and values of fewer distinct characters.
+PLACEHOLDER, LEAST_CHARACTERS = r"(?i)example|sample|placeholder|dummy|changeme|change_me|redacted|your[-_.]|x{4}|(?:0123|1234)5678", 2
 #: One look over the text decides whether it needs the exact patterns at all.
 ANY = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|gh[pousr]_|glpat-|xox[abprs]-|sk[-_]|eyJ|PRIVATE KEY"
 
@@ -57,44 +60,53 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def placeholder(value: Column) -> Column:
+    """Whether a value says that it is none, or holds too few distinct characters to be one."""
+    distinct = F.size(F.array_remove(F.array_distinct(F.split(value, "")), ""))
+    return value.rlike(PLACEHOLDER) | (distinct < LEAST_CHARACTERS)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """rid, doc_id, source and the candidate spans of each row; value hashes stand for the values."""
     text = text_or_empty()
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("owner"), text.alias("text")).withColumn("any", F.col("text").rlike(ANY))
     every = F.concat(*[spans(F.col("text"), *p) for p in BASE + ADDED])
-    bare = F.transform(every, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["end"], F.sha2(x["value"], 256).alias("value")))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
+    bare = F.transform(every, lambda x: F.struct(x["start"], x["rank"], x["kind"], x["end"], F.sha2(x["value"], 256).alias("value"), (~placeholder(x["value"])).alias("real")))
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string,real:boolean>>")
     out = slim.select("doc_id", "owner", F.xxhash64("text").alias("tie"), F.when(F.col("any"), bare).otherwise(none).alias("found"))
     return cut(out.withColumn("rid", F.monotonically_increasing_id()), "candidates")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """For each candidate value: the owners and the repositories (owner and document) that hold it, and whether it looks live.
+    """For each candidate value: the owners and the repositories that hold it, and whether it is few enough to be live.
 
-    Both are counted over distinct pairs, aggregated before the shuffle, so a value copied into a third of all
-    documents does not gather in a task. A null owner is one owner.
+    An owner is a source, a repository one text of a source: exact copies of a text within a source count once. Both are
+    counted over distinct triples, aggregated before each shuffle, so a value copied into a third of all documents does
+    not gather in a task. A null owner is one owner.
     """
-    held = found.filter(F.size("found") > 0).select("owner", "doc_id", F.explode("found").alias("f"))
-    held = held.select(F.col("f.value").alias("value"), F.coalesce(F.concat(F.lit("s"), "owner"), F.lit("")).alias("owner"), "doc_id")
-    owners = held.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"))
-    repos = held.select("value", "owner", "doc_id").distinct().groupBy("value").agg(F.count("*").alias("repositories"))
-    return owners.join(repos, "value").withColumn("live", F.col("owners") <= MOST_OWNERS)
+    held = found.filter(F.size("found") > 0).select("owner", "tie", F.explode("found").alias("f"))
+    held = held.select(F.col("f.value").alias("value"), F.coalesce(F.concat(F.lit("s"), "owner"), F.lit("")).alias("owner"), "tie").distinct()
+    each = held.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    return each.withColumn("own", (F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_added, tie, judged.
 
-    Base matches always stay. A wider candidate (a prefixed key, a signed token, a private key's whole block) is added only
-    where at most MOST_OWNERS distinct sources hold its value: widely copied values are examples. n_live and n_example
-    count all spans by that ownership. `judged` lists the spans with their verdict.
+    A value is live where at most MOST_OWNERS sources and MOST_REPOSITORIES of their distinct texts hold it and it does
+    not look like a placeholder; all others are examples. Base matches always stay; a wider candidate (a prefixed key, a
+    signed token, a private key's whole block) is added only where its value is live. n_live and n_example count the
+    spans by that verdict. `judged` lists the spans with it.
 
     A null text is empty and has no spans; a null source is one owner; repeated rows each get a row; an empty table
     gives an empty result; texts are scanned whole; further columns are ignored.
     """
     found = candidates(docs)
     own = ownership(found)
-    each = found.filter(F.size("found") > 0).select("rid", F.explode("found").alias("f")).withColumn("value", F.col("f.value")).join(own, "value")
-    span = F.struct(*[F.col(f"f.{c}").alias(c) for c in ("start", "rank", "kind", "end")], F.col("live"), F.col("owners"), F.col("repositories"))
+    each = found.filter(F.size("found") > 0).select("rid", F.explode("found").alias("f")).withColumn("value", F.col("f.value"))
+    each = join_spread(each, own, ["value"], F.col("rid"))
+    live = (F.col("own") & F.col("f.real")).alias("live")
+    span = F.struct(*[F.col(f"f.{c}").alias(c) for c in ("start", "rank", "kind", "end")], live, F.col("owners"), F.col("repositories"))
     per_row = each.groupBy("rid").agg(F.array_sort(F.collect_list(span)).alias("judged"))
     kind = "array<struct<start:int,rank:int,kind:string,end:int,live:boolean,owners:bigint,repositories:bigint>>"
     df = found.join(per_row, "rid", "left").withColumn("judged", F.coalesce("judged", F.array().cast(kind)))
@@ -114,22 +126,23 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every live-looking secret replaced by the mark; widely copied examples and clean texts stay as they are.
 
     Only rows with a live span are joined to their spans; the others pass without a shuffle. n_chars follows the text.
+    Further columns may have any name.
     """
+    row, judged = unused(docs, "row_", "judged_")
     live = scan(docs).withColumn("judged", F.filter("judged", lambda x: x["live"])).filter(F.size("judged") > 0)
-    live = live.groupBy("doc_id", "tie").agg(F.max("judged").alias("judged")).select(F.struct("doc_id", "tie").alias("_row"), "judged")
+    live = live.groupBy("doc_id", "tie").agg(F.max("judged").alias("judged")).select(F.struct("doc_id", "tie").alias(row), F.col("judged").alias(judged))
     own = docs.columns
     text = text_or_empty()
     suspect = text.rlike(ANY)
-    row = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"))
 
     def step(acc, x):
         gap = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), gap.alias("out"))
 
     end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1) - acc["at"]))
-    clean = F.aggregate("judged", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
-    hit = docs.filter(suspect).withColumn("_row", row).join(live, "_row", "left")
-    hit = hit.withColumn("text", F.when(F.col("judged").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate(judged, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, end)
+    hit = docs.filter(suspect).withColumn(row, F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"))).join(live, row, "left")
+    hit = hit.withColumn("text", F.when(F.col(judged).isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in own:
-        hit = hit.withColumn("n_chars", F.when(F.col("judged").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        hit = hit.withColumn("n_chars", F.when(F.col(judged).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return docs.filter(~suspect).unionByName(hit.select(*own))

@@ -29,3 +29,18 @@ def empty(spark):
 
 def read(spark, table, sf="/root/testdata/sf0.001"):
     return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+CLASHES = [
+    "row", "tie", "judged", "live", "found", "owner", "rid", "hash", "label", "class_id", "kept", "size", "times", "copies", "copy", "rank", "bucket", "value",
+    "row_", "judged_", "times_", "copy_", "rid_", "text_", "_n", "_row", "_copy", "_rid", "_text", "_salt", "_at", "_b", "_g", "key", "sig", "bands", "taken", "target",
+]
+
+
+def clashing(spark):
+    """A few plain documents with a further column for every name that a stage uses inside."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"document {i} " + " ".join(f"w{i}x{j}" for j in range(30)) + f" token={i}f8a7b6c5d4e3f2a1b0c9d8e7", "en", f"s{i % 2}", 1) for i in range(6)]
+    rows += [(9, rows[0][1], "en", "s1", 1), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS).select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])

@@ -171,7 +171,8 @@ def test_links_against_brute_force(spark):
     unit = d / np.linalg.norm(d, axis=1)[:, None]
     linked = unit @ unit.T >= 0.9
     np.fill_diagonal(linked, False)
-    for sizes in ({}, {"block": 8}):
+    assert embedding_links.plan_bands(len(rows), 0.9, 1e-5, 1)[0] == 9
+    for sizes in ({}, {"block": 8}, {"bucket": 1}):
         got = {r.vec_id: r for r in embedding_links.linked(df, **sizes).collect()}
         assert len(got) == len(rows) + len(bad)
         assert [got[i].n_links for i in range(len(v))] == linked.sum(axis=1).tolist()
@@ -193,9 +194,12 @@ def test_estimates_are_unbiased_and_bounded():
     a, b = (x / np.linalg.norm(x, axis=1)[:, None] for x in (a, b))
     bits, corr = embedding_links.codes(a)
     turned = b @ embedding_links.rotation(64)
-    guess, error = embedding_links.estimate(bits, corr, turned, 5.0)
+    near, step, lost = embedding_links.quantised(turned)
     true = a @ b.T
-    assert abs((guess - true).mean()) < 0.01 and (np.abs(guess - true) <= error[:, None]).mean() > 0.9999
+    for coordinates, short in ((turned, np.zeros(2000)), (near * step[:, None], lost)):
+        guess, error = embedding_links.estimate(bits, corr, coordinates, short, 5.0)
+        assert abs((guess - true).mean()) < 0.01 and (np.abs(guess - true) <= error).mean() > 0.9999
+    assert (np.abs(near * step[:, None] - turned) <= step[:, None] * 0.5 + 1e-12).all() and lost.max() < 0.03
 
 
 def test_links_empty(spark):

@@ -146,6 +146,20 @@ def test_owners_decide(spark):
     assert red[3].text == f"see {copied} there" and len(red) == 6
 
 
+def test_repositories_decide(spark):
+    """A value in many texts of one source is an example; exact copies of one text count once; a placeholder never counts."""
+    value = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f"text {i} has token = {value('hot')} in it", "en", "hot", 1) for i in range(200)]
+    rows += [(1000 + i, f"mirrored with ghp_{value('copy')}", "en", "hot", 1) for i in range(200)]
+    rows += [(2000 + i, f"text {i} has token = {value('few')} in it", "en", "hot", 1) for i in range(8)]
+    rows += [(3000, "set password=your-password or api_key=EXAMPLE123 or secret=xxxxxxxx here", "en", "s", 1)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all((got[i].n_live, got[i].n_example) == (0, 2) for i in range(200))
+    assert all(got[1000 + i].n_added == 1 for i in range(200))
+    assert all((got[2000 + i].n_live, got[2000 + i].n_example) == (2, 0) for i in range(8))
+    assert (got[3000].n_assign, got[3000].n_live, got[3000].n_example) == (3, 0, 3)
+
+
 def test_private_keys_differ_by_body(spark):
     body = lambda i: "\n".join(hashlib.sha512(f"{i}:{j}".encode()).hexdigest() for j in range(3)).upper() + "\nabc="
     head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
