@@ -1,12 +1,15 @@
 """SentencePiece encoding and decoding; giant documents by a parallel max-plus scan over chunks.
 
-The encodings of a byte-pair model are the paths of a lattice whose edges weigh 0 where two neighbouring pieces stand
-side by side in the encoding of their concatenation, and minus infinity elsewhere: a sequence of pieces is its text's
-encoding exactly when every neighbouring pair is that of its own text. So each chunk has a transfer matrix in the
-(max, +) semiring over boundary states, a state being the piece that covers or ends at the boundary and how far it
-reaches beyond. As weights are 0 or minus infinity, a matrix is kept as the set of its finite entries. Matrices are
-combined associatively in a tree; the one path of weight 0 then fixes each boundary's state, and every chunk is
-traced back on its own.
+An encoding is the path of greatest weight through a lattice of pieces. Each chunk has a transfer matrix in the
+(max, +) semiring over boundary states: entry (x, y) is the greatest weight of a path that enters the chunk in state x
+and leaves it in state y. Matrices are combined associatively in a tree; the best path through the whole then fixes each
+boundary's state, and every chunk is traced back on its own.
+
+* In a unigram model an edge weighs its piece's log probability, and a state is how far the piece at the boundary reaches
+  beyond it.
+* In a byte-pair model an edge weighs 0 where two neighbouring pieces stand side by side in the encoding of their
+  concatenation, and minus infinity elsewhere: a sequence of pieces is its text's encoding exactly when every
+  neighbouring pair is that of its own text. A state is that reach and the piece itself.
 """
 
 from __future__ import annotations
@@ -45,18 +48,54 @@ def model(proto: bytes) -> Pieces:
     return _MODELS[proto]
 
 
+def _fields(raw: bytes):
+    """(number, value) of the fields of a serialised message that are whole numbers or byte strings."""
+
+    def number(at):
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            shift += 7
+            at += 1
+            if raw[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        tag, at = number(at)
+        if tag & 7 == 0:
+            value, at = number(at)
+            yield tag >> 3, value
+        elif tag & 7 == 2:
+            n, at = number(at)
+            yield tag >> 3, raw[at : at + n]
+            at += n
+        else:
+            at += 8 if tag & 7 == 1 else 4
+
+
+def is_unigram(proto: bytes) -> bool:
+    """Whether a model file is of unigram type: field 3 of its trainer settings (field 2), 1 where unset."""
+    settings = next((v for f, v in _fields(proto) if f == 2), b"")
+    return next((v for f, v in _fields(settings) if f == 3), 1) == 1
+
+
 class Pieces:
-    """A byte-pair model: the library for whole texts, and the pieces' scores for the lattice of a chunk."""
+    """A model: the library for whole texts, and the pieces' scores for the lattice of a chunk."""
 
     def __init__(self, proto: bytes):
         import sentencepiece
 
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        self.unigram = is_unigram(proto)
         n = len(self.lib)
         special = lambda i: self.lib.is_control(i) or self.lib.is_unknown(i) or self.lib.is_byte(i) or self.lib.is_unused(i)
         self.id = {self.lib.id_to_piece(i): i for i in range(n) if not special(i)}
         self.score = {p: self.lib.get_score(i) for p, i in self.id.items()}
         self.byte = [self.lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.bytes = self.lib.is_byte(self.byte[0])
+        #: What the library gives a character that no piece covers: ten less than the least score.
+        self.unknown = min(self.score.values(), default=0.0) - 10.0
         self.longest = max(map(len, self.id), default=1)
         self.splits = all(BAR not in p.lstrip(BAR) for p in self.id)
         self.known: dict[str, list[int]] = {}
@@ -84,11 +123,13 @@ class Pieces:
 
     def ids(self, piece: str) -> list[int]:
         i = self.id.get(piece)
-        return [i] if i is not None else [self.byte[b] for b in piece.encode("utf-8")]
+        if i is not None:
+            return [i]
+        return [self.byte[b] for b in piece.encode("utf-8")] if self.bytes else [self.lib.unk_id()]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text. Where no piece spans the start of a word, words are encoded one by one and remembered."""
-        if not text or not self.splits or text[0] == " " or text[-1] == " " or "  " in text or BAR in text:
+        if not text or self.unigram or not self.splits or text[0] == " " or text[-1] == " " or "  " in text or BAR in text:
             return self.lib.encode(text)
         known, out = self.known, []
         for word in text.split(" "):
@@ -115,8 +156,65 @@ class Pieces:
 START = ""
 
 
+class WeighedChunk:
+    """Part [a, b) of an escaped text under a unigram model, seen with `longest` characters on either side."""
+
+    def __init__(self, m: Pieces, seen: str, a: int, b: int, first: bool, last: bool):
+        self.m, self.s, self.a, self.b, self.first, self.last = m, seen, a, b, first, last
+
+    def _edges(self, p: int):
+        """(end, weight) of the pieces that start at p; a character without a piece of its own may stand as unknown."""
+        s, score, alone = self.s, self.m.score, False
+        for k in range(1, min(self.m.longest, len(s) - p) + 1):
+            w = score.get(s[p : p + k])
+            if w is not None:
+                alone = alone or k == 1
+                yield p + k, w
+        if not alone:
+            yield p + 1, self.m.unknown
+
+    def _best(self, starts: list[int]) -> np.ndarray:
+        """Greatest weight from each start to each place up to `longest` beyond b, by pieces that start before b."""
+        best = np.full((len(self.s) + 1 - self.a, len(starts)), -np.inf)
+        for n, p in enumerate(starts):
+            best[p - self.a, n] = 0.0
+        for p in range(self.a, self.b):
+            here = best[p - self.a]
+            if np.isfinite(here).any():
+                for end, w in self._edges(p):
+                    np.maximum(best[end - self.a], here + w, out=best[end - self.a])
+        return best
+
+    def transfer(self) -> list[tuple[str, str, float]]:
+        """The finite entries of the transfer matrix: reach at the start, reach at the end, weight."""
+        reach = [0] if self.first else range(min(self.m.longest, len(self.s) + 1 - self.a))
+        best = self._best([self.a + r for r in reach])
+        exits = [self.b] if self.last else range(self.b, min(len(self.s), self.b + self.m.longest - 1) + 1)
+        return [(str(r), str(e - self.b), float(w)) for n, r in enumerate(reach) for e in exits if np.isfinite(w := best[e - self.a, n])]
+
+    def trace(self, entry: str, exit_: str) -> list[int]:
+        """Ids of the pieces that start in this chunk, on the best path from one boundary state to the other."""
+        start, end = self.a + int(entry), self.b + int(exit_)
+        best = self._best([start])[:, 0]
+        into: dict[int, list[int]] = {}
+        for p in range(start, self.b):
+            if np.isfinite(best[p - self.a]):
+                for e, w in self._edges(p):
+                    if best[p - self.a] + w == best[e - self.a]:
+                        into.setdefault(e, []).append(p)
+        out: list[list[int]] = []
+        while end > start:
+            p = into[end][0]
+            out.append(self.m.ids(self.s[p:end]))
+            end = p
+        return [i for ids in reversed(out) for i in ids]
+
+
 class Chunk:
-    """Part [a, b) of an escaped text, seen with `longest` characters on either side."""
+    """Part [a, b) of an escaped text under a byte-pair model, seen with `longest` characters on either side.
+
+    As weights are 0 or minus infinity, a state keeps the set of entries that reach it as the bits of a number.
+    """
 
     def __init__(self, m: Pieces, seen: str, a: int, b: int, first: bool, last: bool):
         self.m, self.s, self.a, self.b, self.first, self.last = m, seen, a, b, first, last
@@ -177,22 +275,20 @@ class Chunk:
         """States at the end with the mask of entries that reach them; of the last chunk, the text's end alone."""
         return [((p - self.b, t), mask) for p, x in found.items() if p >= self.b and (p == self.b or not self.last) for t, mask in x.items()]
 
-    def transfer(self) -> list[tuple[str, str]]:
-        """The finite entries of the transfer matrix."""
+    def transfer(self) -> list[tuple[str, str, float]]:
+        """The finite entries of the transfer matrix, all 0."""
         entries = self.entries()
         if self.cut_from is None:
             pairs = self._exits(self._walk(self._sources(entries), self.b)[0])
         else:
             sources = self._sources(entries)
-            beyond = [n for n, (r, _) in enumerate(entries) if self.a + r > self.cut_from]
             found, _ = self._walk({p: x for p, x in sources.items() if p <= self.cut_from}, self.cut_from)
             into = 0
             for mask in found.get(self.cut_from, {}).values():
                 into |= mask
-            assert not any(n for n in beyond if into >> n & 1)
             pairs = [(e, into) for e, mask in self._exits(self._walk({self.cut_to: {START: 1}}, self.b)[0]) if mask]
         name = lambda x: f"{x[0]}:{x[1]}"
-        return [(name(e), name(x)) for x, mask in pairs for n, e in enumerate(entries) if mask >> n & 1]
+        return [(name(e), name(x), 0.0) for x, mask in pairs for n, e in enumerate(entries) if mask >> n & 1]
 
     def trace(self, entry: str, exit_: str) -> list[int]:
         """Ids of the pieces that start in this chunk, on the path from one boundary state to the other."""
@@ -221,26 +317,38 @@ def escaped(text: str) -> str:
     return BAR + text.replace(" ", BAR)
 
 
-def compose(matrices: list[list[tuple[str, str]]]) -> list[tuple[str, str]]:
-    """The (max, +) product of matrices given by their finite entries, which all weigh 0."""
-    total = matrices[0]
-    for m in matrices[1:]:
-        after: dict[str, list[str]] = {}
-        for a, b in m:
-            after.setdefault(a, []).append(b)
-        total = sorted({(a, c) for a, b in total for c in after.get(b, ())})
-    return total
+Matrix = list[tuple[str, str, float]]
 
 
-def between(matrices: list[list[tuple[str, str]]], entry: str, exit_: str) -> list[tuple[str, str]]:
-    """Each matrix's own entry and exit on the path from `entry` to `exit_`."""
-    ahead, here = [], {entry}
+def compose(matrices: list[Matrix]) -> Matrix:
+    """The (max, +) product of matrices given by their finite entries."""
+    total = {(a, b): w for a, b, w in matrices[0]}
+    for m in matrices[1:]:
+        after: dict[str, list[tuple[str, float]]] = {}
+        for a, b, w in m:
+            after.setdefault(a, []).append((b, w))
+        product: dict[tuple[str, str], float] = {}
+        for (a, b), v in total.items():
+            for c, w in after.get(b, ()):
+                if v + w > product.get((a, c), -np.inf):
+                    product[a, c] = v + w
+        total = product
+    return sorted((a, b, w) for (a, b), w in total.items())
+
+
+def between(matrices: list[Matrix], entry: str, exit_: str) -> list[tuple[str, str]]:
+    """Each matrix's own entry and exit on the best path from `entry` to `exit_`."""
+    ahead, here = [], {entry: 0.0}
     for m in matrices:
         ahead.append(here)
-        here = {b for a, b in m if a in here}
+        step: dict[str, float] = {}
+        for a, b, w in m:
+            if a in here and here[a] + w > step.get(b, -np.inf):
+                step[b] = here[a] + w
+        here = step
     out, end = [], exit_
     for m, here in zip(reversed(matrices), reversed(ahead), strict=True):
-        start = next(a for a, b in m if b == end and a in here)
+        start = max((here[a] + w, a) for a, b, w in m if b == end and a in here)[1]
         out.append((start, end))
         end = start
     return out[::-1]
@@ -294,12 +402,12 @@ def _split(proto: bytes, chunk: int):
     return run
 
 
-_PAIRS = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
-_MATRIX = "rid long, i long, n long, pairs array<struct<a:string,b:string>>"
+_PAIRS = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string()), ("w", pa.float64())]))
+_MATRIX = "rid long, i long, n long, pairs array<struct<a:string,b:string,w:double>>"
 
 
-def _chunk(m, r) -> Chunk:
-    return Chunk(m, r["seen"], r["a"], r["b"], r["i"] == 0, r["i"] == r["n"] - 1)
+def _chunk(m, r) -> Chunk | WeighedChunk:
+    return (WeighedChunk if m.unigram else Chunk)(m, r["seen"], r["a"], r["b"], r["i"] == 0, r["i"] == r["n"] - 1)
 
 
 def _transfer(proto: bytes):
@@ -307,7 +415,7 @@ def _transfer(proto: bytes):
         m = model(proto)
         for rb in slices(batches, 64):
             rows = rb.to_pylist()
-            pairs = [[{"a": a, "b": b} for a, b in _chunk(m, r).transfer()] for r in rows]
+            pairs = [_entries(_chunk(m, r).transfer()) for r in rows]
             yield pa.RecordBatch.from_arrays([rb.column("rid"), rb.column("i"), rb.column("n"), pa.array(pairs, _PAIRS)], names=["rid", "i", "n", "pairs"])
 
     return run
@@ -323,8 +431,12 @@ def _trace(proto: bytes):
     return run
 
 
-def _pairs(value) -> list[tuple[str, str]]:
-    return [(x["a"], x["b"]) for x in value]
+def _entries(matrix: Matrix) -> list[dict]:
+    return [{"a": a, "b": b, "w": w} for a, b, w in matrix]
+
+
+def _pairs(value) -> Matrix:
+    return [(x["a"], x["b"], x["w"]) for x in value]
 
 
 def _up(fan: int):
@@ -333,7 +445,7 @@ def _up(fan: int):
     def run(batches):
         for group in runs(batches, ["rid", "up"]):
             group = group.sort_values("i")
-            total = [{"a": a, "b": b} for a, b in compose([_pairs(p) for p in group["pairs"]])]
+            total = _entries(compose([_pairs(p) for p in group["pairs"]]))
             rid, up, n = (int(group[c].iloc[0]) for c in ("rid", "up", "n"))
             yield pa.RecordBatch.from_arrays([pa.array([rid], pa.int64()), pa.array([up], pa.int64()), pa.array([-(-n // fan)], pa.int64()), pa.array([total], _PAIRS)], names=["rid", "i", "n", "pairs"])
 
@@ -355,19 +467,28 @@ def _scan(chunks: DataFrame, proto: bytes, fan: int) -> DataFrame:
         low = levels[-1].withColumn("up", F.floor(F.col("i") / fan))
         low = low.repartition("rid", "up").sortWithinPartitions("rid", "up")
         levels.append(cut(low.mapInArrow(_up(fan), _MATRIX), "transfer"))
-    whole = F.col("pairs").getItem(0)
+    whole = F.array_max(F.transform("pairs", lambda x: F.struct(x["w"], x["a"], x["b"])))
     states = levels[-1].select("rid", "i", whole["a"].alias("entry"), whole["b"].alias("exit"))
     for level in reversed(levels[:-1]):
         states = states.select("rid", F.col("i").alias("up"), "entry", "exit")
         low = level.withColumn("up", F.floor(F.col("i") / fan)).join(states, ["rid", "up"])
         states = low.repartition("rid", "up").sortWithinPartitions("rid", "up").mapInArrow(_down, "rid long, i long, entry string, exit string")
     traced = chunks.join(states, ["rid", "i"]).mapInArrow(_trace(proto), "rid long, i long, ids array<int>")
-    return traced.groupBy("rid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"]))
+    done = traced.groupBy("rid").agg(ids.alias("ids"))
+    m = model(proto)
+    if not m.bytes:  # the library writes a run of unknown characters as one
+        unknown = m.lib.unk_id()
+        done = done.withColumn("ids", F.filter("ids", lambda x, k: (x != unknown) | (k == 0) | (F.get("ids", k - 1) != unknown)))
+    return done
 
 
 def encode(docs: DataFrame, text: str = "text", proto: bytes | None = None, giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (all but the text) and ids, the model's encoding of each text, equal to the library's.
 
+    The model may be of byte-pair or unigram type. Where two encodings of a unigram model weigh the same but for the
+    rounding of their sums, the library, which sums in single precision, may name the other one.
+
     Texts of at most `giant` characters are encoded whole by the library. A longer one is split into chunks of `chunk`
     characters wherever that falls, and encoded by the scan that the module describes.
 

@@ -402,7 +402,7 @@ def scan(m, text, chunk):
     k = len(matrices) // 2
     if k:
         assert pieces.compose([pieces.compose(matrices[:k]), pieces.compose(matrices[k:])]) == total
-    return [x for c, (e, f) in zip(chunks, pieces.between(matrices, *total[0]), strict=True) for x in c.trace(e, f)]
+    return [x for c, (e, f) in zip(chunks, pieces.between(matrices, *total[0][:2]), strict=True) for x in c.trace(e, f)]
 
 
 def test_scan_equals_the_library():
@@ -417,6 +417,78 @@ def test_scan_equals_the_library():
     assert scan(m, run, 256) == m.encode(run)
 
 
+def unigram_model(scores, byte_pieces=True):
+    """A model file of unigram type with the given pieces and log probabilities, written out field by field."""
+    import struct
+
+    def number(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    field = lambda n, raw: number(n << 3 | 2) + number(len(raw)) + raw
+    whole = lambda n, v: number(n << 3) + number(v)
+    piece = lambda text, score, kind: field(1, field(1, text.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + whole(3, kind))
+    rows = [piece("<unk>", 0.0, 2), piece("<s>", 0.0, 3), piece("</s>", 0.0, 3)]
+    if byte_pieces:
+        rows += [piece(f"<0x{b:02X}>", -30.0, 6) for b in range(256)]
+    rows += [piece(p, w, 1) for p, w in scores.items()]
+    trainer = whole(3, 1) + (whole(35, 1) if byte_pieces else b"")
+    plain = field(1, b"identity") + whole(3, 1) + whole(4, 0) + whole(5, 1)
+    return b"".join(rows) + field(2, trainer) + field(3, plain)
+
+
+@pytest.mark.parametrize("byte_pieces", [True, False])
+def test_scored_scan_equals_viterbi_and_the_library(spark, byte_pieces):
+    rng = random.Random(17)
+    bar = pieces.BAR
+    scores = {c: -8 - rng.random() for c in "abcdet" + bar}
+    for _ in range(150):
+        scores["".join(rng.choice("abcdet" + bar) for _ in range(rng.randint(2, 6)))] = -4 - 9 * rng.random()
+    proto = unigram_model(scores, byte_pieces)
+    m = pieces.model(proto)
+    assert m.unigram and not pieces.is_unigram(pieces.model_bytes())
+
+    def viterbi(text):
+        """The best path, its weight, and whether no other path weighs as much."""
+        s = pieces.escaped(text)
+        best = [(0.0, [], True)] + [(-np.inf, [], True)] * len(s)
+        for j in range(1, len(s) + 1):
+            for i in range(max(0, j - m.longest), j):
+                w = best[i][0] + m.score.get(s[i:j], m.unknown if j == i + 1 else -np.inf)
+                if w > best[j][0] + 1e-5:
+                    best[j] = (w, [*best[i][1], s[i:j]], best[i][2])
+                elif w > best[j][0] - 1e-5:
+                    best[j] = (*best[j][:2], False)
+        return best[-1]
+
+    texts, one = ["".join(rng.choice("abcdet  zé") for _ in range(rng.randint(1, 120))) for _ in range(80)], 0
+    join = lambda ids: [x for k, x in enumerate(ids) if byte_pieces or x != m.lib.unk_id() or k == 0 or ids[k - 1] != x]
+    for text in texts:
+        weight, path, only = viterbi(text)
+        one += only
+        want = join([i for p in path for i in m.ids(p)])
+        assert not only or m.lib.encode(text) == want
+        for chunk in (1, 5, 33):
+            parts = list(pieces.split(text, m.longest, chunk))
+            chunks = [pieces.WeighedChunk(m, x, a, b, i == 0, i == len(parts) - 1) for i, (x, a, b) in enumerate(parts)]
+            matrices = [c.transfer() for c in chunks]
+            ((e, f, w),) = pieces.compose(matrices)
+            half = len(matrices) // 2
+            if half:
+                ((_, _, again),) = pieces.compose([pieces.compose(matrices[:half]), pieces.compose(matrices[half:])])
+                assert again == pytest.approx(w)
+            assert w == pytest.approx(weight)
+            got = [x for c, (p, q) in zip(chunks, pieces.between(matrices, e, f), strict=True) for x in c.trace(p, q)]
+            assert join(got) == want if only else m.decode(join(got)) == m.decode(want)
+    assert one > 30
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r.ids for r in pieces.encode(docs.select("doc_id", "text"), proto=proto, giant=20, chunk=9, fan=3).collect()}
+    assert all(got[i] == m.lib.encode(t) for i, t in enumerate(texts) if viterbi(t)[2]) and len(got) == len(texts)
+
+
 def test_scan_in_spark(spark):
     docs = read(spark, "documents")
     m = pieces.model(pieces.model_bytes())
