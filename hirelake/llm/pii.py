@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -59,7 +60,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 FEATURES = (
     "bias", "one", "two", "three", "more", "at", "obfuscated", "email", "dots3", "octets", "plus", "area", "dashes", "luhn", "cardlen", "phonelen", "shortnum", "letters",
-    "plain", "fours", "tens", "odd", "longrun", "groups3",
+    "plain", "fours", "tens", "odd", "longrun", "groups3", "lead", "trail",
 )
 INDEX = {f: i for i, f in enumerate(FEATURES)}
 _EMAIL_LIKE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -67,6 +68,8 @@ _OBFUSCATED = re.compile(r"[A-Za-z0-9._%+-]+\s?[\[(]at[\])]\s?[A-Za-z0-9-]+(?:\s
 _AREA = re.compile(r"(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}")
 _DASHED = re.compile(r"(?:\+?[0-9]{1,3}[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}")
 _FOURS = re.compile(r"[0-9]{4}(?:[ .-][0-9]{4}){3}")
+#: A number of up to three digits at either end, parted by a blank from a whole of groups.
+_LEAD, _TRAIL = re.compile(r"[0-9]{1,3}[\x20 ]"), re.compile(r"[\x20 ][0-9]{1,3}")
 _OCTETS = re.compile(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?")
 
 
@@ -101,10 +104,18 @@ def features(span: str, tokens: int) -> np.ndarray:
     on("tens", letters > 3 and len(digits) > 3)
     on("odd", bool(re.search(r"[^0-9A-Za-z@.+() :\[\]_%-]", span)))
     on("longrun", len(digits) > 19)
+    on("lead", bool(_LEAD.match(span)))
+    on("trail", bool(_TRAIL.fullmatch(span[max(span.rfind(" "), span.rfind(" ")) :])))
     on("groups3", len(re.findall(r"[0-9]+", span)) >= 3)
     return f
 
 
+def log_sum(values: list[float]) -> float:
+    """log of the sum of the values' exponentials."""
+    top = max(values)
+    return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
+
+
 class Lattice:
     """The candidate segments of one zone: for each (first token, tokens), its bounds and features."""
 
@@ -132,17 +143,15 @@ class Lattice:
     def marginals(self, s: np.ndarray) -> tuple[np.ndarray, float]:
         """Probability of each labelled segment under the model, and the log partition, by forward and backward sums."""
         n = len(self.tokens)
-        fore, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        fore, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
         fore[0] = back[n] = 0.0
-        seg = np.logaddexp.reduce(s, axis=1)
+        seg = np.logaddexp.reduce(s, axis=1).tolist()
         for j in range(1, n + 1):
-            fore[j] = np.logaddexp.reduce([fore[j - k] + seg[self.rows[j - k, k]] for k in range(1, min(LONGEST, j) + 1)])
+            fore[j] = log_sum([fore[j - k] + seg[self.rows[j - k, k]] for k in range(1, min(LONGEST, j) + 1)])
         for i in range(n - 1, -1, -1):
-            back[i] = np.logaddexp.reduce([seg[self.rows[i, k]] + back[i + k] for k in range(1, min(LONGEST, n - i) + 1)])
-        p = np.zeros_like(s)
-        for (i, k), r in self.rows.items():
-            p[r] = np.exp(fore[i] + s[r] + back[i + k] - fore[n])
-        return p, fore[n]
+            back[i] = log_sum([seg[self.rows[i, k]] + back[i + k] for k in range(1, min(LONGEST, n - i) + 1)])
+        around = np.array([fore[i] + back[i + k] for i, k in self.rows])
+        return np.exp(s + around[:, None] - fore[n]), fore[n]
 
     def best(self, s: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Viterbi over segments of at most LONGEST tokens: (first token, tokens, kind, row) of the labelled ones."""
@@ -207,11 +216,14 @@ def made_examples(seed: int = 11, n: int = 240) -> list[tuple[str, list[tuple[in
             (f"{d(4)} {d(4)} {d(4)}", None), (f"20{d(2)}-0{1 + i % 9}-1{d(1)}", None), (f"{d(2)}:{d(2)}", None), (f"{d(3)}.{d(2)}", None), (f"{d(8)}abcdef{d(10)}", None), (f"{d(int(rng.integers(20, 30)))}", None),
         ]
         text, spans = "", []
+        short = lambda: "".join(d(int(rng.integers(1, 4))) + " " for _ in range(int(rng.integers(0, 6)) * (i % 2)))
         for k in rng.integers(0, len(form), int(rng.integers(1, 4))):
             shape, kind = form[k]
+            text += short()
             if kind is not None:
                 spans.append((len(text), kind, len(text) + len(shape)))
             text += shape + " "
+        text += short()
         out.append((text.rstrip(), spans))
     names, hosts, words = ("jane.doe", "max", "a_lee", "Info", "sales-team"), ("example", "mail.example", "uni-x", "Corp"), ("meet", "noon", "list", "see", "room")
     pick = lambda of: of[int(rng.integers(0, len(of)))]
@@ -224,7 +236,7 @@ def made_examples(seed: int = 11, n: int = 240) -> list[tuple[str, list[tuple[in
     return out
 
 
-def train(examples, rounds: int = 150, rate: float = 0.5, decay: float = 1e-4) -> np.ndarray:
+def train(examples, rounds: int = 100, rate: float = 1.5, decay: float = 1e-4) -> np.ndarray:
     """Weights (kinds x features) by gradient ascent (AdaGrad) on the exact conditional log likelihood."""
     w = np.zeros((len(KINDS), len(FEATURES)))
     grown = np.full_like(w, 1e-6)
@@ -279,9 +291,9 @@ def decode(text: str, a: int, b: int, weights: np.ndarray, stretch: int = 400) -
     fore, rest = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
     fore[0] = rest[n] = 0.0
     for j in range(1, n + 1):
-        fore[j] = np.logaddexp.reduce([fore[j - k] + total[j - k, k - 1] for k in range(1, min(LONGEST, j) + 1)])
+        fore[j] = log_sum([fore[j - k] + total[j - k, k - 1] for k in range(1, min(LONGEST, j) + 1)])
     for i in range(n - 1, -1, -1):
-        rest[i] = np.logaddexp.reduce([total[i, k - 1] + rest[i + k] for k in range(1, min(LONGEST, n - i) + 1)])
+        rest[i] = log_sum([total[i, k - 1] + rest[i + k] for k in range(1, min(LONGEST, n - i) + 1)])
     p = lambda i, k: float(np.exp(fore[i] + top[i, k - 1] + rest[i + k] - fore[n]))
     return [(int(bounds[i, k - 1, 0]), int(kind[i, k - 1]), int(bounds[i, k - 1, 1]), p(i, k)) for i, k in reversed(path)]
 

@@ -341,6 +341,47 @@ def test_stretches_change_nothing():
     assert (at, at + 14) in [x[:2] for x in want]
 
 
+def test_pii_added_spans_held_out(spark):
+    """Precision and recall of the spans that the patterns miss, on made text of another seed and planted in the corpus."""
+    docs = read(spark, "documents", SF)
+    weights = pii.fit(docs)
+
+    def measure(cases):
+        hits = made = wanted = 0
+        for text, spans in cases:
+            base = pii.base_spans(text)
+            want = {s for s in spans if not any(a < s[2] and b > s[0] for a, _, b in base)}
+            got = set(pii.added_spans(text, base, weights))
+            hits, made, wanted = hits + len(want & got), made + len(got), wanted + len(want)
+        return hits / max(1, made), hits / max(1, wanted), wanted
+
+    precision, recall, n = measure(pii.made_examples(seed=99, n=300))
+    assert n > 150 and precision >= 0.9 and recall >= 0.9, (precision, recall, n)
+    rng = random.Random(4)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    cases = []
+    for r in docs.orderBy("doc_id").limit(300).collect():
+        words = r.text.split(" ")
+        if len(words) < 20 or pii.zones(" ".join(words[:300])):
+            continue
+        form, kind = rng.choice([(f"({digits(3)}) 555-{digits(4)}", 3), (f"{digits(3)}-555-{digits(4)}", 3), ("kim.lee[at]mail.example.org", 0), ("kim [at] example [dot] com", 0)])
+        at = rng.randrange(5, min(len(words), 300))
+        start = len(" ".join(words[:at])) + 1
+        cases.append((" ".join([*words[:at], form, *words[at:300]]), [(start, kind, start + len(form))]))
+    precision, recall, n = measure(cases)
+    assert n > 50 and precision >= 0.9 and recall >= 0.9, (precision, recall, n)
+
+
+def test_pii_anywhere_in_a_long_zone():
+    weights = pii.train(pii.made_examples())
+    phone = "(743) 555-3824"
+    for at in [*range(0, 1000, 61), *range(394, 404), 999]:
+        for token in ("x9x", "12"):
+            text = " ".join([token] * at + [phone] + [token] * (999 - at))
+            start = at * (len(token) + 1)
+            assert (start, 3, start + len(phone)) in pii.added_spans(text, pii.base_spans(text), weights), (token, at)
+
+
 def test_pii_awkward(spark):
     weights = pii.train(pii.made_examples(n=40), rounds=5)
     got = pii.find(awkward(spark), weights).collect()
