@@ -60,12 +60,13 @@ def to_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), ",")
 
 
-def with_next(docs: DataFrame, order: str, tie: str, carried: list[str], per_bucket: int = 512, most_buckets: int = 4096) -> DataFrame:
-    """docs with next_<c> for each carried column: the values of the row that follows in descending `order`.
+def with_next(docs: DataFrame, order: str, tie: str, carried: list[str], per_bucket: int = 512, most_buckets: int = 65_536) -> DataFrame:
+    """docs with next_<c> for each carried column: the values of the row that follows in descending `order`, then `tie`.
 
     The last row is followed by the first. Rows are dealt into ranges of `order` (bounds from one approximate-quantile
-    aggregate); the first row of each range is also sent to the range before it, so that every row has its follower
-    at hand. Rows without an order come last.
+    aggregate), as many as the rows ask for; a value of `order` that fills more than its range is dealt on by `tie`, a
+    hash. The first row of each range is also sent to the range before it, so that every row has its follower at hand.
+    Rows without an order come last. Repeated rows follow one another.
     """
     docs = docs.withColumn("_at", F.coalesce(F.col(order), F.lit(-(2**63))))
     n = docs.count()
@@ -73,30 +74,53 @@ def with_next(docs: DataFrame, order: str, tie: str, carried: list[str], per_buc
     bounds: list[int] = []
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
-        bounds = sorted(set(docs.agg(F.percentile_approx("_at", probs, 100_000)).first()[0]))
-    docs = docs.withColumn("_bucket", len(bounds) - _bounds_up_to(F.col("_at"), bounds))
-    firsts = {r["_bucket"]: r["_first"] for r in docs.groupBy("_bucket").agg(F.max("_at").alias("_first")).collect()}  # at most most_buckets rows
-    held = sorted(firsts)
+        bounds = sorted(set(docs.agg(F.percentile_approx("_at", probs, max(100_000, 8 * buckets))).first()[0]))
+    docs = docs.withColumn("_range", len(bounds) - _bounds_up_to(F.col("_at"), bounds))
+    ranges = docs.groupBy("_range").agg(F.max("_at").alias("first"), F.min("_at").alias("last"), F.count("*").alias("n")).collect()  # most_buckets rows at most
+    parts, start, at_first, total = {}, {}, {}, 0
+    for r in sorted(ranges, key=lambda r: r["_range"]):
+        parts[r["_range"]] = -(-r["n"] // per_bucket) if r["first"] == r["last"] and r["n"] > 2 * per_bucket else 1
+        start[r["_range"]] = total
+        total += parts[r["_range"]]
+        at_first[start[r["_range"]]] = (r["first"], None)
+    of = F.get(_literal(_spread(parts, len(bounds) + 1)), F.col("_range"))
+    place = (F.col(tie).cast("double") / 2.0**64 + 0.5) * of
+    within = F.when(of > 1, of - 1 - F.least(of - 1, F.floor(place))).otherwise(0)
+    docs = docs.withColumn("_bucket", (F.get(_literal(_spread(start, len(bounds) + 1)), F.col("_range")) + within).cast("int"))
+    split = [r for r, k in parts.items() if k > 1]
+    if split:
+        heavy = docs.filter(F.col("_at").isin([at_first[start[r]][0] for r in split]))
+        for r in heavy.groupBy("_bucket").agg(F.max("_at").alias("at"), F.max(tie).alias("tie")).collect():
+            at_first[r["_bucket"]] = (r["at"], r["tie"])
+    held = sorted(b for b, (_, t) in at_first.items() if t is not None or b not in {start[r] for r in split})
+    size = max(held, default=0) + 1
     before = {b: held[i - 1] for i, b in enumerate(held)}
-    first = _literal([firsts.get(b) for b in range(len(bounds) + 1)], "bigint")
-    ahead = _literal([before.get(b) for b in range(len(bounds) + 1)], "bigint")
-    guest = F.when(F.get(first, F.col("_bucket")) == F.col("_at"), F.get(ahead, F.col("_bucket")).cast("int"))
-    homes = F.array_compact(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("g")), F.when(guest.isNotNull(), F.struct(guest.alias("b"), F.lit(1).alias("g")))))
-    dealt = docs.withColumn("_home", F.explode(homes)).withColumn("_b", F.col("_home.b")).withColumn("_g", F.col("_home.g")).drop("_home", "_bucket")
+    here = F.col("_bucket")
+    ahead = F.get(_literal(_spread(before, size)), here).cast("int")
+    leads = F.get(_literal(_spread({b: at_first[b][0] for b in held}, size)), here) == F.col("_at")
+    leads = leads & F.coalesce(F.get(_literal(_spread({b: at_first[b][1] for b in held}, size)), here) == F.col(tie), F.lit(True))
+    guest = F.when(leads, ahead)
+    homes = F.array_compact(F.array(F.struct(here.alias("b"), F.lit(0).alias("g")), F.when(guest.isNotNull(), F.struct(guest.alias("b"), F.lit(1).alias("g")))))
+    dealt = docs.withColumn("_home", F.explode(homes)).withColumn("_b", F.col("_home.b")).withColumn("_g", F.col("_home.g")).drop("_home", "_bucket", "_range")
     w = W.Window.partitionBy("_b").orderBy("_g", F.col("_at").desc(), F.col(tie).desc())
     dealt = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in carried])
     return dealt.filter("_g = 0").drop("_b", "_g", "_at")
 
 
-def _literal(values: list, kind: str) -> Column:
-    return F.expr("array(" + ",".join("null" if v is None else f"{v}L" for v in values) + ")").cast(f"array<{kind}>")
+def _spread(values: dict, size: int) -> list:
+    return [values.get(i) for i in range(size)]
+
+
+def _literal(values: list) -> Column:
+    """A constant array, written as one string so that the plan stays small."""
+    return F.from_json(F.lit("[" + ",".join("null" if v is None else str(v) for v in values) + "]"), "array<bigint>")
 
 
 def _bounds_up_to(at: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds are at most `at`, by binary search."""
     if not bounds:
         return F.lit(0)
-    table = _literal(bounds, "bigint")
+    table = _literal(bounds)
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(bounds).bit_length()))])
     taken = lambda n, step: F.when((n + step <= len(bounds)) & (F.get(table, n + step - 1) <= at), n + step).otherwise(n)
     return F.aggregate(steps, F.lit(0), taken)

@@ -97,6 +97,46 @@ def test_many_ranges_equal_one(spark):
     assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
 
 
+def test_ranges_split_one_id_of_many_rows(spark):
+    """One id, and no id, on more rows than a range holds; some rows repeat."""
+    rows = [(5, f"text {i % 290}", "en", "s", 1) for i in range(300)] + [(None, f"none {i}", "en", "s", 1) for i in range(100)] + [(i, f"other {i}", "en", "s", 1) for i in range(50)]
+    from pyspark.sql import functions as F
+
+    slim = spark.createDataFrame(rows, DOCS).select("doc_id", "text", F.xxhash64("text").alias("tie")).repartition(5)
+    some = lambda per: [tuple(r) for r in fingerprints.with_next(slim, "doc_id", "tie", ["text"], per_bucket=per).select("doc_id", "text", "next_text").collect()]
+    one = sorted(some(10**6), key=repr)
+    assert len(one) == len(rows) and sorted(some(7), key=repr) == one
+    ordered = sorted(slim.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), -r.tie))
+    assert one == sorted(((r.doc_id, r.text, ordered[(i + 1) % len(rows)].text) for i, r in enumerate(ordered)), key=repr)
+
+
+def test_sketches_rebuilt_plainly(spark):
+    """The whole fingerprint from Python's own hash: chained over the words of a shingle, the 128 least kept."""
+    import xxhash
+
+    def sketch(text, k=fingerprints.K):
+        words, out = text.lower().split(), set()
+        for i in range(max(1, len(words) - 4)) if words else ():
+            h = 42
+            for w in words[i : i + 5]:
+                h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+            out.add(h - (1 << 64) if h >> 63 else h)
+        return ",".join(f"{h & (1 << 64) - 1:016x}" for h in sorted(out)[:k])
+
+    docs = read(spark, "documents")
+    rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
+    got = {r.doc_id: r for r in fingerprints.edited_likeness(docs).collect()}
+    for i, r in enumerate(rows):
+        n, after = len(r.text), rows[(i + 1) % len(rows)].text
+        edited = r.text[: n - n // 2] + after[: n // 2]
+        g = got[r.doc_id]
+        assert (g.fingerprint, g.edited_fingerprint) == (sketch(r.text), sketch(edited))
+        for near, a, b in ((g.near_edited, g.fingerprint, g.edited_fingerprint), (g.near_next, g.fingerprint, sketch(after))):
+            a, b = ({int(x, 16) for x in t.split(",") if x} for t in (a, b))
+            least = set(sorted(a | b, key=lambda h: h - (1 << 64) if h >> 63 else h)[: fingerprints.K])
+            assert near == (len(least & a & b) / len(least) if least else 1.0)
+
+
 PATTERNS = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
     "access": (re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
