@@ -64,7 +64,7 @@ class Model:
 
 
 def learn(own: list[list[int]], other: list[list[int] | None], y: np.ndarray, vocabulary: np.ndarray, fairness: float = 1.0, decay: float = 1e-4, rounds: int = 300, balance: float = 0.5) -> Model:
-    """Logistic regression by full-batch Adam over presence features.
+    """Logistic regression over presence features, by full-batch Adam with steps that shrink to nought.
 
     The loss is the mean log loss plus `fairness` times the mean squared change of the logit when identity terms are
     swapped, plus `decay` times the weights' squares. Toxic rows weigh (clean rows per toxic row) ** `balance`.
@@ -94,7 +94,7 @@ def learn(own: list[list[int]], other: list[list[int] | None], y: np.ndarray, vo
             change = np.bincount(mo[0], w[mo[1]] * mo[2], minlength=len(pair))
             g[:k] += 2 * fairness / len(pair) * np.bincount(mo[1], change[mo[0]] * mo[2], minlength=k)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        move = 0.1 * (1 - (step - 1) / rounds) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:k], bias - move[k]
     return Model(vocabulary, w, float(bias))
 

@@ -232,6 +232,42 @@ def test_mixture_proportions(spark):
     assert nothing[:2] == ("und", 0.0)
 
 
+def test_mixture_sets_against_enumeration(spark):
+    """Every set of languages tried with a plain EM; the greedy choice must find the set of best penalised likelihood."""
+    import inspect
+    from itertools import combinations
+
+    docs = read(spark, "documents", SF)
+    model = language.fit(docs)
+    penalty = inspect.signature(language.infer).parameters["penalty"].default
+    rng = random.Random(8)
+    by = defaultdict(list)
+    for r in docs.orderBy("doc_id").collect():
+        if fold(r.doc_id) == 1 and len(r.text) > 400:
+            by[r.lang].append(r.text)
+    texts = []
+    for _ in range(60):
+        langs = rng.sample(model.langs, rng.randint(1, 3))
+        texts.append(" ".join(" ".join(rng.choice(by[x]).split()[: rng.randint(20, 120)]) for x in langs))
+    agree = 0
+    for text, (_, _, share) in zip(texts, language.infer(texts, model), strict=True):
+        logs = language.unit_likelihoods([text], model)[0].astype(float)
+        n, best = len(logs), (-np.inf, None, None)
+        for k in range(1, len(model.langs) + 1):
+            for some in combinations(range(len(model.langs)), k):
+                like, p = np.exp(logs[:, some] - logs.max(axis=1, keepdims=True)), np.full(k, 1 / k)
+                for _ in range(200):
+                    r = like * p
+                    p = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+                total = np.log((like * p).sum(axis=1)).sum() - (k - 1) * (penalty + 0.5 * np.log(n))
+                best = max(best, (total, some, p), key=lambda x: x[0])
+        chosen = tuple(i for i, s in enumerate(share) if s > 0)
+        if chosen == best[1]:
+            agree += 1
+            assert np.abs(np.array(share)[list(chosen)] - best[2]).max() < 0.03
+    assert agree >= 57, agree
+
+
 def test_pieces_of_a_text_do_not_matter(spark, monkeypatch):
     docs = read(spark, "documents", SF)
     model = language.fit(docs)
@@ -431,6 +467,52 @@ def test_toxicity_awkward(spark):
     assert len(none) == 9 and all(r.predicted == 0 for r in none)
 
 
+def test_toxicity_against_the_plain_objective():
+    """The learned weights are at the bottom of the objective, written out row by row: its gradient there is nought."""
+    rng = np.random.default_rng(12)
+    n, k, fairness, decay, balance = 200, 12, 1.0, 1e-2, 0.5
+    vocabulary = np.arange(100, 100 + k, dtype=np.int32)
+    own = [sorted(rng.choice(vocabulary, rng.integers(1, 6), replace=False).tolist()) for _ in range(n)]
+    other = [sorted({*(x for x in r if x != 100), 101}) if 100 in r else None for r in own]
+    y = np.array([float(rng.random() < (0.7 if 103 in r or 100 in r else 0.1)) for r in own])
+    m = toxicity.learn(own, other, y, vocabulary, fairness, decay, rounds=4000, balance=balance)
+    heavy = np.where(y > 0, ((1 - y.mean()) / y.mean()) ** balance, 1.0)
+    heavy = heavy / heavy.mean()
+
+    def objective(w, bias):
+        z = [bias + sum(w[x - 100] for x in r) for r in own]
+        loss = np.mean([h * (np.log1p(np.exp(-a)) if t else np.log1p(np.exp(a))) for h, a, t in zip(heavy, z, y, strict=True)])
+        moved = [sum(w[x - 100] for x in r) - sum(w[x - 100] for x in s) for r, s in zip(own, other, strict=True) if s is not None]
+        return loss + fairness * np.mean(np.square(moved)) + decay * np.sum(np.square(w))
+
+    at = objective(m.weights, m.bias)
+    for j in range(k + 1):
+        for h in (1e-3, -1e-3):
+            w, bias = m.weights.copy(), m.bias
+            if j < k:
+                w[j] += h
+            else:
+                bias += h
+            assert objective(w, bias) >= at - 1e-7, j
+    free = toxicity.learn(own, other, y, vocabulary, 0.0, decay, rounds=4000, balance=balance)
+    gap = lambda x: abs(x.weights[0] - x.weights[1])
+    assert gap(m) < 0.5 * gap(free)
+
+
+def test_counterfactual_penalty_on_real_rows(spark):
+    """Swapping identity terms moves the scores of held-out rows less with the penalty than without."""
+    docs, labels = read(spark, "documents", SF), read(spark, "labels", SF)
+    terms = spark.createDataFrame([(10_000 + i, f"the {a} people at the market said that the {a} stall is fine and good number {i}") for i, a in enumerate(["muslim", "christian", "gay", "straight"] * 30)], "doc_id long, text string")
+    marks = terms.selectExpr("doc_id", "cast(null as int) as quality", "cast(text like '%muslim%' or text like '%gay%' as int) as toxic")
+    both = docs.select("doc_id", "text").unionByName(terms), labels.select("doc_id", "quality", "toxic").unionByName(marks)
+    change = {}
+    for fairness in (0.0, 1.0):
+        model = toxicity.fit(*both, fairness=fairness)
+        texts = ["my muslim friend", "my gay neighbour", "a straight line", "a christian school"]
+        change[fairness] = sum(abs(model.score(t) - model.score(toxicity.swapped(t))) for t in texts)
+    assert change[1.0] < 0.5 * change[0.0], change
+
+
 # --- tokens ----------------------------------------------------------------------------------
 
 
