@@ -206,7 +206,7 @@ def _dealt(df: DataFrame, work: int, keys: list[str], a_task: int) -> DataFrame:
     return df.repartition(n, *keys).sortWithinPartitions(*keys)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, bucket: int = 4096, block: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, bucket: int = 512, block: int = 512) -> DataFrame:
     """One row per row of docs: doc_id, class_id, n_links, kept; rid is the id, or a hash of the
     text where it is null, and class_rid the same for the class; hash tells the texts of one id apart, label the classes.
 
