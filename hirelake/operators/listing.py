@@ -23,6 +23,10 @@ class ListFilter:
     seniorities: tuple[int, ...] = ()
     city: str | None = None
     company: str | None = None
+    country: str | None = None
+    currency: str | None = None
+    remotes: tuple[str, ...] = ()
+    include_spam: bool = True
     salary_min: float | None = None
     include_unpriced: bool = True
     has_salary: bool | None = None
@@ -49,6 +53,14 @@ class ListFilter:
             c.append(F.col("city").ilike(self.city))
         if self.company is not None:
             c.append(F.col("company").ilike(f"%{self.company}%"))
+        if self.country is not None:
+            c.append(F.col("country") == self.country)
+        if self.currency is not None:
+            c.append(F.col("currency") == self.currency)
+        if self.remotes:
+            c.append(F.col("remote").isin(*self.remotes))
+        if not self.include_spam:
+            c.append(~F.col("is_spam"))
         if self.salary_min is not None:
             priced = F.col("salary") >= self.salary_min
             c.append(priced | F.col("salary").isNull() if self.include_unpriced else priced)
@@ -64,6 +76,12 @@ class ListFilter:
         return df
 
 
+def picker(df: DataFrame, words: str) -> DataFrame:
+    """Active rows, no spam, whose title or company holds the words."""
+    like = "%" + words.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
+    return df.filter("is_active and not is_spam").filter(F.col("title").ilike(like) | F.col("company").ilike(like))
+
+
 def bucket_of(score: Column, floors: tuple[float, float, float] = (85, 70, 55)) -> Column:
     """apply, strong, stretch or skip by the score's floors; null where there is no score."""
     high, mid, low = floors

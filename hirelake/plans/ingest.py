@@ -59,7 +59,7 @@ def one_active_switch(t):
     return t("customer").select("c_custkey", (F.col("c_custkey") == 42).alias("is_active"))
 
 
-@query("K12 K07 K21", "SELECT id, CASE WHEN status = 'P' AND published < DATE '1999-01-01' THEN 'failed' ELSE status END AS status, is_active AND NOT coalesce(published < DATE '1996-01-01', FALSE) AS is_active FROM posting")
+@query("K12 K07", "SELECT id, CASE WHEN status = 'P' AND published < DATE '1999-01-01' THEN 'failed' ELSE status END AS status, is_active AND NOT coalesce(published < DATE '1996-01-01', FALSE) AS is_active FROM posting")
 def stale_sweep(t):
     stale = (F.col("status") == "P") & (F.col("published") < F.lit("1999-01-01").cast("date"))
     old = F.coalesce(F.col("published") < F.lit("1996-01-01").cast("date"), F.lit(False))
@@ -73,7 +73,7 @@ def version_append(t):
     return P.numbered(c.filter("role = 'assistant'").join(base, "conv_id", "left"), ["conv_id"], [F.col("turn"), F.col("role")], "version", "base").select("conv_id", "turn", "version")
 
 
-@query("K18 K14 K06", "SELECT a.c_custkey, CASE WHEN a.c_custkey % 4 = 0 THEN a.c_name ELSE coalesce(b.c_name, a.c_name) END AS c_name, CASE WHEN a.c_custkey % 6 = 0 THEN a.c_mktsegment ELSE coalesce(b.c_mktsegment, a.c_mktsegment) END AS c_mktsegment FROM customer a LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE upper(c_name) END AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey")
+@query("K18 K06", "SELECT a.c_custkey, CASE WHEN a.c_custkey % 4 = 0 THEN a.c_name ELSE coalesce(b.c_name, a.c_name) END AS c_name, CASE WHEN a.c_custkey % 6 = 0 THEN a.c_mktsegment ELSE coalesce(b.c_mktsegment, a.c_mktsegment) END AS c_mktsegment FROM customer a LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE upper(c_name) END AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey")
 def fill_gap_merge(t):
     c = t("customer").select("c_custkey", "c_name", "c_mktsegment")
     old = c.withColumn("c_name_edited", F.col("c_custkey") % 4 == 0).withColumn("c_mktsegment_edited", F.col("c_custkey") % 6 == 0)
@@ -81,7 +81,7 @@ def fill_gap_merge(t):
     return M.fill_gaps(old, new, "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@query("K15 R06", "SELECT user_id, CAST(max(turn) AS BIGINT) AS rank, min(event_id) FILTER (WHERE turn = top) AS reached_at, count(*) FILTER (WHERE turn < prev) AS went_back FROM (SELECT *, max(turn) OVER (PARTITION BY user_id) AS top, max(turn) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM event) GROUP BY user_id")
+@query("R06", "SELECT user_id, CAST(max(turn) AS BIGINT) AS rank, min(event_id) FILTER (WHERE turn = top) AS reached_at, count(*) FILTER (WHERE turn < prev) AS went_back FROM (SELECT *, max(turn) OVER (PARTITION BY user_id) AS top, max(turn) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM event) GROUP BY user_id")
 def fold_results_forward_only(t):
     return M.forward_only(t("event").select("user_id", "event_id", F.col("turn").cast("long").alias("turn")), "user_id", "turn", "event_id")
 
@@ -95,7 +95,7 @@ def change_stamp(t):
 LEGAL = [("view", "click"), ("click", "purchase"), ("view", "view"), ("click", "click"), ("purchase", "view"), ("error", "view")]
 
 
-@query("R16 K20 R13", "SELECT was, kind, count(*) AS n FROM (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM event) WHERE was IS NOT NULL AND (was || '>' || kind) NOT IN (" + ", ".join(f"'{a}>{b}'" for a, b in LEGAL) + ") GROUP BY was, kind")
+@query("R16", "SELECT was, kind, count(*) AS n FROM (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM event) WHERE was IS NOT NULL AND (was || '>' || kind) NOT IN (" + ", ".join(f"'{a}>{b}'" for a, b in LEGAL) + ") GROUP BY was, kind")
 def state_transitions_illegal(t):
     w = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
     moves = t("event").withColumn("was", F.lag("kind").over(w)).filter("was is not null")
@@ -128,21 +128,21 @@ def known_share_stop(t):
     return t("event").groupBy(F.floor(F.col("event_id") / 50).cast("long").alias("page")).agg((F.avg(known) >= 0.7).alias("stop"))
 
 
-@query("J18 R04 J19", "SELECT event_id FROM event e WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, turn * 1000 AS low, turn * 1000 + 350 AS high FROM event WHERE event_id % 10 = 0) s WHERE s.user_id = e.user_id AND e.event_id BETWEEN s.low AND s.high)")
+@query("J18 J19", "SELECT event_id FROM event e WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, turn * 1000 AS low, turn * 1000 + 350 AS high FROM event WHERE event_id % 10 = 0) s WHERE s.user_id = e.user_id AND e.event_id BETWEEN s.low AND s.high)")
 def interval_watermark_due(t):
     e = t("event").select("user_id", "event_id", "turn")
     spans = e.filter("event_id % 10 = 0").select("user_id", (F.col("turn") * 1000).cast("long").alias("low"), (F.col("turn") * 1000 + 350).cast("long").alias("high")).distinct()
     return I.outside(e, spans, "user_id", "event_id").select("event_id")
 
 
-@query("U07 W10 W05", "SELECT user_id, count(*) AS spans, CAST(sum(hi - lo + 1) AS BIGINT) AS covered FROM (SELECT user_id, isl, min(low) AS lo, max(high) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN low > max(high) OVER (PARTITION BY user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 WHEN max(high) OVER (PARTITION BY user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT user_id, event_id - turn * 9 AS low, event_id + turn * 11 AS high FROM event))) GROUP BY user_id, isl) GROUP BY user_id")
+@query("W10 W05", "SELECT user_id, count(*) AS spans, CAST(sum(hi - lo + 1) AS BIGINT) AS covered FROM (SELECT user_id, isl, min(low) AS lo, max(high) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN low > max(high) OVER (PARTITION BY user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 WHEN max(high) OVER (PARTITION BY user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT user_id, event_id - turn * 9 AS low, event_id + turn * 11 AS high FROM event))) GROUP BY user_id, isl) GROUP BY user_id")
 def span_collapse(t):
     spans = t("event").select("user_id", (F.col("event_id") - F.col("turn") * 9).alias("low"), (F.col("event_id") + F.col("turn") * 11).alias("high")).distinct()
     merged = I.islands(spans, ["user_id"], "low", "high")
     return merged.groupBy("user_id").agg(F.count("*").alias("spans"), F.sum(F.col("high") - F.col("low") + 1).cast("long").alias("covered"))
 
 
-@query("A12 F50 A13", "SELECT coalesce(kind, '*') AS kind, coalesce(CAST(turn AS VARCHAR), '*') AS turn, CAST(grouping_id(kind, turn) AS BIGINT) AS slice, count(*) AS calls, CAST(sum(value) AS DOUBLE) AS cost, round(CAST(sum(value) AS DOUBLE) / count(*) * 100, 4) AS per_hundred FROM event GROUP BY GROUPING SETS ((kind), (turn), (kind, turn), ())")
+@query("A12 A13", "SELECT coalesce(kind, '*') AS kind, coalesce(CAST(turn AS VARCHAR), '*') AS turn, CAST(grouping_id(kind, turn) AS BIGINT) AS slice, count(*) AS calls, CAST(sum(value) AS DOUBLE) AS cost, round(CAST(sum(value) AS DOUBLE) / count(*) * 100, 4) AS per_hundred FROM event GROUP BY GROUPING SETS ((kind), (turn), (kind, turn), ())")
 def ledger_grouping_sets(t):
     e = t("event").select("kind", F.col("turn").cast("string").alias("turn"), "value")
     sets = e.groupingSets([[F.col("kind")], [F.col("turn")], [F.col("kind"), F.col("turn")], []], "kind", "turn").agg(F.grouping_id().cast("long").alias("slice"), F.count("*").alias("calls"), F.sum("value").cast("double").alias("cost"))
@@ -150,7 +150,7 @@ def ledger_grouping_sets(t):
     return sets.select(star("kind"), star("turn"), "slice", "calls", "cost", F.round(F.col("cost") / F.col("calls") * 100, 4).alias("per_hundred"))
 
 
-@query("A11 A33 A34 A35", "SELECT n_name AS city, CAST(coalesce(f.found, 0) AS BIGINT) AS found, CAST(coalesce(f.late, 0) AS BIGINT) AS late, CASE WHEN f.found IS NULL THEN 'unreached' WHEN f.late > 0 THEN 'partial' ELSE 'success' END AS status FROM nation n LEFT JOIN (SELECT user_id % 20 AS k, count(*) AS found, count(*) FILTER (WHERE kind = 'error') AS late FROM event GROUP BY 1) f ON n.n_nationkey = f.k")
+@query("A11 A35", "SELECT n_name AS city, CAST(coalesce(f.found, 0) AS BIGINT) AS found, CAST(coalesce(f.late, 0) AS BIGINT) AS late, CASE WHEN f.found IS NULL THEN 'unreached' WHEN f.late > 0 THEN 'partial' ELSE 'success' END AS status FROM nation n LEFT JOIN (SELECT user_id % 20 AS k, count(*) AS found, count(*) FILTER (WHERE kind = 'error') AS late FROM event GROUP BY 1) f ON n.n_nationkey = f.k")
 def run_report(t):
     facts = t("event").groupBy((F.col("user_id") % 20).alias("k")).agg(F.count("*").alias("found"), F.count_if(F.col("kind") == "error").alias("late"))
     n = t("nation").join(facts, F.col("n_nationkey") == F.col("k"), "left")
@@ -158,12 +158,14 @@ def run_report(t):
     return n.select(F.col("n_name").alias("city"), F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("late", F.lit(0)).alias("late"), status.alias("status"))
 
 
-@query("A29 A26 F66", "SELECT user_id, min(event_id) AS first_seen, max(event_id) AS last_seen, max(CASE WHEN kind = 'error' THEN event_id END) AS last_error, min_by(json_extract_string(props, '$.k'), ev.event_id) AS first_k FROM event ev JOIN (SELECT event_id AS eid, props FROM events) x ON ev.event_id = x.eid GROUP BY user_id")
+@query("A29 A26", "SELECT user_id, min(event_id) AS first_seen, max(event_id) AS last_seen, max(CASE WHEN kind = 'error' THEN event_id END) AS last_error, first(CASE WHEN ev.event_id % 3 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END ORDER BY ev.event_id) FILTER (WHERE ev.event_id % 3 <> 0) AS first_k FROM event ev JOIN (SELECT event_id AS eid, props FROM events) x ON ev.event_id = x.eid GROUP BY user_id")
 def pool_first_non_null(t):
+    """The first payload that states a value decides; every third one is silent."""
     e = t("events")
+    k = F.when(F.col("event_id") % 3 != 0, F.get_json_object("props", "$.k"))
     return e.groupBy("user_id").agg(
         F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"), F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("last_error"),
-        F.min_by(F.get_json_object("props", "$.k"), "event_id").alias("first_k"),
+        F.min(F.when(k.isNotNull(), F.struct("event_id", k.alias("k")))).getField("k").alias("first_k"),
     )
 
 

@@ -9,11 +9,6 @@ from ..catalog import query
 from ..sources import feeds as S
 
 
-@query("S01 S02 S10 S11 S12 S16", "SELECT 'feed_' || CAST(f AS VARCHAR) AS source_slug, 'feed_' || CAST(f AS VARCHAR) || '-' || CAST(k AS VARCHAR) AS external_id, CAST(min(p) AS INT) AS page FROM (SELECT f, p, unnest(range(p * 9, p * 9 + 10)) AS k FROM range(3) a(f), range(5) b(p)) GROUP BY f, k")
-def feed_pages_once(t):
-    return S.scan_feeds(t.spark, [f"feed_{i}" for i in range(3)], pages=5, size=10)
-
-
 @query("S05 S06 S07 S08", "SELECT id, CASE id % 5 WHEN 3 THEN 'gone' WHEN 4 THEN 'markup_error' ELSE 'ok' END AS status, CASE WHEN id % 5 < 3 THEN 'posting ' || CAST(id AS VARCHAR) END AS title, CASE WHEN id % 5 < 3 THEN CAST(seniority AS DOUBLE) END AS pay_from, CASE WHEN id % 5 < 3 THEN is_active ELSE FALSE END AS live, CAST(CASE id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS n_skills FROM posting")
 def page_states(t):
     """Five page bodies: the new shape with a wrapped list, the old one with a scalar, one without skills, an empty view, no state."""
@@ -41,7 +36,39 @@ def quarantine_rows(t):
     return t("posting").select("id", broken.alias("broken")).filter("broken <> ''")
 
 
-@query("J17 U03 U04", "SELECT posting_id, count(DISTINCT skill) FILTER (WHERE covered) AS covered, count(DISTINCT skill) FILTER (WHERE NOT covered AND elsewhere) AS elsewhere, count(DISTINCT skill) FILTER (WHERE NOT covered AND NOT elsewhere) AS absent FROM (SELECT posting_id, skill, skill IN (SELECT p_name FROM part WHERE p_size < 3) AS covered, skill IN (SELECT p_name FROM part WHERE p_size = 7) AS elsewhere FROM requirement) GROUP BY posting_id")
+@query("K17 F63 F65", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, turn = 0 AS closed, CASE WHEN turn = 0 THEN '2024-02-01' END AS rechecked FROM event JOIN (SELECT event_id AS eid, props FROM events) ON eid = event_id")
+def json_patch(t):
+    """The parsed block with two fields added or replaced; the other fields stay."""
+    e = t("events").select("event_id", F.from_json("props", "k bigint").alias("d"), (F.col("event_id") % 7 == 0).alias("closed"))
+    d = F.col("d").withField("closed", F.col("closed")).withField("rechecked", F.when(F.col("closed"), "2024-02-01"))
+    return e.select("event_id", d.alias("d")).select("event_id", "d.k", "d.closed", "d.rechecked")
+
+
+@query("T14", "SELECT user_id, count(*) AS bands FROM (SELECT user_id, b, count(*) AS n, max(total) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS b, count(*) OVER (PARTITION BY user_id) AS total FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY user_id ORDER BY x, event_id) <= 30 THEN 0 ELSE 1 END AS new FROM (SELECT user_id, event_id, (event_id * 7919) % 600 AS x FROM event))) GROUP BY user_id, b) WHERE n * 10 >= total GROUP BY user_id")
+def column_bands(t):
+    """Left edges clustered where no gap exceeds a width; bands with under a tenth of the edges drop out."""
+    edges = t("event").select("user_id", ((F.col("event_id") * 7919) % 600).alias("x")).withColumn("x2", F.col("x"))
+    total = edges.groupBy("user_id").agg(F.count("*").alias("total"))
+    w = W.Window.partitionBy("user_id").orderBy("x")
+    new = edges.withColumn("new", F.coalesce((F.col("x") - F.lag("x").over(w) > 30).cast("int"), F.lit(1)))
+    banded = new.withColumn("b", F.sum("new").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
+    bands = banded.groupBy("user_id", "b").agg(F.count("*").alias("n")).join(total, "user_id").filter("n * 10 >= total")
+    return bands.groupBy("user_id").agg(F.count("*").alias("bands"))
+
+
+@query("S01 S02", """SELECT 'feed_' || CAST(o_orderkey % 3 AS VARCHAR) AS source_slug, CAST(o_orderkey AS VARCHAR) AS external_id, CAST(min(o_orderkey // 40) AS BIGINT) AS page FROM orders GROUP BY o_orderkey""")
+def feed_pages_once(t):
+    """Pages of three feeds, each a JSON document whose neighbours overlap: every (source, posting) once, at its first page."""
+    o = t("orders").select(F.col("o_orderkey").alias("k"))
+    job = F.struct(F.concat(F.lit("feed_"), (F.col("k") % 3).cast("string")).alias("source_slug"), F.col("k").cast("string").alias("external_id"))
+    pages = F.array_distinct(F.array(F.floor(F.col("k") / 40), F.floor((F.col("k") + 2) / 40)))
+    body = o.select(job.alias("job"), F.explode(pages).alias("page")).groupBy("page").agg(F.to_json(F.struct(F.collect_list("job").alias("jobs"))).alias("body"))
+    jobs = body.select("page", F.explode(F.from_json("body", "jobs array<struct<source_slug:string,external_id:string>>")["jobs"]).alias("j"))
+    return jobs.groupBy("j.source_slug", "j.external_id").agg(F.min("page").alias("page"))
+
+
+@query("J17", """SELECT posting_id, count(DISTINCT skill) FILTER (WHERE covered) AS covered, count(DISTINCT skill) FILTER (WHERE NOT covered AND elsewhere) AS elsewhere, count(DISTINCT skill) FILTER (WHERE NOT covered AND NOT elsewhere) AS absent
+    FROM (SELECT posting_id, skill, skill IN (SELECT p_name FROM part WHERE p_size < 3) AS covered, skill IN (SELECT p_name FROM part WHERE p_size = 7) AS elsewhere FROM requirement) GROUP BY posting_id""")
 def evidence_split(t):
     mark = lambda cond, name: t("part").filter(cond).select(F.col("p_name").alias("skill")).distinct().withColumn(name, F.lit(True))
     r = t("requirement").select("posting_id", "skill").join(mark("p_size < 3", "c"), "skill", "left").join(mark("p_size = 7", "e"), "skill", "left")
@@ -50,69 +77,37 @@ def evidence_split(t):
     return r.withColumn("k", kind).groupBy("posting_id").agg(n("covered"), n("elsewhere"), n("absent"))
 
 
-@query("A08 A31", "SELECT user_id, count(*) FILTER (WHERE kind = 'click') AS sent, count(*) FILTER (WHERE kind = 'click' AND turn > 2) AS answered, count(*) FILTER (WHERE kind = 'click' AND turn > 4) AS positive, min(CASE WHEN turn > 0 THEN turn END) AS least FROM event GROUP BY user_id")
+@query("A08", """SELECT user_id, count(*) FILTER (WHERE kind = 'click') AS sent, count(*) FILTER (WHERE kind = 'click' AND turn > 2) AS answered, count(*) FILTER (WHERE kind = 'click' AND turn > 4) AS positive,
+    count(*) FILTER (WHERE kind = 'click' AND event_id % 6 = 0) AS text_unknown FROM event GROUP BY user_id""")
 def outcome_counts(t):
     sent = F.col("kind") == "click"
-    least = F.array_min(F.filter(F.collect_set("turn"), lambda x: x > 0))
-    return t("event").groupBy("user_id").agg(F.count_if(sent).alias("sent"), F.count_if(sent & (F.col("turn") > 2)).alias("answered"), F.count_if(sent & (F.col("turn") > 4)).alias("positive"), least.alias("least"))
-
-
-@query("K17 F63 F65", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, turn = 0 AS closed, CASE WHEN turn = 0 THEN '2024-02-01' END AS rechecked FROM event JOIN (SELECT event_id AS eid, props FROM events) ON eid = event_id")
-def json_patch(t):
-    """The parsed block with two fields added or replaced; the other fields stay."""
-    e = t("events").select("event_id", F.from_json("props", "k bigint").alias("d"), (F.col("event_id") % 7 == 0).alias("closed"))
-    d = F.col("d").withField("closed", F.col("closed")).withField("rechecked", F.when(F.col("closed"), "2024-02-01"))
-    return e.select("event_id", d.alias("d")).select("event_id", "d.k", "d.closed", "d.rechecked")
+    n = lambda c: F.count_if(sent & c)
+    return t("event").groupBy("user_id").agg(F.count_if(sent).alias("sent"), n(F.col("turn") > 2).alias("answered"), n(F.col("turn") > 4).alias("positive"), n(F.col("event_id") % 6 == 0).alias("text_unknown"))
 
 
-@query("F67 F64", "SELECT 'k' AS key, count(*) AS n, CAST(sum(length(json_extract_string(props, '$.k'))) AS BIGINT) AS size FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@query("F67", "SELECT 'k' AS key, count(*) AS n, CAST(sum(length(json_extract_string(props, '$.k'))) AS BIGINT) AS size FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def state_census(t):
     """Which top-level keys the payloads hold, how often and how large."""
     pairs = t("events").select(F.explode(F.from_json("props", "map<string,string>")).alias("key", "v"))
     return pairs.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("v")).alias("size"))
 
 
-@query("F09 F17 F34", "SELECT n_name, translate(lower(n_name), 'aeio', '4310') AS folded, regexp_matches(n_name, '(^|[^A-Za-z0-9])NATION_1($|[^0-9])') AS is_one, CAST(regexp_extract('2019-07 ' || n_name, '^([0-9]{4})-([0-9]{2})', 1) AS BIGINT) * 12 + 7 AS month FROM nation")
-def slug_fold(t):
-    stamp = F.concat(F.lit("2019-07 "), F.col("n_name"))
-    part = lambda i: F.regexp_extract(stamp, "^([0-9]{4})-([0-9]{2})", i).cast("long")
-    return t("nation").select("n_name", F.translate(F.lower("n_name"), "aeio", "4310").alias("folded"), F.col("n_name").rlike("(^|[^A-Za-z0-9])NATION_1($|[^0-9])").alias("is_one"), (part(1) * 12 + part(2)).alias("month"))
+@query("F53", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(CAST(CAST(x AS DOUBLE) * 1.0000000001 AS FLOAT) AS DOUBLE) - x)) = 0 AS same FROM embeddings")
+def float_narrowing(t):
+    """Double vectors stored in single precision: what the narrowing keeps of every component."""
+    wide = F.transform("embedding", lambda x: x.cast("double") * 1.0000000001)
+    back = F.zip_with(wide.cast("array<float>"), "embedding", lambda a, b: a.cast("double") - b.cast("double"))
+    return t("embeddings").select("vec_id", (F.aggregate(back, F.lit(0.0), lambda s, x: s + x) == 0).alias("same"))
 
 
-@query("F52 F53", "SELECT vec_id, CAST(CAST(CAST(embedding[1] AS DOUBLE) AS FLOAT) AS DOUBLE) AS first FROM embeddings")
-def float_narrowing(t):
-    wide = F.transform("embedding", lambda x: x.cast("double"))
-    return t("embeddings").select("vec_id", F.element_at(wide.cast("array<float>"), 1).cast("double").alias("first"))
+@query("F17", "SELECT n_name, regexp_matches(n_name, '(^|[^A-Za-z0-9])NATION_1($|[^0-9])') AS is_one FROM nation")
+def whole_name_match(t):
+    return t("nation").select("n_name", F.col("n_name").rlike("(^|[^A-Za-z0-9])NATION_1($|[^0-9])").alias("is_one"))
 
 
-@query("K22 T11 T13", "SELECT conv_id, string_agg(role || ': ' || replace(replace(substr(text, 1, 40), '<', '('), '>', ')'), chr(10) ORDER BY turn, role) AS body FROM conversations GROUP BY conv_id")
+@query("T13", "SELECT conv_id, string_agg(role || ': ' || replace(replace(text, '<', '('), '>', ')'), chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id")
 def rendered_lines(t):
-    line = F.concat(F.col("role"), F.lit(": "), F.translate(F.substring("text", 1, 40), "<>", "()"))
+    """A conversation as lines of prose, with what could open a tag defanged; whole texts."""
+    line = F.concat(F.col("role"), F.lit(": "), F.translate("text", "<>", "()"))
     items = F.sort_array(F.collect_list(F.struct("turn", "role", line.alias("l"))))
     return t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(items, lambda x: x["l"]), "\n").alias("body"))
-
-
-@query("T14", "SELECT user_id, count(*) AS bands FROM (SELECT user_id, b, count(*) AS n, max(total) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS b, count(*) OVER (PARTITION BY user_id) AS total FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY user_id ORDER BY x, event_id) <= 30 THEN 0 ELSE 1 END AS new FROM (SELECT user_id, event_id, (event_id * 7919) % 600 AS x FROM event))) GROUP BY user_id, b) WHERE n * 10 >= total GROUP BY user_id")
-def column_bands(t):
-    """Left edges clustered where no gap exceeds a width; bands with under a tenth of the edges drop out."""
-    edges = t("event").select("user_id", ((F.col("event_id") * 7919) % 600).alias("x")).withColumn("x2", F.col("x"))
-    total = edges.groupBy("user_id").agg(F.count("*").alias("total"))
-    w = W.Window.partitionBy("user_id").orderBy("x")
-    new = edges.withColumn("new", F.coalesce((F.col("x") - F.lag("x").over(w) > 30).cast("int"), F.lit(1)))
-    banded = new.withColumn("b", F.sum("new").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
-    bands = banded.groupBy("user_id", "b").agg(F.count("*").alias("n")).join(total, "user_id").filter("n * 10 >= total")
-    return bands.groupBy("user_id").agg(F.count("*").alias("bands"))
-
-
-@query("R09 R10", "SELECT kind, least(backlog, 150) AS taken, CASE WHEN backlog = 0 THEN 'drained' WHEN backlog > 150 THEN 'budget' ELSE 'done' END AS stop, fresh = 0 AND backlog > 0 AS starved FROM (SELECT kind, count(*) FILTER (WHERE turn < 2) AS backlog, count(*) FILTER (WHERE turn = 0) AS fresh FROM event GROUP BY kind)")
-def backlog_drain(t):
-    b = t("event").groupBy("kind").agg(F.count_if(F.col("turn") < 2).alias("backlog"), F.count_if(F.col("turn") == 0).alias("fresh"))
-    stop = F.when(F.col("backlog") == 0, "drained").when(F.col("backlog") > 150, "budget").otherwise("done")
-    return b.select("kind", F.least("backlog", F.lit(150)).alias("taken"), stop.alias("stop"), ((F.col("fresh") == 0) & (F.col("backlog") > 0)).alias("starved"))
-
-
-@query("R11 S20", "SELECT n_name, CAST((n_nationkey + 25 - 7) % 25 AS BIGINT) AS turn, n_nationkey * 2 <= 24 AS cached FROM nation")
-def rotation_and_ttl(t):
-    return t("nation").select("n_name", ((F.col("n_nationkey") + 25 - 7) % 25).cast("long").alias("turn"), (F.col("n_nationkey") * 2 <= 24).alias("cached"))
-
-

@@ -35,6 +35,45 @@ VIEWS = {
         SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id, event_type AS kind,
                CAST(value AS DECIMAL(12,2)) AS value, CAST(event_id % 7 AS INT) AS turn
         FROM {events}""",
+    "vacancy": """
+        SELECT o_orderkey AS id, concat('Role ', CAST(o_orderkey % 50 AS VARCHAR(9))) AS title, c_name AS company, n_name AS city,
+               CASE n_regionkey WHEN 0 THEN 'KZ' WHEN 1 THEN 'PL' WHEN 2 THEN NULL ELSE 'US' END AS country,
+               CASE o_orderkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'hybrid' ELSE 'no' END AS remote,
+               CAST(substr(o_orderpriority, 1, 1) AS INT) AS seniority,
+               CASE WHEN o_orderkey % 7 = 3 THEN NULL ELSE CAST(o_totalprice AS DECIMAL(12,2)) END AS salary,
+               CASE WHEN o_orderkey % 7 = 3 OR o_orderkey % 3 = 1 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) + 500 AS DECIMAL(12,2)) END AS salary_max,
+               CASE o_orderkey % 8 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'KZT' WHEN 3 THEN NULL ELSE 'PLN' END AS currency,
+               CASE WHEN o_orderkey % 9 = 4 THEN 'year' ELSE 'month' END AS period,
+               CASE WHEN o_orderkey % 6 = 5 THEN 'part_time' ELSE 'full_time' END AS employment_type,
+               CASE o_orderkey % 3 WHEN 0 THEN 'ru' WHEN 1 THEN 'en' ELSE NULL END AS language,
+               CASE WHEN o_orderkey % 11 = 5 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS published,
+               CAST(o_orderdate AS DATE) AS first_seen,
+               CASE WHEN o_orderkey % 5 = 4 THEN NULL
+                    ELSE CAST(CAST((o_orderkey * 37) % 10001 AS DECIMAL(7,0)) * 0.01 AS DECIMAL(5,2)) END AS score,
+               o_orderkey % 17 <> 0 AS is_active, o_orderkey % 23 = 7 AS is_spam
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
+    "application": """
+        SELECT event_id AS id, user_id AS vacancy_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 3 END AS profile_id, ts AS created_at,
+               CASE event_id % 6 WHEN 0 THEN 'saved' WHEN 1 THEN 'applied' WHEN 2 THEN 'interview' WHEN 3 THEN 'offer'
+                    WHEN 4 THEN 'rejected' ELSE 'saved' END AS status,
+               CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 7 = 1 THEN '  ' ELSE concat('letter ', CAST(event_id AS VARCHAR(9))) END AS cover_letter,
+               CASE WHEN event_id % 5 = 0 THEN ts ELSE NULL END AS sent_at,
+               CASE WHEN event_id % 5 = 1 THEN 'rules:old' ELSE NULL END AS rules_version
+        FROM {events}""",
+    "report": """
+        SELECT user_id AS vacancy_id, event_id AS id, ts AS stamp,
+               CASE event_id % 7 WHEN 0 THEN 'queued' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'failed' WHEN 3 THEN 'needs_manual'
+                    WHEN 4 THEN 'sent' WHEN 5 THEN 'skipped' ELSE 'queued' END AS status,
+               CASE WHEN event_id % 2 = 0 THEN 'human' ELSE 'agent' END AS actor,
+               CASE WHEN event_id % 5 = 1 THEN concat('title ', CAST(event_id AS VARCHAR(9))) ELSE NULL END AS title,
+               CASE WHEN event_id % 4 = 1 THEN concat('reason ', CAST(event_id AS VARCHAR(9))) ELSE NULL END AS reason,
+               CASE WHEN event_id % 5 = 2 THEN concat('warning ', CAST(event_id AS VARCHAR(9))) ELSE NULL END AS warning,
+               CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 6 < 3 THEN 'RESPONSE' ELSE 'INVITATION' END AS state,
+               CASE WHEN event_id % 8 = 4 THEN NULL ELSE concat('letter ', CAST(event_id AS VARCHAR(9))) END AS letter
+        FROM {events}""",
+    "match": """
+        SELECT l_suppkey % 5 AS profile_id, l_orderkey AS vacancy_id, max(CAST(l_quantity AS DECIMAL(5,2))) AS score
+        FROM {lineitem} GROUP BY l_suppkey % 5, l_orderkey""",
 }
 
 
@@ -54,4 +93,6 @@ def with_views(sql: str) -> str:
     if not views:
         return sql
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views}, {body[15:]}"
     return f"WITH {views}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {views} {body}"
