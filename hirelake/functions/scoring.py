@@ -12,8 +12,8 @@ def experience_fit(gap: Column) -> Column:
 
 
 def seniority_multiplier(a: Column, b: Column) -> Column:
-    """One less a tenth per step between the ranks, 0.8 at least."""
-    return F.greatest(F.lit(0.8), 1 - 0.1 * F.abs(a - b))
+    """One less a tenth per step between the ranks, 0.8 at least; one where a rank is unknown."""
+    return F.when(a.isNull() | b.isNull(), 1.0).otherwise(F.greatest(F.lit(0.8), 1 - 0.1 * F.abs(a - b)))
 
 
 def renormalised(parts: list[tuple[Column, float, bool]]) -> Column:

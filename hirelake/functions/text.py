@@ -108,16 +108,6 @@ def plain_text(c: Column) -> Column:
     return F.coalesce(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), c)
 
 
-def strip_tags(c: Column) -> Column:
-    """Scripts, styles and comments go, block tags become line breaks, other tags blanks; blanks and lines are squeezed."""
-    c = F.regexp_replace(c, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    c = F.regexp_replace(c, "(?s)<!--.*?-->", " ")
-    c = F.regexp_replace(c, "(?i)</?(p|br|div|li|ul|ol|h[1-6]|tr|table|section|article)[^>]*>", "\n")
-    c = F.regexp_replace(c, "<[^>]+>", " ")
-    c = F.regexp_replace(c, "[ \t\r]+", " ")
-    return F.btrim(F.regexp_replace(c, "( ?\n ?)+", "\n"), F.lit(" \n"))
-
-
 def url_host(c: Column) -> Column:
     return F.regexp_extract(c, "^[a-z]+://([^/?#]+)", 1)
 

@@ -132,24 +132,26 @@ def page(df: DataFrame, value: str, size: int = 50, cursor: Cursor | None = None
 
 
 def numbered_pages(df: DataFrame, value: str, size: int, id_: str = "id", buckets: int = 64) -> DataFrame:
-    """Every row with the number of the page a full walk would show it on.
+    """Every row with the number of the page that a full walk, downwards, would show it on.
 
-    Positions come from a range partition on the keyset order: rows are ranked in their range and the ranges' sizes are
-    summed, so no task sorts more than a range.
+    Quantiles of the value, fixed before, cut the order into tiers; a value that is itself a bound, and the missing one,
+    are tiers of their own that quantiles of the id cut further, as only the id orders their rows. Tiers are columns of
+    each row, so a repeated task finds the same ones; rows are sorted within a tier and the tiers' sizes are summed.
     """
     from pyspark.sql import window as W
 
-    ranged = df.repartitionByRange(buckets, *keyset_order(value, id_)).withColumn("_r", F.spark_partition_id())
-    ranged = ranged.sortWithinPartitions(*keyset_order(value, id_))
-    counts = ranged.groupBy("_r").agg(F.count("*").alias("_n"))
-    before = counts.select("_r", F.coalesce(F.sum("_n").over(W.Window.orderBy("_r").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.Window.partitionBy("_r").orderBy(*keyset_order(value, id_)))
-    placed = ranged.withColumn("_k", rank).join(F.broadcast(before), "_r")  # one row a range
-    return placed.withColumn("page", F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("long")).drop("_r", "_k", "_before")
-
-
-def facets(df: DataFrame, keys: list[str]) -> DataFrame:
-    """facet, value, n over the filtered rows for each key, from one aggregate with grouping sets; null keys drop out."""
-    sets = df.select(*[F.col(k).cast("string").alias(k) for k in keys]).groupingSets([[k] for k in keys], *keys).agg(F.count("*").alias("n"))
-    facet = F.coalesce(*[F.when(F.col(k).isNotNull(), F.lit(k)) for k in keys])
-    return sets.select(facet.alias("facet"), F.coalesce(*keys).alias("value"), "n").filter("value is not null")
+    at = F.unix_date(F.col(value)) if df.schema[value].dataType.typeName() == "date" else F.col(value)
+    df = df.withColumn("_v", at.cast("double"))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx("_v", probs, 100 * buckets).alias("v"), F.percentile_approx(id_, probs, 100 * buckets).alias("i")).first()
+    bounds = lambda c: F.array(*[F.lit(x) for x in sorted(set(cuts[c] or []))])
+    above = lambda c, x: F.size(F.filter(bounds(c), lambda b: b > x)) if cuts[c] else F.lit(0)
+    alone = F.array_contains(bounds("v"), F.col("_v")) if cuts["v"] else F.lit(False)
+    tier = F.when(F.col("_v").isNull(), 2 * buckets + 2).otherwise(2 * above("v", F.col("_v")) + F.coalesce(alone, F.lit(False)).cast("int"))
+    df = df.withColumn("_t", tier).withColumn("_u", F.when((F.col("_t") % 2 == 1) | F.col("_v").isNull(), above("i", F.col(id_))).otherwise(0))
+    counts = df.groupBy("_t", "_u").agg(F.count("*").alias("_n"))  # a few thousand rows at most
+    ahead = F.sum("_n").over(W.Window.orderBy("_t", "_u").rowsBetween(W.Window.unboundedPreceding, -1))
+    before = counts.select("_t", "_u", F.coalesce(ahead, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.Window.partitionBy("_t", "_u").orderBy(*keyset_order(value, id_)))
+    placed = df.withColumn("_k", rank).join(F.broadcast(before), ["_t", "_u"])
+    return placed.withColumn("page", F.floor((F.col("_before") + F.col("_k") - 1) / size).cast("long")).drop("_t", "_u", "_v", "_k", "_before")

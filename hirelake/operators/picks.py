@@ -13,11 +13,6 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def first_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """`value` of the first row of each key: a min over structs, so partial aggregation does most of the work."""
-    return df.groupBy(*keys).agg(F.min(F.struct(*order, F.col(value).alias("_v"))).getField("_v").alias(out))
-
-
 def numbered(df: DataFrame, keys: list[str], order: list[Column], out: str, base: str | None = None) -> DataFrame:
     """Rows numbered from 1 in each key, on top of `base` where a table already has versions."""
     rn = F.row_number().over(W.Window.partitionBy(*keys).orderBy(*order)).cast("long")

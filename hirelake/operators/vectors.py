@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,27 +27,15 @@ def nearest(df: DataFrame, vector: str, query: list[float], k: int, id_: str) ->
     return df.withColumn("cos", cosine(F.col(vector), q)).orderBy(F.col("cos").desc_nulls_last(), F.col(id_)).limit(k)
 
 
-def early_stop_topk(df: DataFrame, title: str, text: str, id_: str, k: int, batch: int = 256, weights: tuple[float, float] = (0.7, 0.3), strict: bool = True, warmup: int = 50):
-    """Top k by w0*title + w1*text without reading all texts: batches in order of title similarity, until the bound
-    w0*title + w1*ceiling of what is left falls below the k-th best. strict takes the ceiling 1; otherwise it is the
-    greatest text similarity seen, after a warm-up. Returns (rows, texts read); the driver holds k rows and a batch.
+def early_stop_topk(df: DataFrame, title: str, text: str, id_: str, k: int, weights: tuple[float, float] = (0.7, 0.3), ceiling: float = 1.0) -> DataFrame:
+    """Top k rows by w0*title + w1*text, ties by id, without ranking all texts.
+
+    The k rows of best title have some combined score at worst: no row whose title leaves it below that even with a text
+    of the `ceiling` can be among the top k. The bound is one row, found by a top-k and broadcast; one filtered top-k
+    follows. Nothing goes through the driver.
     """
-    from .listing import Cursor, page
-
-    slim = df.select(id_, title)
-    best: list[tuple[float, int]] = []
-    cursor, read, ceiling = None, 0, 0.0
-    while True:
-        part = page(slim, title, min(200, batch), cursor, id_=id_).collect()
-        if not part:
-            break
-        kth = best[k - 1][0] if len(best) >= k else -math.inf
-        bound = weights[0] * part[0][title] + weights[1] * (1.0 if strict else ceiling)
-        if bound < kth and (strict or read >= warmup):
-            break
-        got = df.filter(F.col(id_).isin([r[id_] for r in part])).select(id_, title, text).collect()
-        read += len(got)
-        ceiling = max([ceiling, *(r[text] for r in got)])
-        best = sorted([*best, *((weights[0] * r[title] + weights[1] * r[text], r[id_]) for r in got)], key=lambda x: (-x[0], x[1]))[:k]
-        cursor = Cursor(part[-1][title], part[-1][id_])
-    return best, read
+    score = weights[0] * F.col(title) + weights[1] * F.col(text)
+    first = df.orderBy(F.desc(title), id_).limit(k).agg(F.min(score).alias("_bound"), F.count("*").alias("_held"))
+    near = (F.col("_held") < k) | (weights[0] * F.col(title) + weights[1] * ceiling >= F.col("_bound"))
+    kept = df.crossJoin(F.broadcast(first)).filter(near).drop("_bound", "_held")
+    return kept.withColumn("score", score).orderBy(F.desc("score"), id_).limit(k)

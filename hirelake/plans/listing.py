@@ -120,7 +120,7 @@ def filter_posted_within(t):
     return out(L.ListFilter(posted_since=AS_OF - timedelta(days=30)).apply(listed(t)))
 
 
-@query("P06 P07 P08 P31", sql("city ILIKE 'nation_1%' AND company ILIKE '%0007%'"))
+@query("P06 P07", sql("city ILIKE 'nation_1%' AND company ILIKE '%0007%'"))
 def filter_ilike_city_company(t):
     return out(L.ListFilter(city="nation_1%", company="0007").apply(listed(t)))
 
@@ -154,7 +154,7 @@ def channel_flags(t):
     return t("provenance").groupBy("posting_id").agg(on("feed_0").alias("on_a"), on("feed_1").alias("on_b"), (~on("feed_0")).alias("skipped"))
 
 
-@query("P30 F60 O08", "SELECT id, CAST(CASE WHEN n > 0 THEN score END AS DOUBLE) AS shown FROM (SELECT p.id, p.score, (SELECT count(*) FROM requirement r WHERE r.posting_id = p.id) AS n FROM posting p) ORDER BY CASE WHEN n > 0 THEN score END DESC NULLS LAST, id DESC LIMIT 100")
+@query("P30 O08", "SELECT id, CAST(CASE WHEN n > 0 THEN score END AS DOUBLE) AS shown FROM (SELECT p.id, p.score, (SELECT count(*) FROM requirement r WHERE r.posting_id = p.id) AS n FROM posting p) ORDER BY CASE WHEN n > 0 THEN score END DESC NULLS LAST, id DESC LIMIT 100")
 def mode_rank_unmeasured_last(t):
     has = t("requirement").groupBy(F.col("posting_id").alias("id")).agg(F.count("*").alias("n"))
     shown = t("posting").join(has, "id", "left").select("id", F.when(F.col("n") > 0, F.col("score")).alias("shown"))
@@ -166,7 +166,7 @@ def filtered_counts_one_pass(t):
     return t("posting").agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count("score").alias("scored"), F.count_if(F.col("is_active") & F.col("score").isNull()).alias("needs"))
 
 
-@query("A02 P22 P24", "SELECT kind, count(*) AS n, count(*) FILTER (WHERE turn = 0) AS queued, count(*) FILTER (WHERE turn > 3 OR value > 50) AS acted, count(*) FILTER (WHERE NOT (turn > 3 OR value > 50)) AS waiting FROM event GROUP BY kind")
+@query("P22", "SELECT kind, count(*) AS n, count(*) FILTER (WHERE turn = 0) AS queued, count(*) FILTER (WHERE turn > 3 OR value > 50) AS acted, count(*) FILTER (WHERE NOT (turn > 3 OR value > 50)) AS waiting FROM event GROUP BY kind")
 def tracker_counts(t):
     acted = (F.col("turn") > 3) | (F.col("value") > 50)
     return t("event").groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("turn") == 0).alias("queued"), F.count_if(acted).alias("acted"), F.count_if(~acted).alias("waiting"))
@@ -174,16 +174,20 @@ def tracker_counts(t):
 
 @query("A03 U01 A09 J11", f"WITH {LISTED}, f AS (SELECT * FROM listed WHERE {BASE}) SELECT 'bucket' AS facet, bucket AS value, count(*) AS n FROM f WHERE bucket IS NOT NULL GROUP BY bucket UNION ALL SELECT 'city', city, count(*) FROM f WHERE city IS NOT NULL GROUP BY city UNION ALL SELECT 'source', slug, count(DISTINCT id) FROM f JOIN provenance s ON s.posting_id = id GROUP BY slug")
 def facets_union_all(t):
-    f = L.ListFilter().apply(listed(t)).select("id", "bucket", "city")
-    source = f.join(t("provenance").select(F.col("posting_id").alias("id"), "slug").distinct(), "id")
-    return L.facets(f, ["bucket", "city"]).unionByName(source.groupBy(F.lit("source").alias("facet"), F.col("slug").alias("value")).agg(F.count("*").alias("n")))
+    """One join and one aggregate: a posting's distinct sources are found first, and each of its values becomes a row."""
+    slugs = t("provenance").groupBy(F.col("posting_id").alias("id")).agg(F.collect_set("slug").alias("slugs"))
+    f = L.ListFilter().apply(listed(t)).select("id", "bucket", "city").join(slugs, "id", "left")
+    one = lambda facet, c: F.struct(F.lit(facet).alias("facet"), c.alias("value"))
+    own = F.array(one("bucket", F.col("bucket")), one("city", F.col("city")))
+    every = F.concat(own, F.transform(F.coalesce("slugs", F.array().cast("array<string>")), lambda s: one("source", s)))
+    return f.select(F.inline(every)).filter("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
 @query("A04 J10 F62", "SELECT skill, count(*) AS n FROM requirement r JOIN posting p ON r.posting_id = p.id WHERE NOT held AND score >= 55 GROUP BY skill ORDER BY n DESC, skill LIMIT 20")
 def skill_gap_top20(t):
     good = t("posting").filter("score >= 55").select(F.col("id").alias("posting_id"))
-    lists = t("requirement").filter("not held").join(good, "posting_id", "left_semi").groupBy("posting_id").agg(F.collect_list("skill").alias("missing"))
-    return lists.select(F.explode("missing").alias("skill")).groupBy("skill").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "skill").limit(20)
+    missing = t("requirement").filter("not held").join(good, "posting_id", "left_semi")
+    return missing.groupBy("skill").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "skill").limit(20)
 
 
 @query("W01 J25", "SELECT user_id, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM event) WHERE rn = 1")
@@ -234,11 +238,10 @@ def queue_three_way_join(t):
     return rows.orderBy((F.col("slug") == "feed_0").desc(), F.desc("score"), "id").limit(200).select("id", "slug")
 
 
-@query("O05 O14 O15", "SELECT id, CAST(score AS DOUBLE) AS score FROM posting ORDER BY score DESC NULLS LAST, id DESC LIMIT 500")
+@query("O05 O14", "SELECT id, CAST(score AS DOUBLE) AS score FROM posting ORDER BY score DESC NULLS LAST, id DESC LIMIT 500")
 def top_for_profile(t):
-    return L.page(t("posting").select("id", "score"), "score", 200).unionByName(
-        t("posting").select("id", "score").orderBy(*L.keyset_order("score")).offset(200).limit(300)
-    ).select("id", F.col("score").cast("double").alias("score"))
+    best = t("posting").select("id", "score").orderBy(*L.keyset_order("score")).limit(500)
+    return best.select("id", F.col("score").cast("double").alias("score"))
 
 
 @query("O07 A27", "SELECT id, CAST(greatest(coalesce(published, DATE '1990-01-01'), coalesce(day, DATE '1990-01-01')) AS VARCHAR) AS activity FROM posting p LEFT JOIN event e ON e.event_id = p.id ORDER BY greatest(coalesce(published, DATE '1990-01-01'), coalesce(day, DATE '1990-01-01')) DESC, id LIMIT 100")
@@ -255,7 +258,7 @@ def kanban_stage(t):
     return t("event").groupBy(stage.alias("stage")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
-@query("J16 J22 U08", "SELECT p.family, count(DISTINCT p.skill) AS skills, count(DISTINCT p.posting_id) AS postings FROM requirement p WHERE p.held GROUP BY p.family")
+@query("U08", "SELECT p.family, count(DISTINCT p.skill) AS skills, count(DISTINCT p.posting_id) AS postings FROM requirement p WHERE p.held GROUP BY p.family")
 def traceable_set(t):
     return t("requirement").filter("held").groupBy("family").agg(F.count_distinct("skill").alias("skills"), F.count_distinct("posting_id").alias("postings"))
 
@@ -275,9 +278,12 @@ def rank_seven_keys(t):
     return top.select("p_partkey", F.row_number().over(W.Window.orderBy(*keys)).cast("long").alias("rank"))
 
 
-@query("O16", "SELECT p_partkey, CAST((p_partkey + 1000 - 37) % 1000 AS BIGINT) AS turn FROM part WHERE p_partkey < 1000")
+@query("O16", "SELECT p_partkey, CAST((p_partkey + n - 37) % n AS BIGINT) AS turn FROM part, (SELECT count(*) AS n FROM part)")
 def rotate_turn(t):
-    return t("part").filter("p_partkey < 1000").select("p_partkey", ((F.col("p_partkey") + 1000 - 37) % 1000).cast("long").alias("turn"))
+    """The place of each item in a list that starts where the last run stopped."""
+    size = t("part").agg(F.count("*").alias("n"))  # one row
+    turned = (F.col("p_partkey") + F.col("n") - 37) % F.col("n")
+    return t("part").crossJoin(F.broadcast(size)).select("p_partkey", turned.cast("long").alias("turn"))
 
 
 @query("J20", "SELECT a, b, CAST(row_number() OVER (ORDER BY i + j, i) AS BIGINT) AS place FROM (SELECT p_brand AS a, row_number() OVER (ORDER BY p_brand) AS i FROM (SELECT DISTINCT p_brand FROM part)) CROSS JOIN (SELECT n_name AS b, row_number() OVER (ORDER BY n_name) AS j FROM nation) ORDER BY i + j, i LIMIT 60")

@@ -29,12 +29,12 @@ def coverage_empty_defaults(t):
 HELD = "held AS (SELECT p_name AS skill, min(p_brand) AS family, min(p_partkey) AS place FROM part WHERE p_size <= 10 GROUP BY p_name)"
 
 
-@query("J14 J13", f"WITH {HELD}, near AS (SELECT family, min(place) AS place FROM held GROUP BY family) SELECT r.posting_id, r.line, r.skill, CAST(min(CASE WHEN h.skill IS NOT NULL THEN 1.0 WHEN n.place IS NOT NULL THEN 0.25 ELSE 0.0 END) AS DOUBLE) AS credit FROM requirement r LEFT JOIN held h ON h.skill = r.skill LEFT JOIN near n ON n.family = r.family WHERE r.posting_id < 2000 GROUP BY r.posting_id, r.line, r.skill")
+@query("J14", f"WITH {HELD}, near AS (SELECT family, min(place) AS place FROM held GROUP BY family) SELECT r.posting_id, r.line, r.skill, CAST(min(CASE WHEN h.skill IS NOT NULL THEN 1.0 WHEN n.place IS NOT NULL THEN 0.25 ELSE 0.0 END) AS DOUBLE) AS credit FROM requirement r LEFT JOIN held h ON h.skill = r.skill LEFT JOIN near n ON n.family = r.family GROUP BY r.posting_id, r.line, r.skill")
 def neighbour_credit(t):
     """Full credit for a held skill, a quarter for the first held neighbour of its family."""
     held = t("part").filter("p_size <= 10").groupBy(F.col("p_name").alias("skill")).agg(F.min("p_brand").alias("hf"), F.min("p_partkey").alias("place"))
     near = held.groupBy(F.col("hf").alias("family")).agg(F.min("place").alias("near"))
-    r = t("requirement").filter("posting_id < 2000").join(held.select("skill", "place"), "skill", "left").join(near, "family", "left")
+    r = t("requirement").join(held.select("skill", "place"), "skill", "left").join(near, "family", "left")
     credit = F.when(F.col("place").isNotNull(), 1.0).when(F.col("near").isNotNull(), 0.25).otherwise(0.0)
     return r.groupBy("posting_id", "line", "skill").agg(F.min(credit).alias("credit"))
 
@@ -65,9 +65,11 @@ def experience_ladder(t):
     return t("posting").select("id", S.experience_fit(F.col("seniority") * 2 - F.col("company_id") % 9).alias("fit"))
 
 
-@query("F42", "SELECT id, CAST(round(greatest(0.8, 1 - 0.1 * abs(seniority - company_id % 5)), 2) AS DOUBLE) AS multiplier FROM posting")
+@query("F42", "SELECT id, CAST(CASE WHEN id % 6 = 2 THEN 1.0 ELSE round(greatest(0.8, 1 - 0.1 * abs(seniority - company_id % 5)), 2) END AS DOUBLE) AS multiplier FROM posting")
 def seniority_multiplier(t):
-    return t("posting").select("id", F.round(S.seniority_multiplier(F.col("seniority"), F.col("company_id") % 5).cast("double"), 2).alias("multiplier"))
+    """An unknown grade on either side costs nothing."""
+    grade = F.when(F.col("id") % 6 != 2, F.col("seniority"))
+    return t("posting").select("id", F.round(S.seniority_multiplier(grade, F.col("company_id") % 5).cast("double"), 2).alias("multiplier"))
 
 
 @query("A17", "SELECT id, round(CASE WHEN score IS NULL AND salary IS NULL AND published IS NULL THEN NULL ELSE (coalesce(CAST(score AS DOUBLE) / 100, 0) + coalesce(CAST(salary AS DOUBLE) / 500000, 0) + CASE WHEN published IS NULL THEN 0.0 ELSE 1.0 END) / (CASE WHEN score IS NULL THEN 0 ELSE 1 END + CASE WHEN salary IS NULL THEN 0 ELSE 1 END + CASE WHEN published IS NULL THEN 0 ELSE 1 END) END, 9) AS fit FROM posting")
@@ -133,7 +135,7 @@ def cosine_topk_vs_profile(t):
     return top.select("vec_id", F.round(V.similarity(F.col("cos")), 6).alias("similarity"))
 
 
-@query("O09 O10 P17", f"SELECT vec_id FROM embeddings ORDER BY (vec_id % 7 = 0) DESC, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) END ASC NULLS LAST, vec_id LIMIT 100")
+@query("O09 O10", f"SELECT vec_id FROM embeddings ORDER BY (vec_id % 7 = 0) DESC, CASE WHEN vec_id % 5 = 0 THEN NULL ELSE 1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) END ASC NULLS LAST, vec_id LIMIT 100")
 def nearest_nulls_last(t):
     q = F.array(*[F.lit(x) for x in QUERY])
     distance = F.when(F.col("vec_id") % 5 != 0, 1 - V.cosine(F.col("embedding"), q))
@@ -144,8 +146,7 @@ def nearest_nulls_last(t):
 def early_stop_topk(t):
     q = F.array(*[F.lit(x) for x in QUERY])
     df = t("embeddings").select("vec_id", ((F.col("vec_id") * 37 % 1001) / 1000.0).alias("title"), V.similarity(V.cosine(F.col("embedding"), q)).alias("text"))
-    best, _ = V.early_stop_topk(df, "title", "text", "vec_id", 25, batch=64)
-    return t.spark.createDataFrame([(i,) for _, i in best], "vec_id long")
+    return V.early_stop_topk(df, "title", "text", "vec_id", 25).select("vec_id")
 
 
 @query("U02 J15", "SELECT r.posting_id, CAST(count(DISTINCT r.skill) FILTER (WHERE r.held) AS BIGINT) AS matched, CAST(count(DISTINCT r.skill) FILTER (WHERE NOT r.held) AS BIGINT) AS missing FROM requirement r GROUP BY r.posting_id")
@@ -153,7 +154,7 @@ def requirement_overlap(t):
     return t("requirement").groupBy("posting_id").agg(F.count_distinct(F.when(F.col("held"), F.col("skill"))).alias("matched"), F.count_distinct(F.when(~F.col("held"), F.col("skill"))).alias("missing"))
 
 
-@query("U02 U05", "WITH s AS (SELECT posting_id, list_distinct(list(skill)) AS a FROM requirement GROUP BY posting_id), q AS (SELECT a FROM s WHERE posting_id = (SELECT min(posting_id) FROM s)) SELECT posting_id, round(len(list_intersect(s.a, q.a)) / CAST(len(list_distinct(list_concat(s.a, q.a))) AS DOUBLE), 6) AS jaccard FROM s, q WHERE len(list_intersect(s.a, q.a)) / CAST(len(list_distinct(list_concat(s.a, q.a))) AS DOUBLE) >= 0.1")
+@query("U02", "WITH s AS (SELECT posting_id, list_distinct(list(skill)) AS a FROM requirement GROUP BY posting_id), q AS (SELECT a FROM s WHERE posting_id = (SELECT min(posting_id) FROM s)) SELECT posting_id, round(len(list_intersect(s.a, q.a)) / CAST(len(list_distinct(list_concat(s.a, q.a))) AS DOUBLE), 6) AS jaccard FROM s, q WHERE len(list_intersect(s.a, q.a)) / CAST(len(list_distinct(list_concat(s.a, q.a))) AS DOUBLE) >= 0.1")
 def jaccard_examples(t):
     s = t("requirement").groupBy("posting_id").agg(F.collect_set("skill").alias("a"))
     q = s.agg(F.min_by("a", "posting_id").alias("q"))  # one row
@@ -161,7 +162,7 @@ def jaccard_examples(t):
     return s.crossJoin(F.broadcast(q)).withColumn("j", j).filter("j >= 0.1").select("posting_id", F.round("j", 6).alias("jaccard"))
 
 
-@query("P27 P36 P28 P29", "SELECT id, CASE WHEN NOT is_active THEN 'archived' WHEN status = 'F' AND seniority = 5 THEN 'closed' WHEN seniority * 2 - company_id % 9 > 4 THEN 'experience' WHEN company_id % 10 = 3 THEN 'language' WHEN n IS NULL THEN 'no letter' WHEN published < DATE '1996-01-01' THEN 'stale page' ELSE 'ready' END AS verdict FROM posting p LEFT JOIN (SELECT posting_id, count(*) AS n FROM provenance WHERE slug = 'feed_0' GROUP BY posting_id) s ON s.posting_id = p.id")
+@query("P27 P28", "SELECT id, CASE WHEN NOT is_active THEN 'archived' WHEN status = 'F' AND seniority = 5 THEN 'closed' WHEN seniority * 2 - company_id % 9 > 4 THEN 'experience' WHEN company_id % 10 = 3 THEN 'language' WHEN n IS NULL THEN 'no letter' WHEN published < DATE '1996-01-01' THEN 'stale page' ELSE 'ready' END AS verdict FROM posting p LEFT JOIN (SELECT posting_id, count(*) AS n FROM provenance WHERE slug = 'feed_0' GROUP BY posting_id) s ON s.posting_id = p.id")
 def triage_ladder(t):
     letters = t("provenance").filter("slug = 'feed_0'").groupBy(F.col("posting_id").alias("id")).agg(F.count("*").alias("n"))
     rungs = [
@@ -177,7 +178,7 @@ def readiness_all_blockers(t):
     return t("posting").select("id", F.concat_ws("; ", flag(~F.col("is_active"), "closed"), flag(F.col("score").isNull(), "unscored"), flag(F.col("salary").isNull(), "no pay"), flag(F.col("published").isNull(), "undated")).alias("blockers"))
 
 
-@query("A25 O12 W11 A19", "SELECT p_brand, CAST(sum(p_size) FILTER (WHERE rn <= 3) AS BIGINT) AS strength, max(p_size) AS top, count(*) AS n, bool_or(p_type = 'SMALL') AS small FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS rn FROM part) GROUP BY p_brand")
+@query("A25 O12 W11", "SELECT p_brand, CAST(sum(p_size) FILTER (WHERE rn <= 3) AS BIGINT) AS strength, max(p_size) AS top, count(*) AS n, bool_or(p_type = 'SMALL') AS small FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS rn FROM part) GROUP BY p_brand")
 def group_strength_top3(t):
     from pyspark.sql import window as W
 
@@ -185,7 +186,7 @@ def group_strength_top3(t):
     return ranked.groupBy("p_brand").agg(F.sum(F.when(F.col("rn") <= 3, F.col("p_size"))).cast("long").alias("strength"), F.max("p_size").alias("top"), F.count("*").alias("n"), F.bool_or(F.col("p_type") == "SMALL").alias("small"))
 
 
-@query("F47 F48", "SELECT id, round(CAST(salary AS DOUBLE) * CASE seniority WHEN 1 THEN 1.0 WHEN 2 THEN 1.09 WHEN 3 THEN 0.0021 WHEN 4 THEN 0.25 END * CASE id % 4 WHEN 0 THEN 160 WHEN 1 THEN 21 WHEN 2 THEN 1 ELSE 1 / CAST(12 AS DOUBLE) END, 9) AS monthly FROM posting WHERE salary IS NOT NULL")
+@query("F47", "SELECT id, round(CAST(salary AS DOUBLE) * CASE seniority WHEN 1 THEN 1.0 WHEN 2 THEN 1.09 WHEN 3 THEN 0.0021 WHEN 4 THEN 0.25 END * CASE id % 4 WHEN 0 THEN 160 WHEN 1 THEN 21 WHEN 2 THEN 1 ELSE 1 / CAST(12 AS DOUBLE) END, 9) AS monthly FROM posting WHERE salary IS NOT NULL")
 def salary_monthly(t):
     rate = F.when(F.col("seniority") == 1, 1.0).when(F.col("seniority") == 2, 1.09).when(F.col("seniority") == 3, 0.0021).when(F.col("seniority") == 4, 0.25)
     period = F.when(F.col("id") % 4 == 0, 160.0).when(F.col("id") % 4 == 1, 21.0).when(F.col("id") % 4 == 2, 1.0).otherwise(1 / 12.0)

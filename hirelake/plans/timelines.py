@@ -35,7 +35,7 @@ def last_used(t):
     return periods(t).groupBy("company_id").agg(F.floor(F.max("last") / 12).cast("long").alias("last_year"), (F.max("last") < 2000 * 12).alias("stale"))
 
 
-@query("R14 F37", "SELECT event_id, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) // 12 AS BIGINT) AS slot, CASE WHEN CAST(ts AS TIME) < TIME '09:00:00' THEN CAST(day AS VARCHAR) ELSE CAST(CAST(day + INTERVAL 1 DAY AS DATE) AS VARCHAR) END AS next_run FROM event")
+@query("F37", "SELECT event_id, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) // 12 AS BIGINT) AS slot, CASE WHEN CAST(ts AS TIME) < TIME '09:00:00' THEN CAST(day AS VARCHAR) ELSE CAST(CAST(day + INTERVAL 1 DAY AS DATE) AS VARCHAR) END AS next_run FROM event")
 def next_run_slots(t):
     early = F.hour("ts") < 9
     slot = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', date_trunc('HOUR', ts))")

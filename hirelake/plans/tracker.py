@@ -124,7 +124,7 @@ def profile_deleted(t):
 @query("A02", """SELECT count(*) FILTER (WHERE status = 'saved') AS saved, count(*) FILTER (WHERE status = 'applied') AS applied, count(*) FILTER (WHERE status IN ('interview', 'offer')) AS alive,
     count(*) FILTER (WHERE status = 'rejected') AS rejected, count(*) FILTER (WHERE sent_at IS NOT NULL) AS sent,
     count(*) FILTER (WHERE status = 'saved' AND sent_at IS NULL AND trim(coalesce(cover_letter, '')) <> '') AS ready FROM application""")
-def tracker_counts(t):
+def tracker_six_counts(t):
     ready = (F.col("status") == "saved") & F.col("sent_at").isNull() & (F.trim(F.coalesce("cover_letter", F.lit(""))) != "")
     n = lambda s: F.count_if(F.col("status").isin(*s.split()))
     return t("application").agg(

@@ -1,139 +1,9 @@
-"""Paged feeds as a Python data source, and the registry of sources."""
+"""What pages and files hold: the JSON state of a page, wrapped collections, the text of documents."""
 
 from __future__ import annotations
 
-import json
-
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
-
-SCHEMA = "source_slug string, external_id string, title string, page int"
-
-
-def invented_page(slug: str, page: int, size: int) -> list[tuple]:
-    """A page of a made-up feed: neighbouring pages share their last and first posting, as live feeds do."""
-    first = page * (size - 1)
-    return [(slug, f"{slug}-{first + i}", f"posting {first + i}", page) for i in range(size)]
-
-
-class PagePartition(InputPartition):
-    def __init__(self, page: int):
-        self.page = page
-
-
-class FeedReader(DataSourceReader):
-    """One partition per page, so pages are fetched by the executors side by side."""
-
-    def __init__(self, options: dict):
-        self.slug, self.pages, self.size = options.get("slug", "feed"), int(options.get("pages", 4)), int(options.get("size", 10))
-
-    def partitions(self):
-        return [PagePartition(p) for p in range(self.pages)]
-
-    def read(self, partition):
-        yield from invented_page(self.slug, partition.page, self.size)
-
-
-class FeedStream(SimpleDataSourceStreamReader):
-    """A cursor-paged feed: the offset holds the next page, starting over behind the last one; progress is Spark's checkpoint."""
-
-    def __init__(self, options: dict):
-        self.reader = FeedReader(options)
-        self.per_turn = int(options.get("per_turn", 1))
-
-    def initialOffset(self):
-        return {"page": 0, "round": 0}
-
-    def read(self, start):
-        page, rounds, rows = start["page"], start["round"], []
-        for _ in range(self.per_turn):
-            if rounds > 0:
-                break
-            rows += invented_page(self.reader.slug, page, self.reader.size)
-            page += 1
-            if page == self.reader.pages:
-                page, rounds = 0, rounds + 1
-        return iter(rows), {"page": page, "round": rounds}
-
-    def readBetweenOffsets(self, start, end):
-        page, rows = start["page"], []
-        last = self.reader.pages if end["round"] > start["round"] else end["page"]
-        while page < last:
-            rows += invented_page(self.reader.slug, page, self.reader.size)
-            page += 1
-        return iter(rows)
-
-    def commit(self, end):
-        pass
-
-
-class PagedFeed(DataSource):
-    """spark.read.format("paged_feed").option("slug", ...).option("pages", ...).load()"""
-
-    @classmethod
-    def name(cls):
-        return "paged_feed"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return FeedReader(self.options)
-
-    def simpleStreamReader(self, schema):
-        return FeedStream(self.options)
-
-
-@dataclass(frozen=True)
-class Source:
-    slug: str
-    data_source: type[DataSource]
-    needs_key: bool = False
-
-
-class Registry:
-    """Sources by slug, which of them may run, and why another is idle."""
-
-    def __init__(self, enabled: set[str] | None = None, denied: set[str] = frozenset(), keys: dict[str, str] | None = None):
-        self.sources: dict[str, Source] = {}
-        self.enabled, self.denied, self.keys = enabled, denied, keys or {}
-
-    def add(self, source: Source) -> None:
-        if source.slug in self.sources:
-            raise ValueError(f"source {source.slug} is registered twice")
-        self.sources[source.slug] = source
-
-    def idle_reason(self, slug: str) -> str | None:
-        if slug in self.denied:
-            return "denied"
-        if self.enabled is not None and slug not in self.enabled:
-            return "not enabled"
-        if self.sources[slug].needs_key and slug not in self.keys:
-            return "no key"
-        return None
-
-    def running(self) -> list[Source]:
-        return [s for k, s in sorted(self.sources.items()) if self.idle_reason(k) is None]
-
-
-def scan_feeds(spark: SparkSession, slugs: list[str], pages: int = 4, size: int = 10) -> DataFrame:
-    """All pages of all feeds, each (source_slug, external_id) once."""
-    spark.dataSource.register(PagedFeed)
-    out = None
-    for slug in slugs:
-        df = spark.read.format("paged_feed").option("slug", slug).option("pages", str(pages)).option("size", str(size)).load()
-        out = df if out is None else out.unionByName(df)
-    return out.groupBy("source_slug", "external_id").agg(F.min("page").alias("page"))
-
-
-def in_turn(items: list, offset: int) -> list:
-    """The list rotated so that a run starts where the last one stopped."""
-    k = offset % len(items) if items else 0
-    return items[k:] + items[:k]
-
 
 # --- payloads ------------------------------------------------------------------------------
 
@@ -195,7 +65,3 @@ def scan_documents(spark: SparkSession, folder: str, most_bytes: int = 10_000_00
             yield pa.RecordBatch.from_arrays([rb.column("path"), pa.array([decode_bytes(x) for x in rb.column("content").to_pylist()], pa.string())], names=["path", "text"])
 
     return files.select("path", "content").mapInArrow(run, "path string, text string")
-
-
-def dumps(d: dict) -> str:
-    return json.dumps(d, sort_keys=True, separators=(",", ":"), ensure_ascii=False)

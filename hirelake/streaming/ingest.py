@@ -12,36 +12,77 @@ from ..operators.merging import last_in_batch
 
 
 class SnapshotSink:
-    """foreachBatch target: writes each micro-batch's state under its number, from the state before it.
+    """foreachBatch target: the latest row of each key, in hash parts of which a micro-batch rewrites those that it touches.
 
-    A replayed batch overwrites its own folder, so the result holds every row once whatever is retried. The offsets
-    are committed by the checkpoint only after the write.
+    Batch n writes its parts under `batch=n`, then a list of where each part now stands under `parts=n`, both from the
+    list of batch n - 1; a replayed batch overwrites its own folders, so the result holds every row once whatever is
+    retried. The offsets are committed by the checkpoint only after the write. Folders that no list of the last two
+    batches names are deleted.
     """
 
-    def __init__(self, folder: str, keys: list[str], order: str):
-        self.folder, self.keys, self.order = folder, keys, order
+    def __init__(self, folder: str, keys: list[str], order: str, parts: int = 16):
+        self.folder, self.keys, self.order, self.parts = folder, keys, order, parts
+        self.last = None
+
+    def _stands(self, spark: SparkSession, number: int) -> dict[int, int]:
+        """Part number -> the batch that wrote it last; as many rows as there are parts."""
+        if number < 0:
+            return {}
+        return {r["part"]: r["batch"] for r in spark.read.schema("part int, batch long").parquet(f"{self.folder}/parts={number}").collect()}
+
+    def _read(self, spark: SparkSession, schema, stands: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.folder}/batch={b}/part={p}" for p, b in sorted(stands.items())]
+        return spark.read.schema(schema).parquet(*paths) if paths else None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number > 0:
-            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{self.folder}/state={number - 1}"))
-        last_in_batch(rows, self.keys, self.order).write.mode("overwrite").parquet(f"{self.folder}/state={number}")
+        stands = self._stands(spark, number - 1)
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+        touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]
+        held = self._read(spark, batch.schema, {p: stands[p] for p in touched if p in stands})
+        rows = batch if held is None else batch.unionByName(held)
+        latest = last_in_batch(rows, self.keys, self.order).withColumn("part", part)
+        latest.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/batch={number}")
+        now = stands | {p: number for p in touched}
+        listed = spark.createDataFrame(sorted(now.items()), "part int, batch long")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/parts={number}")
+        self._sweep(spark, number, set(now.values()) | set(stands.values()))
         self.last = number
 
+    def _sweep(self, spark: SparkSession, number: int, named: set[int]) -> None:
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        for entry in fs.listStatus(root):
+            kind, _, n = entry.getPath().getName().partition("=")
+            if (kind == "batch" and int(n) not in named) or (kind == "parts" and int(n) < number - 1):
+                fs.delete(entry.getPath(), True)
+
+    def state(self, spark: SparkSession, schema) -> DataFrame:
+        """The state after the last batch."""
+        found = self._read(spark, schema, self._stands(spark, self.last)) if self.last is not None else None
+        return spark.createDataFrame([], schema) if found is None else found
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a temporary one where that is unset and one machine does all the work."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="hirelake-")
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
 
 def latest_by_stream(spark: SparkSession, events: DataFrame, files: int = 4) -> DataFrame:
     """The last event of each user, by way of a file stream read two files at a time until it is drained."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hirelake-")).rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    root = shared_folder(spark)
     events.withColumn("at", F.struct("ts", "event_id")).repartition(files).write.parquet(f"{root}/in")
-    sink = SnapshotSink(f"{root}/out", ["user_id"], "at")
+    sink = SnapshotSink(f"{root}/out", ["user_id"], "at", parts=4)
     schema = spark.read.parquet(f"{root}/in").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     run = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{root}/out/state={sink.last}")
-
-
-def daily_quota(events: DataFrame, key: str = "kind", at: str = "ts", late: str = "2 days") -> DataFrame:
-    """Counts per key and UTC day over a stream; days close once the watermark passes them."""
-    return events.withWatermark(at, late).groupBy(key, F.window(at, "1 day")).agg(F.count("*").alias("used"))
+    return sink.state(spark, schema)

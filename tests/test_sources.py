@@ -1,4 +1,4 @@
-"""Feeds, page states and document scans."""
+"""Page states, document scans and what sources hand over."""
 
 import io
 import zipfile
@@ -8,25 +8,6 @@ from pyspark.sql import functions as F
 from hirelake.sources import feeds as S
 
 
-def test_paged_feed_as_batch_and_stream(spark, tmp_path):
-    once = S.scan_feeds(spark, ["a", "b"], pages=3, size=5)
-    assert once.count() == 2 * (3 * 4 + 1)
-    stream = spark.readStream.format("paged_feed").option("slug", "a").option("pages", "3").option("size", "5").load()
-    run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).start(str(tmp_path / "out"))
-    run.processAllAvailable()
-    run.stop()
-    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
-    assert got.count() == 15 and got.select("external_id").distinct().count() == 13
-
-
-def test_registry_says_why():
-    r = S.Registry(enabled={"a", "b", "c"}, denied={"b"})
-    for s in (S.Source("a", S.PagedFeed), S.Source("b", S.PagedFeed), S.Source("c", S.PagedFeed, needs_key=True), S.Source("d", S.PagedFeed)):
-        r.add(s)
-    assert [s.slug for s in r.running()] == ["a"]
-    assert [r.idle_reason(x) for x in "abcd"] == [None, "denied", "no key", "not enabled"]
-
-
 def test_unwrap_shapes(spark):
     df = spark.createDataFrame([(None,), ('["a","b"]',), ('{"k":["c"]}',), ("d",)], "v string")
     assert [r.u for r in df.select(S.unwrap(F.col("v")).alias("u")).collect()] == [[], ["a", "b"], ["c"], ["d"]]
@@ -42,11 +23,28 @@ def test_document_encodings(spark, tmp_path):
     assert got == {"a.txt": "Привет", "b.md": "hé", "c.docx": "one\ntwo", "d.pdf": None}
 
 
-def test_rotation():
-    assert S.in_turn([1, 2, 3], 4) == [2, 3, 1] and S.in_turn([], 3) == []
-
-
 def test_requirement_vs_document_claims_only_what_it_holds():
     from hirelake import catalog
 
     assert catalog.covers()["requirement_vs_document"].split() == ["T03", "T10"]
+
+
+def test_keys_are_found_at_most_so_deep(spark):
+    from hirelake.operators import payloads as L
+
+    rows = [('{"a": {"k": 5, "b": [{"k": "x"}]}}',), ('{"k": {"k": 1}}',), ("not json",), (None,), ("[" * 3000 + "]" * 3000,)]
+    df = spark.createDataFrame(rows, "j string")
+    got = [r.f for r in df.select(L.find_keys(("k",), 4)(F.col("j")).alias("f")).collect()]
+    assert got == [["5", '"x"'], ['{"k": 1}'], None, None, []]
+    shallow = [r.f for r in df.select(L.find_keys(("k",), 2)(F.col("j")).alias("f")).limit(2).collect()]
+    assert shallow == [["5"], ['{"k": 1}']]
+
+
+def test_cursor_walk_starts_over(spark):
+    from hirelake.operators import payloads as L
+
+    pages = spark.createDataFrame([(s, p, f"{s}{p}") for s in "ab" for p in (1, 2, 3)], "search string, page long, row string")
+    searches = spark.createDataFrame([(0, "a", 3), (1, "b", 1)], "n int, search string, page int")
+    rows, state = L.cursor_walk(searches, pages, offset=1, turns=5, most_pages=3)
+    assert sorted(r.row for r in rows.collect()) == ["a1", "a3", "b1", "b2", "b3"]
+    assert {r.search: r.page for r in state.collect()} == {"a": 2, "b": 1}
