@@ -42,5 +42,6 @@ def first_reason(rungs: list[tuple[Column, str]], otherwise: str | None = None)
 
 
 def final_score(x: Column) -> Column:
-    """Kept in 0..100 and rounded half up to cents."""
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), x)).cast("decimal(20,10)"), 2).cast("double")
+    """Kept in 0..100, DECIMAL(5,2), rounded half up; null stays null."""
+    kept = F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), x)))
+    return F.round(kept.cast("decimal(20,10)"), 2).cast("decimal(5,2)")

@@ -57,7 +57,7 @@ def title_score_bucketed(t):
 @query("F44 F45", "SELECT id, round(greatest(0, least(100, CAST(score AS DOUBLE) - 8 * (seniority % 3) - CASE WHEN salary < 70000 THEN 15 ELSE 0 END)), 2) AS score FROM posting WHERE score IS NOT NULL")
 def penalised_score(t):
     gap, low = 8 * (F.col("seniority") % 3), F.when(F.col("salary") < 70000, 15).otherwise(0)
-    return t("posting").filter("score is not null").select("id", S.final_score(F.col("score").cast("double") - gap - low).alias("score"))
+    return t("posting").filter("score is not null").select("id", S.final_score(F.col("score").cast("double") - gap - low).cast("double").alias("score"))
 
 
 @query("F41", "SELECT id, CAST(CASE WHEN g <= -2 THEN 0.9 WHEN g <= 0 THEN 1.0 WHEN g <= 1 THEN 0.8 WHEN g <= 2 THEN 0.55 WHEN g <= 4 THEN 0.25 WHEN g IS NOT NULL THEN 0.0 END AS DOUBLE) AS fit FROM (SELECT id, seniority * 2 - company_id % 9 AS g FROM posting)")
