@@ -20,7 +20,9 @@ IDENTITY = [
 ]
 _SWAP = {t: group[(i + 1) % len(group)] for group in IDENTITY for i, t in enumerate(group)}
 _TERM = re.compile(r"\b(" + "|".join(sorted(_SWAP, key=len, reverse=True)) + r")\b", re.I)
-VOCABULARY, SAMPLE = 4096, 40_000
+SAMPLE = 40_000
+#: A feature is held by three rows and this share of them at least, stands this many deviations from chance, and changes the log odds by this.
+LEAST_SHARE, LEAST_Z, LEAST_EFFECT = 5e-5, 3.0, 1.0
 #: Lengths in bytes of the word beginnings that are features beside whole words, so that inflected words share one.
 PREFIXES = (3, 4, 5)
 
@@ -99,12 +101,12 @@ def learn(own: list[list[int]], other: list[list[int] | None], y: np.ndarray, vo
     return Model(vocabulary, w, float(bias))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY, most_labels: int = 200_000, fairness: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_labels: int = 200_000, fairness: float = 1.0) -> Model:
     """Learn from labelled rows whose fold is not 1.
 
     The labels are broadcast when they are at most `most_labels` rows, else joined by a shuffle. How many documents of
-    either label hold each word is counted over all labelled rows, in Spark; the `vocabulary` words that set the labels
-    apart most are kept; the weights are fitted on at most `sample` rows, one for each cell of the rows' hash.
+    either label hold each word is counted over all labelled rows, in Spark; every word that sets the labels apart by
+    both a test and an effect, neither of which grows with the table, is a feature; the weights are fitted on at most `sample` rows, one for each cell of the rows' hash.
     """
     marks = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.filter((fold3() != 1) & F.col("doc_id").isNotNull())
@@ -118,9 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     seen = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("a"), F.sum("toxic").alias("t"))
     share = bad / n
     z = F.abs(F.col("t") - F.col("a") * share) / F.sqrt(F.col("a") * (share * (1 - share)) + 1.0)
-    chosen = seen.filter("a >= 3").withColumn("z", z).filter("z >= 3").orderBy(F.desc("z"), "word").limit(vocabulary).collect()
+    odds = lambda held, of: (held + 0.5) / (of + 1.0)
+    effect = F.abs(F.log(odds(F.col("t"), bad) / odds(F.col("a") - F.col("t"), n - bad)))
+    chosen = seen.filter((F.col("a") >= max(3, n * LEAST_SHARE)) & (z >= LEAST_Z) & (effect >= LEAST_EFFECT)).select("word").collect()
     words_ = np.sort(np.array([r["word"] for r in chosen], np.int32))
-    lit = F.array(*[F.lit(int(x)) for x in words_]) if len(words_) else F.array().cast("array<int>")
+    lit = F.from_json(F.lit(str(words_.tolist())), "array<int>")  # one literal, however many words
     own = F.struct("toxic", F.array_intersect("words", lit).alias("w"), F.array_intersect("swapped", lit).alias("s"))
     slim = rows.groupBy(F.pmod("mark", F.lit(sample)).alias("cell")).agg(F.min_by(own, "mark").alias("x")).select("x.*").collect()
     return learn([r["w"] for r in slim], [r["s"] for r in slim], np.array([r["toxic"] for r in slim], np.float64), words_, fairness)
