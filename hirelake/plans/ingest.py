@@ -20,27 +20,50 @@ def sides(t):
     return one(p.filter("line <= 4")), one(p.filter("line > 3"))
 
 
-@query("K01 W12", f"SELECT coalesce(b.posting_id, a.posting_id) AS posting_id, coalesce(b.slug, a.slug) AS slug, coalesce(b.ext_id, a.ext_id) AS ext_id, coalesce(b.size, a.size) AS size FROM {TARGET} a FULL JOIN {BATCH} b ON a.posting_id = b.posting_id AND a.slug = b.slug")
+@query(
+    "K01 W12",
+    f"""SELECT coalesce(b.posting_id, a.posting_id) AS posting_id, coalesce(b.slug, a.slug) AS slug, coalesce(b.ext_id,
+    a.ext_id) AS ext_id, coalesce(b.size, a.size) AS size FROM {TARGET} a FULL JOIN {BATCH} b ON a.posting_id =
+    b.posting_id AND a.slug = b.slug""",
+)
 def merge_last_wins(t):
     return M.merge(*sides(t), ["posting_id", "slug"]).drop("state")
 
 
-@query("K01 F51", f"SELECT coalesce(b.posting_id, a.posting_id) AS posting_id, coalesce(b.slug, a.slug) AS slug, least(a.size, b.size) AS size FROM {TARGET} a FULL JOIN {BATCH} b ON a.posting_id = b.posting_id AND a.slug = b.slug")
+@query(
+    "K01 F51",
+    f"""SELECT coalesce(b.posting_id, a.posting_id) AS posting_id, coalesce(b.slug, a.slug) AS slug, least(a.size, b.size) AS
+    size FROM {TARGET} a FULL JOIN {BATCH} b ON a.posting_id = b.posting_id AND a.slug = b.slug""",
+)
 def merge_least_completeness(t):
     return M.merge(*sides(t), ["posting_id", "slug"], {"size": F.least("t_size", "b_size")}).select("posting_id", "slug", "size")
 
 
-@query("K01 K03", f"SELECT CASE WHEN a.posting_id IS NULL THEN 'created' WHEN b.posting_id IS NULL THEN 'kept' ELSE 'updated' END AS state, count(*) AS n FROM {TARGET} a FULL JOIN {BATCH} b ON a.posting_id = b.posting_id AND a.slug = b.slug GROUP BY 1")
+@query(
+    "K01 K03",
+    f"""SELECT CASE WHEN a.posting_id IS NULL THEN 'created' WHEN b.posting_id IS NULL THEN 'kept' ELSE 'updated' END AS state,
+    count(*) AS n FROM {TARGET} a FULL JOIN {BATCH} b ON a.posting_id = b.posting_id AND a.slug = b.slug
+    GROUP BY 1""",
+)
 def merge_created_updated_counts(t):
     return M.merge(*sides(t), ["posting_id", "slug"]).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("K02", "SELECT slug, ext_id, posting_id FROM (SELECT *, row_number() OVER (PARTITION BY slug, ext_id ORDER BY seen DESC, posting_id DESC, line DESC) AS rn FROM provenance) WHERE rn = 1")
+@query(
+    "K02",
+    """SELECT slug, ext_id, posting_id FROM (SELECT *, row_number() OVER (PARTITION BY slug, ext_id
+    ORDER BY seen DESC, posting_id DESC, line DESC) AS rn FROM provenance)
+    WHERE rn = 1""",
+)
 def merge_two_keys(t):
     return P.first_by(t("provenance"), ["slug", "ext_id"], [F.desc("seen"), F.desc("posting_id"), F.desc("line")]).select("slug", "ext_id", "posting_id")
 
 
-@query("K08 K10", "SELECT posting_id, skill, line FROM requirement WHERE posting_id % 4 <> 1 UNION ALL SELECT posting_id, upper(skill), line FROM requirement WHERE posting_id % 4 = 1 AND held")
+@query(
+    "K08 K10",
+    """SELECT posting_id, skill, line FROM requirement WHERE posting_id % 4 <> 1
+    UNION ALL SELECT posting_id, upper(skill), line FROM requirement WHERE posting_id % 4 = 1 AND held""",
+)
 def replace_group_snapshot(t):
     r = t("requirement").select("posting_id", "skill", "line", "held")
     group = r.filter("posting_id % 4 = 1")
@@ -59,21 +82,38 @@ def one_active_switch(t):
     return t("customer").select("c_custkey", (F.col("c_custkey") == 42).alias("is_active"))
 
 
-@query("K12 K07", "SELECT id, CASE WHEN status = 'P' AND published < DATE '1999-01-01' THEN 'failed' ELSE status END AS status, is_active AND NOT coalesce(published < DATE '1996-01-01', FALSE) AS is_active FROM posting")
+@query(
+    "K12 K07",
+    """SELECT id, CASE WHEN status = 'P' AND published < DATE '1999-01-01' THEN 'failed' ELSE status END AS status, is_active
+    AND NOT coalesce(published < DATE '1996-01-01', FALSE) AS is_active
+    FROM posting""",
+)
 def stale_sweep(t):
     stale = (F.col("status") == "P") & (F.col("published") < F.lit("1999-01-01").cast("date"))
     old = F.coalesce(F.col("published") < F.lit("1996-01-01").cast("date"), F.lit(False))
     return t("posting").select("id", F.when(stale, "failed").otherwise(F.col("status")).alias("status"), (F.col("is_active") & ~old).alias("is_active"))
 
 
-@query("K13 W07 A06", "SELECT c.conv_id, c.turn, CAST(row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn, c.role) + coalesce(m.v, 0) AS BIGINT) AS version FROM conversations c LEFT JOIN (SELECT conv_id, max(turn) AS v FROM conversations WHERE role = 'user' GROUP BY conv_id) m ON c.conv_id = m.conv_id WHERE c.role = 'assistant'")
+@query(
+    "K13 W07 A06",
+    """SELECT c.conv_id, c.turn, CAST(row_number() OVER (PARTITION BY c.conv_id
+    ORDER BY c.turn, c.role) + coalesce(m.v, 0) AS BIGINT) AS version FROM conversations c
+    LEFT JOIN (SELECT conv_id, max(turn) AS v FROM conversations WHERE role = 'user'
+    GROUP BY conv_id) m ON c.conv_id = m.conv_id WHERE c.role = 'assistant'""",
+)
 def version_append(t):
     c = t("conversations").select("conv_id", "turn", "role")
     base = c.filter("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("base"))
     return P.numbered(c.filter("role = 'assistant'").join(base, "conv_id", "left"), ["conv_id"], [F.col("turn"), F.col("role")], "version", "base").select("conv_id", "turn", "version")
 
 
-@query("K18 K06", "SELECT a.c_custkey, CASE WHEN a.c_custkey % 4 = 0 THEN a.c_name ELSE coalesce(b.c_name, a.c_name) END AS c_name, CASE WHEN a.c_custkey % 6 = 0 THEN a.c_mktsegment ELSE coalesce(b.c_mktsegment, a.c_mktsegment) END AS c_mktsegment FROM customer a LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE upper(c_name) END AS c_name, lower(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey")
+@query(
+    "K18 K06",
+    """SELECT a.c_custkey, CASE WHEN a.c_custkey % 4 = 0 THEN a.c_name ELSE coalesce(b.c_name, a.c_name) END AS c_name, CASE
+    WHEN a.c_custkey % 6 = 0 THEN a.c_mktsegment ELSE coalesce(b.c_mktsegment, a.c_mktsegment) END AS c_mktsegment
+    FROM customer a LEFT JOIN (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE upper(c_name) END AS c_name,
+    lower(c_mktsegment) AS c_mktsegment FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey""",
+)
 def fill_gap_merge(t):
     c = t("customer").select("c_custkey", "c_name", "c_mktsegment")
     old = c.withColumn("c_name_edited", F.col("c_custkey") % 4 == 0).withColumn("c_mktsegment_edited", F.col("c_custkey") % 6 == 0)
@@ -81,12 +121,22 @@ def fill_gap_merge(t):
     return M.fill_gaps(old, new, "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@query("R06", "SELECT user_id, CAST(max(turn) AS BIGINT) AS rank, min(event_id) FILTER (WHERE turn = top) AS reached_at, count(*) FILTER (WHERE turn < prev) AS went_back FROM (SELECT *, max(turn) OVER (PARTITION BY user_id) AS top, max(turn) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM event) GROUP BY user_id")
+@query(
+    "R06",
+    """SELECT user_id, CAST(max(turn) AS BIGINT) AS rank, min(event_id) FILTER (WHERE turn = top) AS reached_at, count(*)
+    FILTER (WHERE turn < prev) AS went_back FROM (SELECT *, max(turn) OVER (PARTITION BY user_id) AS top, max(turn) OVER
+    (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+    FROM event) GROUP BY user_id""",
+)
 def fold_results_forward_only(t):
     return M.forward_only(t("event").select("user_id", "event_id", F.col("turn").cast("long").alias("turn")), "user_id", "turn", "event_id")
 
 
-@query("R15", "SELECT user_id, event_id, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM event) WHERE was IS NULL OR was <> kind")
+@query(
+    "R15",
+    """SELECT user_id, event_id, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY user_id
+    ORDER BY ts, event_id) AS was FROM event) WHERE was IS NULL OR was <> kind""",
+)
 def change_stamp(t):
     w = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
     return t("event").withColumn("was", F.lag("kind").over(w)).filter("was is null or was <> kind").select("user_id", "event_id", "kind")
@@ -105,8 +155,11 @@ def state_transitions_illegal(t):
 
 @query("R07 K04 F35", "SELECT kind, CAST(day AS VARCHAR) AS day, count(*) AS used, count(*) >= 60 AS exhausted FROM event GROUP BY kind, day")
 def quota_daily(t):
-    used = t("event").groupBy("kind", F.window(F.col("ts").cast("timestamp"), "1 day").alias("w")).agg(F.count("*").alias("used"))
-    return used.select("kind", F.to_date("w.start").cast("string").alias("day"), "used", (F.col("used") >= 60).alias("exhausted"))
+    """The same windowed count that the stream keeps; on a table the watermark plays no part."""
+    from ..streaming.ingest import daily_quota
+
+    used = daily_quota(t("event").withColumn("ts", F.col("ts").cast("timestamp")))
+    return used.select("kind", F.to_date("window.start").cast("string").alias("day"), "used", (F.col("used") >= 60).alias("exhausted"))
 
 
 @query("R08 P33", "SELECT user_id, max(ts) + INTERVAL 6 HOUR <= TIMESTAMP '2024-01-28 00:00:00' AS due FROM event GROUP BY user_id")
@@ -115,34 +168,61 @@ def cooldown_due(t):
     return t("event").groupBy("user_id").agg((last + F.expr("INTERVAL 6 HOURS") <= F.expr("TIMESTAMP_NTZ '2024-01-28 00:00:00'")).alias("due"))
 
 
-@query("A28", "SELECT user_id, CASE WHEN max(day) FILTER (WHERE kind = 'click') IS NULL OR date_diff('day', max(day) FILTER (WHERE kind = 'click'), DATE '2024-01-31') > 7 THEN 5 ELSE 15 END AS ceiling FROM event GROUP BY user_id")
+@query(
+    "A28",
+    """SELECT user_id, CASE WHEN max(day) FILTER (WHERE kind = 'click') IS NULL OR date_diff('day', max(day) FILTER (WHERE kind
+    = 'click'), DATE '2024-01-31') > 7 THEN 5 ELSE 15 END AS ceiling FROM event
+    GROUP BY user_id""",
+)
 def batch_ceiling(t):
     last = F.max(F.when(F.col("kind") == "click", F.col("day")))
     quiet = last.isNull() | (F.date_diff(F.lit("2024-01-31").cast("date"), last) > 7)
     return t("event").groupBy("user_id").agg(F.when(quiet, 5).otherwise(15).alias("ceiling"))
 
 
-@query("P34 R05", "SELECT page, avg(known) >= 0.7 AS stop FROM (SELECT CAST(floor(event_id / 50) AS BIGINT) AS page, CASE WHEN event_id % 9 < 6 OR turn = 3 THEN 1.0 ELSE 0.0 END AS known FROM event) GROUP BY page")
+@query(
+    "P34 R05",
+    """SELECT page, avg(known) >= 0.7 AS stop FROM (SELECT CAST(floor(event_id / 50) AS BIGINT) AS page, CASE WHEN event_id % 9
+    < 6 OR turn = 3 THEN 1.0 ELSE 0.0 END AS known FROM event) GROUP BY page""",
+)
 def known_share_stop(t):
     known = ((F.col("event_id") % 9 < 6) | (F.col("turn") == 3)).cast("double")
     return t("event").groupBy(F.floor(F.col("event_id") / 50).cast("long").alias("page")).agg((F.avg(known) >= 0.7).alias("stop"))
 
 
-@query("J18 J19", "SELECT event_id FROM event e WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, turn * 1000 AS low, turn * 1000 + 350 AS high FROM event WHERE event_id % 10 = 0) s WHERE s.user_id = e.user_id AND e.event_id BETWEEN s.low AND s.high)")
+@query(
+    "J18 J19",
+    """SELECT event_id FROM event e WHERE NOT EXISTS (SELECT 1 FROM (SELECT user_id, turn * 1000 AS low, turn * 1000 + 350 AS
+    high FROM event WHERE event_id % 10 = 0) s WHERE s.user_id = e.user_id AND e.event_id BETWEEN s.low AND s.high)""",
+)
 def interval_watermark_due(t):
     e = t("event").select("user_id", "event_id", "turn")
     spans = e.filter("event_id % 10 = 0").select("user_id", (F.col("turn") * 1000).cast("long").alias("low"), (F.col("turn") * 1000 + 350).cast("long").alias("high")).distinct()
     return I.outside(e, spans, "user_id", "event_id").select("event_id")
 
 
-@query("W10 W05", "SELECT user_id, count(*) AS spans, CAST(sum(hi - lo + 1) AS BIGINT) AS covered FROM (SELECT user_id, isl, min(low) AS lo, max(high) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN low > max(high) OVER (PARTITION BY user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 WHEN max(high) OVER (PARTITION BY user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT user_id, event_id - turn * 9 AS low, event_id + turn * 11 AS high FROM event))) GROUP BY user_id, isl) GROUP BY user_id")
+@query(
+    "W10 W05",
+    """SELECT user_id, count(*) AS spans, CAST(sum(hi - lo + 1) AS BIGINT) AS covered
+    FROM (SELECT user_id, isl, min(low) AS lo, max(high) AS hi FROM (SELECT *, sum(new) OVER (PARTITION BY user_id
+    ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS isl FROM (SELECT *, CASE WHEN low > max(high) OVER (PARTITION BY
+    user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 WHEN max(high) OVER
+    (PARTITION BY user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL THEN 1 ELSE 0 END
+    AS new FROM (SELECT DISTINCT user_id, event_id - turn * 9 AS low, event_id + turn * 11 AS high
+    FROM event))) GROUP BY user_id, isl) GROUP BY user_id""",
+)
 def span_collapse(t):
     spans = t("event").select("user_id", (F.col("event_id") - F.col("turn") * 9).alias("low"), (F.col("event_id") + F.col("turn") * 11).alias("high")).distinct()
     merged = I.islands(spans, ["user_id"], "low", "high")
     return merged.groupBy("user_id").agg(F.count("*").alias("spans"), F.sum(F.col("high") - F.col("low") + 1).cast("long").alias("covered"))
 
 
-@query("A12 A13", "SELECT coalesce(kind, '*') AS kind, coalesce(CAST(turn AS VARCHAR), '*') AS turn, CAST(grouping_id(kind, turn) AS BIGINT) AS slice, count(*) AS calls, CAST(sum(value) AS DOUBLE) AS cost, round(CAST(sum(value) AS DOUBLE) / count(*) * 100, 4) AS per_hundred FROM event GROUP BY GROUPING SETS ((kind), (turn), (kind, turn), ())")
+@query(
+    "A12 A13",
+    """SELECT coalesce(kind, '*') AS kind, coalesce(CAST(turn AS VARCHAR), '*') AS turn, CAST(grouping_id(kind, turn) AS
+    BIGINT) AS slice, count(*) AS calls, CAST(sum(value) AS DOUBLE) AS cost, round(CAST(sum(value) AS DOUBLE) / count(*)
+    * 100, 4) AS per_hundred FROM event GROUP BY GROUPING SETS ((kind), (turn), (kind, turn), ())""",
+)
 def ledger_grouping_sets(t):
     e = t("event").select("kind", F.col("turn").cast("string").alias("turn"), "value")
     sets = e.groupingSets([[F.col("kind")], [F.col("turn")], [F.col("kind"), F.col("turn")], []], "kind", "turn").agg(F.grouping_id().cast("long").alias("slice"), F.count("*").alias("calls"), F.sum("value").cast("double").alias("cost"))
@@ -150,7 +230,13 @@ def ledger_grouping_sets(t):
     return sets.select(star("kind"), star("turn"), "slice", "calls", "cost", F.round(F.col("cost") / F.col("calls") * 100, 4).alias("per_hundred"))
 
 
-@query("A11 A35", "SELECT n_name AS city, CAST(coalesce(f.found, 0) AS BIGINT) AS found, CAST(coalesce(f.late, 0) AS BIGINT) AS late, CASE WHEN f.found IS NULL THEN 'unreached' WHEN f.late > 0 THEN 'partial' ELSE 'success' END AS status FROM nation n LEFT JOIN (SELECT user_id % 20 AS k, count(*) AS found, count(*) FILTER (WHERE kind = 'error') AS late FROM event GROUP BY 1) f ON n.n_nationkey = f.k")
+@query(
+    "A11 A35",
+    """SELECT n_name AS city, CAST(coalesce(f.found, 0) AS BIGINT) AS found, CAST(coalesce(f.late, 0) AS BIGINT) AS late, CASE
+    WHEN f.found IS NULL THEN 'unreached' WHEN f.late > 0 THEN 'partial' ELSE 'success' END AS status
+    FROM nation n LEFT JOIN (SELECT user_id % 20 AS k, count(*) AS found, count(*) FILTER (WHERE kind = 'error') AS late
+    FROM event GROUP BY 1) f ON n.n_nationkey = f.k""",
+)
 def run_report(t):
     facts = t("event").groupBy((F.col("user_id") % 20).alias("k")).agg(F.count("*").alias("found"), F.count_if(F.col("kind") == "error").alias("late"))
     n = t("nation").join(facts, F.col("n_nationkey") == F.col("k"), "left")
@@ -158,7 +244,14 @@ def run_report(t):
     return n.select(F.col("n_name").alias("city"), F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("late", F.lit(0)).alias("late"), status.alias("status"))
 
 
-@query("A29 A26", "SELECT user_id, min(event_id) AS first_seen, max(event_id) AS last_seen, max(CASE WHEN kind = 'error' THEN event_id END) AS last_error, first(CASE WHEN ev.event_id % 3 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END ORDER BY ev.event_id) FILTER (WHERE ev.event_id % 3 <> 0) AS first_k FROM event ev JOIN (SELECT event_id AS eid, props FROM events) x ON ev.event_id = x.eid GROUP BY user_id")
+@query(
+    "A29 A26",
+    """SELECT user_id, min(event_id) AS first_seen, max(event_id) AS last_seen, max(CASE WHEN kind = 'error' THEN event_id END)
+    AS last_error, first(CASE WHEN ev.event_id % 3 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END
+    ORDER BY ev.event_id) FILTER (WHERE ev.event_id % 3 <> 0) AS first_k
+    FROM event ev JOIN (SELECT event_id AS eid, props FROM events) x ON ev.event_id = x.eid
+    GROUP BY user_id""",
+)
 def pool_first_non_null(t):
     """The first payload that states a value decides; every third one is silent."""
     e = t("events")
@@ -175,7 +268,11 @@ def budget_by_weight(t):
     return n.crossJoin(n.agg(F.sum("w").alias("all"))).select("n_name", F.floor(1000 * F.col("w") / F.col("all")).cast("long").alias("budget"))
 
 
-@query("R01 R02 R03 K05", "SELECT user_id, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM event) WHERE rn = 1")
+@query(
+    "R01 R02 R03 K05",
+    """SELECT user_id, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+    ORDER BY ts DESC, event_id DESC) AS rn FROM event) WHERE rn = 1""",
+)
 def stream_ingest_merge(t):
     from ..streaming.ingest import latest_by_stream
 

@@ -73,7 +73,11 @@ def ranked_page_ascending(t):
     return ranked(t, "salary", L.Cursor(Decimal("150000.00"), 100), descending=False)
 
 
-@query("O01 O02 O03", f"WITH {LISTED} SELECT id, CAST(floor((row_number() OVER (ORDER BY score DESC NULLS LAST, id DESC) - 1) / 50) AS BIGINT) AS page FROM listed WHERE {BASE}")
+@query(
+    "O01 O02 O03",
+    f"""WITH {LISTED} SELECT id, CAST(floor((row_number() OVER (ORDER BY score DESC NULLS LAST, id DESC) - 1) / 50) AS BIGINT)
+    AS page FROM listed WHERE {BASE}""",
+)
 def page_walk_complete(t):
     return L.numbered_pages(L.ListFilter().apply(scored(t)).select("id", "score"), "score", 50).select("id", "page")
 
@@ -125,7 +129,12 @@ def filter_ilike_city_company(t):
     return out(L.ListFilter(city="nation_1%", company="0007").apply(listed(t)))
 
 
-@query("P12 F61", "SELECT p.id, CAST(coalesce(m.n, 0) AS BIGINT) AS missing FROM posting p LEFT JOIN (SELECT posting_id, count(*) AS n FROM requirement WHERE NOT held GROUP BY posting_id) m ON p.id = m.posting_id WHERE p.is_active AND coalesce(m.n, 0) <= 2")
+@query(
+    "P12 F61",
+    """SELECT p.id, CAST(coalesce(m.n, 0) AS BIGINT) AS missing FROM posting p
+    LEFT JOIN (SELECT posting_id, count(*) AS n FROM requirement WHERE NOT held
+    GROUP BY posting_id) m ON p.id = m.posting_id WHERE p.is_active AND coalesce(m.n, 0) <= 2""",
+)
 def filter_missing_count(t):
     missing = t("requirement").filter("not held").groupBy(F.col("posting_id").alias("id")).agg(F.count("*").alias("missing"))
     return t("posting").filter("is_active").join(missing, "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing")).filter("missing <= 2")
@@ -148,31 +157,56 @@ def forall_only_large(t):
     return P.for_all(t("posting"), t("provenance").withColumnRenamed("posting_id", "id"), "id", F.col("size") >= 10).select("id")
 
 
-@query("P23", "SELECT posting_id, bool_or(slug = 'feed_0') AS on_a, bool_or(slug = 'feed_1') AS on_b, NOT bool_or(slug = 'feed_0') AS skipped FROM provenance GROUP BY posting_id")
+@query(
+    "P23",
+    """SELECT posting_id, bool_or(slug = 'feed_0') AS on_a, bool_or(slug = 'feed_1') AS on_b, NOT bool_or(slug = 'feed_0') AS
+    skipped FROM provenance GROUP BY posting_id""",
+)
 def channel_flags(t):
     on = lambda s: F.bool_or(F.col("slug") == s)
     return t("provenance").groupBy("posting_id").agg(on("feed_0").alias("on_a"), on("feed_1").alias("on_b"), (~on("feed_0")).alias("skipped"))
 
 
-@query("P30 O08", "SELECT id, CAST(CASE WHEN n > 0 THEN score END AS DOUBLE) AS shown FROM (SELECT p.id, p.score, (SELECT count(*) FROM requirement r WHERE r.posting_id = p.id) AS n FROM posting p) ORDER BY CASE WHEN n > 0 THEN score END DESC NULLS LAST, id DESC LIMIT 100")
+@query(
+    "P30 O08",
+    """SELECT id, CAST(CASE WHEN n > 0 THEN score END AS DOUBLE) AS shown FROM (SELECT p.id, p.score, (SELECT count(*)
+    FROM requirement r WHERE r.posting_id = p.id) AS n FROM posting p) ORDER BY CASE WHEN n > 0 THEN score END DESC
+    NULLS LAST, id DESC LIMIT 100""",
+)
 def mode_rank_unmeasured_last(t):
     has = t("requirement").groupBy(F.col("posting_id").alias("id")).agg(F.count("*").alias("n"))
     shown = t("posting").join(has, "id", "left").select("id", F.when(F.col("n") > 0, F.col("score")).alias("shown"))
     return L.page(shown, "shown", 100).select("id", F.col("shown").cast("double").alias("shown"))
 
 
-@query("A01 A05", "SELECT count(*) AS total, count(*) FILTER (WHERE is_active) AS active, count(*) FILTER (WHERE score IS NOT NULL) AS scored, count(*) FILTER (WHERE is_active AND score IS NULL) AS needs FROM posting")
+@query(
+    "A01 A05",
+    """SELECT count(*) AS total, count(*) FILTER (WHERE is_active) AS active, count(*) FILTER (WHERE score IS NOT NULL) AS
+    scored, count(*) FILTER (WHERE is_active AND score IS NULL) AS needs
+    FROM posting""",
+)
 def filtered_counts_one_pass(t):
     return t("posting").agg(F.count("*").alias("total"), F.count_if("is_active").alias("active"), F.count("score").alias("scored"), F.count_if(F.col("is_active") & F.col("score").isNull()).alias("needs"))
 
 
-@query("P22", "SELECT kind, count(*) AS n, count(*) FILTER (WHERE turn = 0) AS queued, count(*) FILTER (WHERE turn > 3 OR value > 50) AS acted, count(*) FILTER (WHERE NOT (turn > 3 OR value > 50)) AS waiting FROM event GROUP BY kind")
+@query(
+    "P22",
+    """SELECT kind, count(*) AS n, count(*) FILTER (WHERE turn = 0) AS queued, count(*) FILTER (WHERE turn > 3 OR value > 50)
+    AS acted, count(*) FILTER (WHERE NOT (turn > 3 OR value > 50)) AS waiting
+    FROM event GROUP BY kind""",
+)
 def tracker_counts(t):
     acted = (F.col("turn") > 3) | (F.col("value") > 50)
     return t("event").groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("turn") == 0).alias("queued"), F.count_if(acted).alias("acted"), F.count_if(~acted).alias("waiting"))
 
 
-@query("A03 U01 A09 J11", f"WITH {LISTED}, f AS (SELECT * FROM listed WHERE {BASE}) SELECT 'bucket' AS facet, bucket AS value, count(*) AS n FROM f WHERE bucket IS NOT NULL GROUP BY bucket UNION ALL SELECT 'city', city, count(*) FROM f WHERE city IS NOT NULL GROUP BY city UNION ALL SELECT 'source', slug, count(DISTINCT id) FROM f JOIN provenance s ON s.posting_id = id GROUP BY slug")
+@query(
+    "A03 U01 A09 J11",
+    f"""WITH {LISTED}, f AS (SELECT * FROM listed WHERE {BASE}) SELECT 'bucket' AS facet, bucket AS value, count(*) AS n
+    FROM f WHERE bucket IS NOT NULL GROUP BY bucket UNION ALL SELECT 'city', city, count(*)
+    FROM f WHERE city IS NOT NULL GROUP BY city UNION ALL SELECT 'source', slug, count(DISTINCT id)
+    FROM f JOIN provenance s ON s.posting_id = id GROUP BY slug""",
+)
 def facets_union_all(t):
     """One join and one aggregate: a posting's distinct sources are found first, and each of its values becomes a row."""
     slugs = t("provenance").groupBy(F.col("posting_id").alias("id")).agg(F.collect_set("slug").alias("slugs"))
@@ -183,30 +217,51 @@ def facets_union_all(t):
     return f.select(F.inline(every)).filter("value is not null").groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
-@query("A04 J10 F62", "SELECT skill, count(*) AS n FROM requirement r JOIN posting p ON r.posting_id = p.id WHERE NOT held AND score >= 55 GROUP BY skill ORDER BY n DESC, skill LIMIT 20")
+@query(
+    "A04 J10 F62",
+    """SELECT skill, count(*) AS n FROM requirement r JOIN posting p ON r.posting_id = p.id
+    WHERE NOT held AND score >= 55 GROUP BY skill ORDER BY n DESC, skill LIMIT 20""",
+)
 def skill_gap_top20(t):
     good = t("posting").filter("score >= 55").select(F.col("id").alias("posting_id"))
     missing = t("requirement").filter("not held").join(good, "posting_id", "left_semi")
     return missing.groupBy("skill").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "skill").limit(20)
 
 
-@query("W01 J25", "SELECT user_id, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM event) WHERE rn = 1")
+@query(
+    "W01 J25",
+    """SELECT user_id, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+    ORDER BY ts DESC, event_id DESC) AS rn FROM event) WHERE rn = 1""",
+)
 def latest_event_per_key(t):
     last = F.max(F.struct("ts", "event_id", "kind"))
     return t("event").groupBy("user_id").agg(last.alias("e")).select("user_id", "e.event_id", "e.kind")
 
 
-@query("W03", "SELECT kind, max(event_id) AS event_id FROM (SELECT *, rank() OVER (PARTITION BY kind ORDER BY ts DESC) AS r FROM event WHERE turn IN (1, 2)) WHERE r = 1 GROUP BY kind")
+@query(
+    "W03",
+    """SELECT kind, max(event_id) AS event_id FROM (SELECT *, rank() OVER (PARTITION BY kind
+    ORDER BY ts DESC) AS r FROM event WHERE turn IN (1, 2)) WHERE r = 1
+    GROUP BY kind""",
+)
 def last_success_per_key(t):
     return P.first_by(t("event").filter(F.col("turn").isin(1, 2)), ["kind"], [F.desc("ts"), F.desc("event_id")]).select("kind", "event_id")
 
 
-@query("W02 J07", "SELECT posting_id, slug, ext_id FROM (SELECT *, row_number() OVER (PARTITION BY posting_id ORDER BY size DESC, slug, ext_id, line) AS rn FROM provenance) WHERE rn = 1")
+@query(
+    "W02 J07",
+    """SELECT posting_id, slug, ext_id FROM (SELECT *, row_number() OVER (PARTITION BY posting_id
+    ORDER BY size DESC, slug, ext_id, line) AS rn FROM provenance) WHERE rn = 1""",
+)
 def first_source_pick(t):
     return P.first_by(t("provenance"), ["posting_id"], [F.desc("size"), "slug", "ext_id", "line"]).select("posting_id", "slug", "ext_id")
 
 
-@query("W02 W09", "SELECT company_id, id AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY published ASC NULLS LAST, id) AS rn FROM posting) WHERE rn = 1")
+@query(
+    "W02 W09",
+    """SELECT company_id, id AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY company_id
+    ORDER BY published ASC NULLS LAST, id) AS rn FROM posting) WHERE rn = 1""",
+)
 def oldest_row_pick(t):
     return P.first_by(t("posting"), ["company_id"], [F.col("published").asc_nulls_last(), F.col("id")]).select("company_id", F.col("id").alias("oldest"))
 
@@ -217,7 +272,12 @@ def ordered_source_list(t):
     return P.ordered_list(t("provenance"), ["posting_id"], order, "slug", "slugs")
 
 
-@query("J08", "SELECT p.id, CAST(coalesce(sum(CASE WHEN slug = 'feed_0' THEN 1 END), 0) AS BIGINT) AS cv_count, CAST(coalesce(sum(CASE WHEN slug = 'feed_1' THEN 1 END), 0) AS BIGINT) AS letter_count FROM posting p LEFT JOIN provenance s ON s.posting_id = p.id WHERE p.is_active GROUP BY p.id")
+@query(
+    "J08",
+    """SELECT p.id, CAST(coalesce(sum(CASE WHEN slug = 'feed_0' THEN 1 END), 0) AS BIGINT) AS cv_count, CAST(coalesce(sum(CASE
+    WHEN slug = 'feed_1' THEN 1 END), 0) AS BIGINT) AS letter_count FROM posting p
+    LEFT JOIN provenance s ON s.posting_id = p.id WHERE p.is_active GROUP BY p.id""",
+)
 def document_candidates_counts(t):
     counts = t("provenance").groupBy(F.col("posting_id").alias("id")).pivot("slug", ["feed_0", "feed_1"]).count()
     n = lambda c, name: F.coalesce(c, F.lit(0)).cast("long").alias(name)
@@ -230,7 +290,13 @@ def snapshot_else_live(t):
     return t("posting").join(snap, "id", "left").select("id", F.coalesce(F.col("value").cast("double"), F.col("score").cast("double")).alias("shown"))
 
 
-@query("J02 J03 P21 O06 W09", "SELECT id, slug FROM (SELECT p.id, s.slug, p.score, row_number() OVER (PARTITION BY p.id ORDER BY s.slug, s.line) AS rn FROM posting p JOIN provenance s ON s.posting_id = p.id AND s.slug <> 'feed_3' JOIN company c ON c.company_id = p.company_id WHERE c.segment NOT LIKE '%HOUSE%' AND p.score IS NOT NULL) WHERE rn = 1 ORDER BY (slug = 'feed_0') DESC, score DESC, id LIMIT 200")
+@query(
+    "J02 J03 P21 O06 W09",
+    """SELECT id, slug FROM (SELECT p.id, s.slug, p.score, row_number() OVER (PARTITION BY p.id
+    ORDER BY s.slug, s.line) AS rn FROM posting p JOIN provenance s ON s.posting_id = p.id AND s.slug <> 'feed_3' JOIN
+    company c ON c.company_id = p.company_id WHERE c.segment NOT LIKE '%HOUSE%' AND p.score IS NOT NULL)
+    WHERE rn = 1 ORDER BY (slug = 'feed_0') DESC, score DESC, id LIMIT 200""",
+)
 def queue_three_way_join(t):
     source = P.first_by(t("provenance").filter("slug <> 'feed_3'"), ["posting_id"], [F.col("slug"), F.col("line")]).select(F.col("posting_id").alias("id"), "slug")
     company = t("company").filter(~F.col("segment").contains("HOUSE")).select("company_id")
@@ -244,7 +310,12 @@ def top_for_profile(t):
     return best.select("id", F.col("score").cast("double").alias("score"))
 
 
-@query("O07 A27", "SELECT id, CAST(greatest(coalesce(published, DATE '1990-01-01'), coalesce(day, DATE '1990-01-01')) AS VARCHAR) AS activity FROM posting p LEFT JOIN event e ON e.event_id = p.id ORDER BY greatest(coalesce(published, DATE '1990-01-01'), coalesce(day, DATE '1990-01-01')) DESC, id LIMIT 100")
+@query(
+    "O07 A27",
+    """SELECT id, CAST(greatest(coalesce(published, DATE '1990-01-01'), coalesce(day, DATE '1990-01-01')) AS VARCHAR) AS
+    activity FROM posting p LEFT JOIN event e ON e.event_id = p.id ORDER BY greatest(coalesce(published, DATE
+    '1990-01-01'), coalesce(day, DATE '1990-01-01')) DESC, id LIMIT 100""",
+)
 def board_by_activity(t):
     zero = F.lit(date(1990, 1, 1))
     at = F.greatest(F.coalesce("published", zero), F.coalesce("day", zero))
@@ -252,7 +323,12 @@ def board_by_activity(t):
     return t("posting").join(e, "id", "left").withColumn("activity", at).orderBy(F.desc("activity"), "id").limit(100).select("id", F.col("activity").cast("string").alias("activity"))
 
 
-@query("A27", "SELECT stage, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT *, CASE WHEN kind = 'purchase' THEN 'sent' WHEN turn = 0 THEN 'queued' WHEN value > 20 THEN 'read' ELSE 'saved' END AS stage FROM event) GROUP BY stage")
+@query(
+    "A27",
+    """SELECT stage, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id
+    FROM (SELECT *, CASE WHEN kind = 'purchase' THEN 'sent' WHEN turn = 0 THEN 'queued' WHEN value > 20 THEN 'read' ELSE
+    'saved' END AS stage FROM event) GROUP BY stage""",
+)
 def kanban_stage(t):
     stage = F.when(F.col("kind") == "purchase", "sent").when(F.col("turn") == 0, "queued").when(F.col("value") > 20, "read").otherwise("saved")
     return t("event").groupBy(stage.alias("stage")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
@@ -269,7 +345,12 @@ def prefer_left_union(t):
     return P.prefer_left(p.filter("id % 3 < 2").withColumn("side", F.lit("left")), p.filter("id % 3 > 0").withColumn("side", F.lit("right")), "id")
 
 
-@query("O11", "SELECT p_partkey, rank FROM (SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size % 5 DESC, -p_size, p_brand, p_type, length(p_name) DESC, p_name, p_partkey) AS BIGINT) AS rank FROM part) WHERE rank <= 300")
+@query(
+    "O11",
+    """SELECT p_partkey, rank FROM (SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_size % 5 DESC, -p_size, p_brand,
+    p_type, length(p_name) DESC, p_name, p_partkey) AS BIGINT) AS rank FROM part)
+    WHERE rank <= 300""",
+)
 def rank_seven_keys(t):
     from pyspark.sql import window as W
 
@@ -286,7 +367,13 @@ def rotate_turn(t):
     return t("part").crossJoin(F.broadcast(size)).select("p_partkey", turned.cast("long").alias("turn"))
 
 
-@query("J20", "SELECT a, b, CAST(row_number() OVER (ORDER BY i + j, i) AS BIGINT) AS place FROM (SELECT p_brand AS a, row_number() OVER (ORDER BY p_brand) AS i FROM (SELECT DISTINCT p_brand FROM part)) CROSS JOIN (SELECT n_name AS b, row_number() OVER (ORDER BY n_name) AS j FROM nation) ORDER BY i + j, i LIMIT 60")
+@query(
+    "J20",
+    """SELECT a, b, CAST(row_number() OVER (ORDER BY i + j, i) AS BIGINT) AS place
+    FROM (SELECT p_brand AS a, row_number() OVER (ORDER BY p_brand) AS i
+    FROM (SELECT DISTINCT p_brand FROM part)) CROSS JOIN (SELECT n_name AS b, row_number() OVER (ORDER BY n_name) AS j
+    FROM nation) ORDER BY i + j, i LIMIT 60""",
+)
 def diagonal_plan(t):
     """25 brands by 25 nations: both sides are dimension lists of fixed size."""
     from pyspark.sql import window as W

@@ -161,7 +161,12 @@ def list_joins_match(t):
 _STYLES = {"iso": "[0-9]{4}-(?:0[1-9]|1[0-2])", "dotted": "(?:0[1-9]|1[0-2])[.](?:19|20)[0-9]{2}", "slashed": "(?:0[1-9]|1[0-2])/(?:19|20)[0-9]{2}"}
 
 
-@query("A21", "SELECT id, iso, dotted, slashed, CASE id % 4 WHEN 0 THEN TRUE ELSE FALSE END AS mixed FROM posting JOIN (VALUES (0, 3, 2, 0), (1, 4, 1, 0), (2, 0, 0, 5), (3, 0, 0, 0)) v(k, iso, dotted, slashed) ON id % 4 = k")
+@query(
+    "A21",
+    """SELECT id, iso, dotted, slashed, CASE id % 4 WHEN 0 THEN TRUE ELSE FALSE END AS mixed
+    FROM posting JOIN (VALUES (0, 3, 2, 0), (1, 4, 1, 0), (2, 0, 0, 5), (3, 0, 0, 0)) v(k, iso, dotted, slashed) ON id %
+    4 = k""",
+)
 def date_styles(t):
     """How many dates a document writes in each style; mixed where the second style has two or more."""
     texts = ["2019-01 2020-12 2021-07 01.2019 12.2020", "2019-01 2019-02 2019-03 2019-04 05.2020 13.2020", "01/2019 02/2019 03/2019 04/2019 12/2020", "none"]

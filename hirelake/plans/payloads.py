@@ -9,7 +9,13 @@ from ..catalog import query
 from ..sources import feeds as S
 
 
-@query("S05 S06 S07 S08", "SELECT id, CASE id % 5 WHEN 3 THEN 'gone' WHEN 4 THEN 'markup_error' ELSE 'ok' END AS status, CASE WHEN id % 5 < 3 THEN 'posting ' || CAST(id AS VARCHAR) END AS title, CASE WHEN id % 5 < 3 THEN CAST(seniority AS DOUBLE) END AS pay_from, CASE WHEN id % 5 < 3 THEN is_active ELSE FALSE END AS live, CAST(CASE id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS BIGINT) AS n_skills FROM posting")
+@query(
+    "S05 S06 S07 S08",
+    """SELECT id, CASE id % 5 WHEN 3 THEN 'gone' WHEN 4 THEN 'markup_error' ELSE 'ok' END AS status, CASE WHEN id % 5 < 3 THEN
+    'posting ' || CAST(id AS VARCHAR) END AS title, CASE WHEN id % 5 < 3 THEN CAST(seniority AS DOUBLE) END AS pay_from,
+    CASE WHEN id % 5 < 3 THEN is_active ELSE FALSE END AS live, CAST(CASE id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END
+    AS BIGINT) AS n_skills FROM posting""",
+)
 def page_states(t):
     """Five page bodies: the new shape with a wrapped list, the old one with a scalar, one without skills, an empty view, no state."""
     p = t("posting")
@@ -23,20 +29,34 @@ def page_states(t):
     return S.postings(p.select("id", body.alias("body"))).select("id", "status", "title", "pay_from", "live", F.size("skills").cast("long").alias("n_skills"))
 
 
-@query("S18 S19", "SELECT count(*) AS n, CAST(min(len(embedding)) AS BIGINT) AS low, CAST(max(len(embedding)) AS BIGINT) AS high, min(len(embedding)) = max(len(embedding)) AS uniform FROM embeddings")
+@query(
+    "S18 S19",
+    """SELECT count(*) AS n, CAST(min(len(embedding)) AS BIGINT) AS low, CAST(max(len(embedding)) AS BIGINT) AS high,
+    min(len(embedding)) = max(len(embedding)) AS uniform FROM embeddings""",
+)
 def vector_width_check(t):
     n = F.size("embedding")
     return t("embeddings").agg(F.count("*").alias("n"), F.min(n).cast("long").alias("low"), F.max(n).cast("long").alias("high"), (F.min(n) == F.max(n)).alias("uniform"))
 
 
-@query("P32", "SELECT id, concat_ws(',', CASE WHEN salary < 2000 THEN 'salary' END, CASE WHEN score > 99 THEN 'score' END, CASE WHEN published IS NULL THEN 'published' END) AS broken FROM posting WHERE salary < 2000 OR score > 99 OR published IS NULL")
+@query(
+    "P32",
+    """SELECT id, concat_ws(',', CASE WHEN salary < 2000 THEN 'salary' END, CASE WHEN score > 99 THEN 'score' END, CASE WHEN
+    published IS NULL THEN 'published' END) AS broken FROM posting WHERE salary < 2000 OR score > 99 OR published IS
+    NULL""",
+)
 def quarantine_rows(t):
     rules = {"salary": F.col("salary") < 2000, "score": F.col("score") > 99, "published": F.col("published").isNull()}
     broken = F.concat_ws(",", *[F.when(c, n) for n, c in rules.items()])
     return t("posting").select("id", broken.alias("broken")).filter("broken <> ''")
 
 
-@query("K17 F63 F65", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, turn = 0 AS closed, CASE WHEN turn = 0 THEN '2024-02-01' END AS rechecked FROM event JOIN (SELECT event_id AS eid, props FROM events) ON eid = event_id")
+@query(
+    "K17 F63 F65",
+    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, turn = 0 AS closed, CASE WHEN turn = 0 THEN
+    '2024-02-01' END AS rechecked FROM event JOIN (SELECT event_id AS eid, props
+    FROM events) ON eid = event_id""",
+)
 def json_patch(t):
     """The parsed block with two fields added or replaced; the other fields stay."""
     e = t("events").select("event_id", F.from_json("props", "k bigint").alias("d"), (F.col("event_id") % 7 == 0).alias("closed"))
@@ -44,7 +64,14 @@ def json_patch(t):
     return e.select("event_id", d.alias("d")).select("event_id", "d.k", "d.closed", "d.rechecked")
 
 
-@query("T14", "SELECT user_id, count(*) AS bands FROM (SELECT user_id, b, count(*) AS n, max(total) AS total FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS b, count(*) OVER (PARTITION BY user_id) AS total FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY user_id ORDER BY x, event_id) <= 30 THEN 0 ELSE 1 END AS new FROM (SELECT user_id, event_id, (event_id * 7919) % 600 AS x FROM event))) GROUP BY user_id, b) WHERE n * 10 >= total GROUP BY user_id")
+@query(
+    "T14",
+    """SELECT user_id, count(*) AS bands FROM (SELECT user_id, b, count(*) AS n, max(total) AS total
+    FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS b, count(*)
+    OVER (PARTITION BY user_id) AS total FROM (SELECT *, CASE WHEN x - lag(x) OVER (PARTITION BY user_id
+    ORDER BY x, event_id) <= 30 THEN 0 ELSE 1 END AS new FROM (SELECT user_id, event_id, (event_id * 7919) % 600 AS x
+    FROM event))) GROUP BY user_id, b) WHERE n * 10 >= total GROUP BY user_id""",
+)
 def column_bands(t):
     """Left edges clustered where no gap exceeds a width; bands with under a tenth of the edges drop out."""
     edges = t("event").select("user_id", ((F.col("event_id") * 7919) % 600).alias("x")).withColumn("x2", F.col("x"))
@@ -85,14 +112,22 @@ def outcome_counts(t):
     return t("event").groupBy("user_id").agg(F.count_if(sent).alias("sent"), n(F.col("turn") > 2).alias("answered"), n(F.col("turn") > 4).alias("positive"), n(F.col("event_id") % 6 == 0).alias("text_unknown"))
 
 
-@query("F67", "SELECT 'k' AS key, count(*) AS n, CAST(sum(length(json_extract_string(props, '$.k'))) AS BIGINT) AS size FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+@query(
+    "F67",
+    """SELECT 'k' AS key, count(*) AS n, CAST(sum(length(json_extract_string(props, '$.k'))) AS BIGINT) AS size
+    FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""",
+)
 def state_census(t):
     """Which top-level keys the payloads hold, how often and how large."""
     pairs = t("events").select(F.explode(F.from_json("props", "map<string,string>")).alias("key", "v"))
     return pairs.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("v")).alias("size"))
 
 
-@query("F53", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(CAST(CAST(x AS DOUBLE) * 1.0000000001 AS FLOAT) AS DOUBLE) - x)) = 0 AS same FROM embeddings")
+@query(
+    "F53",
+    """SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(CAST(CAST(x AS DOUBLE) * 1.0000000001 AS FLOAT) AS
+    DOUBLE) - x)) = 0 AS same FROM embeddings""",
+)
 def float_narrowing(t):
     """Double vectors stored in single precision: what the narrowing keeps of every component."""
     wide = F.transform("embedding", lambda x: x.cast("double") * 1.0000000001)
@@ -105,7 +140,11 @@ def whole_name_match(t):
     return t("nation").select("n_name", F.col("n_name").rlike("(^|[^A-Za-z0-9])NATION_1($|[^0-9])").alias("is_one"))
 
 
-@query("T13", "SELECT conv_id, string_agg(role || ': ' || replace(replace(text, '<', '('), '>', ')'), chr(10) ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id")
+@query(
+    "T13",
+    """SELECT conv_id, string_agg(role || ': ' || replace(replace(text, '<', '('), '>', ')'), chr(10)
+    ORDER BY turn, role, text) AS body FROM conversations GROUP BY conv_id""",
+)
 def rendered_lines(t):
     """A conversation as lines of prose, with what could open a tag defanged; whole texts."""
     line = F.concat(F.col("role"), F.lit(": "), F.translate("text", "<>", "()"))

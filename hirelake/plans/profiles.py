@@ -160,7 +160,11 @@ def filter_country_currency_remote(t):
     return O.ListFilter(country="US", currency="USD", remotes=("full", "hybrid")).apply(v).select("id")
 
 
-@query("P31", "SELECT id, title, company FROM vacancy WHERE is_active AND NOT is_spam AND (title ILIKE '%role 1%' OR company ILIKE '%role 1%') ORDER BY published DESC NULLS LAST, id LIMIT 20")
+@query(
+    "P31",
+    """SELECT id, title, company FROM vacancy WHERE is_active AND NOT is_spam AND (title ILIKE '%role 1%' OR company ILIKE
+    '%role 1%') ORDER BY published DESC NULLS LAST, id LIMIT 20""",
+)
 def vacancy_picker(t):
     v = O.picker(t("vacancy"), "role 1")
     return v.orderBy(F.col("published").desc_nulls_last(), "id").limit(20).select("id", "title", "company")

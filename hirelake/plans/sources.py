@@ -188,14 +188,23 @@ def keys_recomputed(t):
     return L.rekeyed(rows, "c_custkey", ["c_mktsegment", "title", "n_name"], "version", 2)
 
 
-@query("F60", "SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS DECIMAL(12,2)) AS DOUBLE) AS k FROM events WHERE CAST(json_extract_string(props, '$.k') AS DECIMAL(12,2)) >= 50")
+@query(
+    "F60",
+    """SELECT event_id, CAST(CAST(json_extract_string(props, '$.k') AS DECIMAL(12,2)) AS DOUBLE) AS k
+    FROM events WHERE CAST(json_extract_string(props, '$.k') AS DECIMAL(12,2)) >= 50""",
+)
 def json_number(t):
     k = F.get_json_object("props", "$.k").cast("decimal(12,2)")
     return t("events").filter(k >= 50).select("event_id", k.cast("double").alias("k"))
 
 
 
-@query("S16", "SELECT n_name, CASE WHEN n_nationkey % 5 = 0 THEN 'denied' WHEN n_nationkey % 3 = 0 THEN 'not enabled' WHEN n_nationkey % 2 = 0 AND n_nationkey % 4 <> 0 THEN 'no key' ELSE 'runs' END AS state FROM nation")
+@query(
+    "S16",
+    """SELECT n_name, CASE WHEN n_nationkey % 5 = 0 THEN 'denied' WHEN n_nationkey % 3 = 0 THEN 'not enabled' WHEN n_nationkey
+    % 2 = 0 AND n_nationkey % 4 <> 0 THEN 'no key' ELSE 'runs' END AS state
+    FROM nation""",
+)
 def registry_states(t):
     """Why a source is idle: denied, not enabled, or without the key that it needs; the first reason counts."""
     k = F.col("n_nationkey")

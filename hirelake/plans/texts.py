@@ -22,7 +22,12 @@ def fulltext_all_tokens(t):
     return t("documents").filter(X.has_all_tokens(F.col("text"), "The of")).select("doc_id")
 
 
-@query("P28", "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+(?:/[^/?#]*)*/([^/?#]+)', 1) AS tail, regexp_extract(url, '^[a-z]+://[^/?#]+(?:/[^/?#]*)*/([^/?#]+)', 1) = CAST(page_id AS VARCHAR) AS names_id FROM pages")
+@query(
+    "P28",
+    """SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+(?:/[^/?#]*)*/([^/?#]+)', 1) AS tail, regexp_extract(url,
+    '^[a-z]+://[^/?#]+(?:/[^/?#]*)*/([^/?#]+)', 1) = CAST(page_id AS VARCHAR) AS names_id
+    FROM pages""",
+)
 def url_names_id(t):
     tail = X.url_path_tail(F.col("url"))
     return t("pages").select("page_id", tail.alias("tail"), (tail == F.col("page_id").cast("string")).alias("names_id"))
@@ -31,26 +36,45 @@ def url_names_id(t):
 EMAIL = "[a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,}"
 
 
-@query("T08 F20", "SELECT conv_id, turn, length(text) > 400 AS too_long, regexp_matches(text, '(https?://|www[.])') AS link, contains(text, '@') AS at_sign, substr(text, 1, 80) AS clipped FROM conversations WHERE role = 'assistant'")
+@query(
+    "T08 F20",
+    """SELECT conv_id, turn, length(text) > 400 AS too_long, regexp_matches(text, '(https?://|www[.])') AS link, contains(text,
+    '@') AS at_sign, substr(text, 1, 80) AS clipped FROM conversations WHERE role = 'assistant'""",
+)
 def letter_guards(t):
     c = F.col("text")
     return t("conversations").filter("role = 'assistant'").select("conv_id", "turn", (F.length(c) > 400).alias("too_long"), c.rlike("(https?://|www[.])").alias("link"), c.contains("@").alias("at_sign"), F.substring(c, 1, 80).alias("clipped"))
 
 
-@query("A21", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}')) AS iso, len(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}')) AS dotted, least(len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}')), len(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}'))) >= 2 AS mixed FROM documents")
+@query(
+    "A21",
+    """SELECT doc_id, len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}')) AS iso, len(regexp_extract_all(text,
+    '[0-9]{1,3}[.][0-9]{1,3}')) AS dotted, least(len(regexp_extract_all(text, '[0-9]{4}-[0-9]{2}')),
+    len(regexp_extract_all(text, '[0-9]{1,3}[.][0-9]{1,3}'))) >= 2 AS mixed
+    FROM documents""",
+)
 def date_style_mix(t):
     n = lambda p: F.regexp_count("text", F.lit(p)).cast("long")
     iso, dotted = n("[0-9]{4}-[0-9]{2}"), n("[0-9]{1,3}[.][0-9]{1,3}")
     return t("documents").select("doc_id", iso.alias("iso"), dotted.alias("dotted"), (F.least(iso, dotted) >= 2).alias("mixed"))
 
 
-@query("T04 F14", f"SELECT doc_id, CAST(len({WORDS}) AS BIGINT) AS words, CASE WHEN len({WORDS}) < 50 THEN 'short' WHEN len({WORDS}) > 1500 THEN 'long' ELSE 'fit' END AS verdict FROM documents")
+@query(
+    "T04 F14",
+    f"""SELECT doc_id, CAST(len({WORDS}) AS BIGINT) AS words, CASE WHEN len({WORDS}) < 50 THEN 'short' WHEN len({WORDS}) > 1500
+    THEN 'long' ELSE 'fit' END AS verdict FROM documents""",
+)
 def length_rule(t):
     d = t("documents").select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("words"))
     return d.select("doc_id", "words", F.when(F.col("words") < 50, "short").when(F.col("words") > 1500, "long").otherwise("fit").alias("verdict"))
 
 
-@query("F19", "SELECT doc_id, CAST(len(l) AS BIGINT) AS lines, CAST(len(list_filter(l, lambda x: regexp_matches(x, '^[A-Z][^.]{0,30}[.]?$'))) AS BIGINT) AS headings FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)")
+@query(
+    "F19",
+    """SELECT doc_id, CAST(len(l) AS BIGINT) AS lines, CAST(len(list_filter(l, lambda x: regexp_matches(x,
+    '^[A-Z][^.]{0,30}[.]?$'))) AS BIGINT) AS headings FROM (SELECT doc_id, list_filter(string_split(text, chr(10)),
+    lambda x: trim(x) <> '') AS l FROM documents)""",
+)
 def sections_items(t):
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     d = t("documents").select("doc_id", lines.alias("l"))
@@ -61,7 +85,12 @@ RULES = [(1, "keyword", "license", 0), (2, "phrase", "of the", 0), (3, "max_leng
 _RULES = "(VALUES " + ", ".join(f"({i}, '{k}', '{w}', {n})" for i, k, w, n in RULES) + ") r(rule_id, kind, word, size)"
 
 
-@query("T06 T05", f"SELECT doc_id, rule_id FROM documents, {_RULES} WHERE CASE kind WHEN 'keyword' THEN NOT contains(lower(text), word) WHEN 'phrase' THEN NOT contains(lower(text), word) WHEN 'max_length' THEN length(text) > size WHEN 'min_length' THEN length(text) < size ELSE contains(lower(text), word) END")
+@query(
+    "T06 T05",
+    f"""SELECT doc_id, rule_id FROM documents, {_RULES} WHERE CASE kind WHEN 'keyword' THEN NOT contains(lower(text), word) WHEN
+    'phrase' THEN NOT contains(lower(text), word) WHEN 'max_length' THEN length(text) > size WHEN 'min_length' THEN
+    length(text) < size ELSE contains(lower(text), word) END""",
+)
 def rule_violations(t):
     """Each document against the few rules, which are literals: an array of violated rules, exploded."""
     low, size = F.lower("text"), F.length("text")
@@ -69,7 +98,12 @@ def rule_violations(t):
     found = F.array_compact(F.array(*[F.when(broken[k](w, n), F.lit(i)) for i, k, w, n in RULES]))
     return t("documents").select("doc_id", F.explode(found).alias("rule_id"))
 
-@query("O13 F20", "SELECT conv_id, turn FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 1500")
+@query(
+    "O13 F20",
+    """SELECT conv_id, turn FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id
+    ORDER BY turn, role ROWS UNBOUNDED PRECEDING) AS used FROM conversations)
+    WHERE used <= 1500""",
+)
 def examples_budgeted(t):
     """Taken in order until the first that does not fit: behind it nothing is taken."""
     w = W.Window.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(W.Window.unboundedPreceding, 0)
@@ -89,13 +123,21 @@ def keyword_any_of_all(t):
     return t("documents").filter(hit).select("doc_id")
 
 
-@query("F02 A30", f"SELECT sha1(concat({normalised('text')}, chr(31), {normalised('lang')})) AS fingerprint, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query(
+    "F02 A30",
+    f"""SELECT sha1(concat({normalised('text')}, chr(31), {normalised('lang')})) AS fingerprint, count(*) AS n, min(doc_id) AS
+    first_id FROM documents GROUP BY 1 HAVING count(*) > 1""",
+)
 def fingerprint_collisions(t):
     f = X.fingerprint(F.col("text"), F.col("lang"))
     return t("documents").groupBy(f.alias("fingerprint")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
 
 
-@query("F01 F02 W09", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha1({normalised('text')}) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+@query(
+    "F01 F02 W09",
+    f"""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY sha1({normalised('text')})
+    ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
+)
 def fingerprint_dedupe(t):
     return t("documents").groupBy(X.fingerprint(F.col("text")).alias("f")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
@@ -161,7 +203,11 @@ def contact_extract(t):
     return t("documents").filter(F.col("text").contains("@")).select("doc_id", F.col("text").contains("@").alias("at_sign"), F.col("text").rlike("(https?://|www[.])").alias("has_link"))
 
 
-@query("A20 T04", f"SELECT doc_id, term, n FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY doc_id, term) WHERE n > 12 AND length(term) > 3")
+@query(
+    "A20 T04",
+    f"""SELECT doc_id, term, n FROM (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({WORDS}) AS term
+    FROM documents) GROUP BY doc_id, term) WHERE n > 12 AND length(term) > 3""",
+)
 def term_stuffing(t):
     """Within the row: of the sorted words, one that stands where it stood twelve places before is there more than twelve times."""
     words = F.sort_array(F.filter(X.tokens(F.col("text")), lambda w: F.length(w) > 3))
@@ -174,7 +220,13 @@ def term_stuffing(t):
 _POSITIONS = f"(SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT doc_id, {WORDS} AS w FROM documents))"
 
 
-@query("W06 A20", f"SELECT doc_id, term, CAST(max(n) AS INT) AS longest FROM (SELECT doc_id, term, g, count(*) AS n FROM (SELECT doc_id, term, pos - row_number() OVER (PARTITION BY doc_id, term ORDER BY pos) AS g FROM {_POSITIONS}) GROUP BY doc_id, term, g) WHERE n >= 4 GROUP BY doc_id, term")
+@query(
+    "W06 A20",
+    f"""SELECT doc_id, term, CAST(max(n) AS INT) AS longest FROM (SELECT doc_id, term, g, count(*) AS n
+    FROM (SELECT doc_id, term, pos - row_number() OVER (PARTITION BY doc_id, term
+    ORDER BY pos) AS g FROM {_POSITIONS}) GROUP BY doc_id, term, g) WHERE n >= 4
+    GROUP BY doc_id, term""",
+)
 def run_length(t):
     """Within the row: a word that stands in three places before its own starts or goes on with a run of four; its longest is then counted."""
     d = t("documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
@@ -262,7 +314,12 @@ def examples_skipping(t):
     return t("conversations").groupBy("conv_id").agg(items.alias("all")).select("conv_id", F.aggregate("all", start, step)["taken"].alias("taken"))
 
 
-@query("F13", "SELECT conv_id, 'workshop:' || substr(sha256(string_agg(role || '=' || CAST(n AS VARCHAR), chr(10) ORDER BY role)), 1, 12) AS version FROM (SELECT conv_id, role, max(length(text)) AS n FROM conversations GROUP BY conv_id, role) GROUP BY conv_id")
+@query(
+    "F13",
+    """SELECT conv_id, 'workshop:' || substr(sha256(string_agg(role || '=' || CAST(n AS VARCHAR), chr(10)
+    ORDER BY role)), 1, 12) AS version FROM (SELECT conv_id, role, max(length(text)) AS n
+    FROM conversations GROUP BY conv_id, role) GROUP BY conv_id""",
+)
 def rules_version(t):
     """Twelve hex digits of the sha256 over `key=value` lines in order of their keys."""
     own = t("conversations").groupBy("conv_id", "role").agg(F.max(F.length("text")).alias("n"))

@@ -19,13 +19,22 @@ def periods(t):
     return t("posting").filter("published is not null").select("company_id", month.alias("first"), (month + F.col("seniority") * 2).alias("last"))
 
 
-@query("A18 W05 F30 F31 F32", f"WITH {ISLANDS} SELECT company_id, CAST(sum(last - first + 1) AS BIGINT) AS covered, round(CAST(sum(last - first + 1) AS DOUBLE) / 12, 1) AS years FROM island GROUP BY company_id")
+@query(
+    "A18 W05 F30 F31 F32",
+    f"""WITH {ISLANDS} SELECT company_id, CAST(sum(last - first + 1) AS BIGINT) AS covered, round(CAST(sum(last - first + 1) AS
+    DOUBLE) / 12, 1) AS years FROM island GROUP BY company_id""",
+)
 def interval_union_months(t):
     u = I.union_length(periods(t), ["company_id"], "first", "last")
     return u.withColumn("years", F.round(F.col("covered").cast("double") / 12, 1))
 
 
-@query("W04", f"WITH {ISLANDS} SELECT company_id, gap_from, first AS gap_to, CAST(first - gap_from - 1 AS BIGINT) AS gap FROM (SELECT company_id, first, lag(last) OVER (PARTITION BY company_id ORDER BY first) AS gap_from FROM island) WHERE first - gap_from - 1 > 12")
+@query(
+    "W04",
+    f"""WITH {ISLANDS} SELECT company_id, gap_from, first AS gap_to, CAST(first - gap_from - 1 AS BIGINT) AS gap
+    FROM (SELECT company_id, first, lag(last) OVER (PARTITION BY company_id
+    ORDER BY first) AS gap_from FROM island) WHERE first - gap_from - 1 > 12""",
+)
 def employment_gaps(t):
     return I.gaps(periods(t), ["company_id"], "first", "last", 12)
 
@@ -35,7 +44,12 @@ def last_used(t):
     return periods(t).groupBy("company_id").agg(F.floor(F.max("last") / 12).cast("long").alias("last_year"), (F.max("last") < 2000 * 12).alias("stale"))
 
 
-@query("F37", "SELECT event_id, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) // 12 AS BIGINT) AS slot, CASE WHEN CAST(ts AS TIME) < TIME '09:00:00' THEN CAST(day AS VARCHAR) ELSE CAST(CAST(day + INTERVAL 1 DAY AS DATE) AS VARCHAR) END AS next_run FROM event")
+@query(
+    "F37",
+    """SELECT event_id, CAST(date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) // 12 AS BIGINT) AS slot, CASE WHEN CAST(ts
+    AS TIME) < TIME '09:00:00' THEN CAST(day AS VARCHAR) ELSE CAST(CAST(day + INTERVAL 1 DAY AS DATE) AS VARCHAR) END AS
+    next_run FROM event""",
+)
 def next_run_slots(t):
     early = F.hour("ts") < 9
     slot = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', date_trunc('HOUR', ts))")
@@ -47,7 +61,13 @@ def median_by_kind(t):
     return t("event").groupBy("kind").agg(F.round(F.median(F.col("value").cast("double")), 6).alias("median"))
 
 
-@query("W06", "SELECT user_id, kind, count(*) AS runs, CAST(max(n) AS BIGINT) AS longest FROM (SELECT user_id, kind, g, count(*) AS n FROM (SELECT user_id, kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, kind ORDER BY event_id) AS g FROM event) GROUP BY user_id, kind, g) GROUP BY user_id, kind")
+@query(
+    "W06",
+    """SELECT user_id, kind, count(*) AS runs, CAST(max(n) AS BIGINT) AS longest
+    FROM (SELECT user_id, kind, g, count(*) AS n FROM (SELECT user_id, kind, row_number() OVER (PARTITION BY user_id
+    ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, kind ORDER BY event_id) AS g
+    FROM event) GROUP BY user_id, kind, g) GROUP BY user_id, kind""",
+)
 def kind_runs(t):
     runs = I.runs_of(t("event").select("user_id", "event_id", "kind"), ["user_id"], "event_id", "kind")
     return runs.groupBy("user_id", "kind").agg(F.count("*").alias("runs"), F.max("length").alias("longest"))

@@ -60,7 +60,12 @@ def journal_upsert(t):
     return R.journal(t("report"), order=("stamp", "id")).select("vacancy_id", "status", "title", "reason", "refused")
 
 
-@query("A34", "SELECT CAST(CAST(stamp AS DATE) AS VARCHAR) AS day, count(*) FILTER (WHERE status = 'sent') AS sent, count(*) FILTER (WHERE status = 'sent') >= 3 AS capped FROM report WHERE stamp >= TIMESTAMP '2024-01-10 12:00:00' GROUP BY 1")
+@query(
+    "A34",
+    """SELECT CAST(CAST(stamp AS DATE) AS VARCHAR) AS day, count(*) FILTER (WHERE status = 'sent') AS sent, count(*) FILTER
+    (WHERE status = 'sent') >= 3 AS capped FROM report WHERE stamp >= TIMESTAMP '2024-01-10 12:00:00'
+    GROUP BY 1""",
+)
 def sent_since(t):
     """Applications sent since a moment, by day, against a daily cap."""
     r = t("report").filter(F.col("stamp") >= F.expr("TIMESTAMP_NTZ '2024-01-10 12:00:00'"))

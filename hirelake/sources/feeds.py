@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # --- payloads ------------------------------------------------------------------------------
 
-STATE = "view struct<id:bigint,name:string,pay:struct<from:double,cur:string>,active:boolean,skills:string>, full struct<posting:struct<id:bigint,name:string,pay:struct<from:double,cur:string>,active:boolean,skills:string>>, errorCode int"
+STATE = (
+    "view struct<id:bigint,name:string,pay:struct<from:double,cur:string>,active:boolean,skills:string>, "
+    "full struct<posting:struct<id:bigint,name:string,pay:struct<from:double,cur:string>,active:boolean,skills:string>>, errorCode int"
+)
 
 
 def page_state(body: Column, marker: str = "STATE") -> Column:
