@@ -211,7 +211,10 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def accept(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose text has a language, with lang set to it; rows without a letter go, as do scores below `least`."""
+    """The rows of docs whose text has a language, with lang set to it; rows without a letter go, as do scores below `least`.
+
+    All columns stay, and further ones may have any name.
+    """
     model = fit(docs)
 
     def run(batches):
