@@ -39,7 +39,7 @@ def query(covers: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from .plans import ingest, listing, matching, payloads, profiles, scoring, skills, sources, texts, timelines, tracker  # noqa: F401
+    from .plans import folds, ingest, listing, matching, payloads, profiles, scoring, skills, sources, texts, timelines, tracker  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
