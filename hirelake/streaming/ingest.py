@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -22,13 +23,27 @@ class SnapshotSink:
 
     def __init__(self, folder: str, keys: list[str], order: str, parts: int = 16):
         self.folder, self.keys, self.order, self.parts = folder, keys, order, parts
-        self.last = None
+        self.last, self.known = None, {}
+
+    def _place(self, spark: SparkSession, number: int):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/parts={number}")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+    def _list(self, spark: SparkSession, number: int, stands: dict[int, int]) -> None:
+        fs, path = self._place(spark, number)
+        out = fs.create(path, True)
+        out.write(bytearray(json.dumps(sorted(stands.items())).encode()))
+        out.close()
+        self.known[number] = stands
 
     def _stands(self, spark: SparkSession, number: int) -> dict[int, int]:
-        """Part number -> the batch that wrote it last; as many rows as there are parts."""
+        """Part number -> the batch that wrote it last: as many numbers as there are parts. Kept, or read after a restart."""
         if number < 0:
             return {}
-        return {r["part"]: r["batch"] for r in spark.read.schema("part int, batch long").parquet(f"{self.folder}/parts={number}").collect()}
+        if number not in self.known:
+            text = "".join(r[0] for r in spark.read.text(f"{self.folder}/parts={number}").select("value").collect())
+            self.known[number] = {p: b for p, b in json.loads(text)}
+        return self.known[number]
 
     def _read(self, spark: SparkSession, schema, stands: dict[int, int]) -> DataFrame | None:
         paths = [f"{self.folder}/batch={b}/part={p}" for p, b in sorted(stands.items())]
@@ -44,9 +59,9 @@ class SnapshotSink:
         latest = last_in_batch(rows, self.keys, self.order).withColumn("part", part)
         latest.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/batch={number}")
         now = stands | {p: number for p in touched}
-        listed = spark.createDataFrame(sorted(now.items()), "part int, batch long")
-        listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/parts={number}")
+        self._list(spark, number, now)
         self._sweep(spark, number, set(now.values()) | set(stands.values()))
+        self.known = {n: parts for n, parts in self.known.items() if n >= number - 1}
         self.last = number
 
     def _sweep(self, spark: SparkSession, number: int, named: set[int]) -> None:

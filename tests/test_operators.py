@@ -281,3 +281,6 @@ def test_stream_parts_and_replay(spark, tmp_path):
     want = {k: 0 for k in range(20)} | {3: 5, 4: 1, 30: 9, 7: 7}
     assert {r.k: r.v for r in sink.state(spark, frame([]).schema).collect()} == want
     assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("parts=")]) == 2
+    again = SnapshotSink(f"file://{tmp_path}/state", ["k"], "v", parts=4)  # restarted
+    again(frame([(1, 1)]), 4)
+    assert {r.k: r.v for r in again.state(spark, frame([]).schema).collect()} == want | {1: 1}
