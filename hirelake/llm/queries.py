@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import embedding_links, fingerprints, jaccard_join, language, mixing, pieces, pii, secrets, sharding, toxicity
+from . import centroids, embedding_links, filter_audit, fingerprints, jaccard_join, language, mixing, pieces, pii, secrets, sharding, toxicity
 from .common import documents
 
 
@@ -51,6 +51,14 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(ship(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -121,6 +129,39 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(si
     CAST(floor((rank + 1) * r + u) - floor(rank * r + u) AS BIGINT) AS copies FROM k"""
 
 
+OP12 = """WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS doc_id FROM d GROUP BY t),
+mark AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(mark.good, false) AS good, coalesce(mark.toxic, false) AS toxic,
+    list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN len(w) < 200 WHEN 'B' THEN 100 * len(list_distinct(w)) < 50 * len(w)
+    WHEN 'C' THEN 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 2 * length(d.t) WHEN 'D' THEN regexp_matches(d.t, '[#$%&*|]') ELSE coalesce(d.doc_id > first.doc_id, false) END) AS fails
+    FROM d JOIN first ON first.t = d.t LEFT JOIN mark ON mark.doc_id = d.doc_id),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+turn AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+case_ AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+seen AS (SELECT part, filter_order, s AS step, substr(filter_order, s, 1) AS letter, list_contains(fails, substr(filter_order, s, 1)) AS fails_it, list_has_any(fails, string_split(substr(filter_order, 1, s - 1), '')) AS gone, fails, n, good, toxic
+    FROM case_, turn, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS s)),
+x AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails_it), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND fails_it), 0) AS removed, coalesce(sum(n) FILTER (WHERE gone AND fails_it), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = [letter]), 0) AS unique_fails, coalesce(sum(good) FILTER (WHERE NOT gone AND fails_it), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND fails_it), 0) AS toxic_lost FROM seen GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM x"""
+
+
+def _op13() -> str:
+    """Plain rounds, each a statement of its own: all distances, the nearest, the means."""
+    near = """a{n} AS MATERIALIZED (SELECT vec_id, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, m), lambda p: CAST((p[1] - p[2]) * (p[1] - p[2]) AS BIGINT))), j := j)) AS best FROM k, c{n} GROUP BY row, vec_id, v)"""
+    mean = """s{n} AS (SELECT best.j AS j, i, sum(v[i]) AS total, count(*) AS n FROM a{n}, range(1, 65) r(i) GROUP BY 1, 2),
+c{m} AS MATERIALIZED (SELECT j, coalesce((SELECT list(CAST((s{n}.total - (s{n}.total % s{n}.n + s{n}.n) % s{n}.n) // s{n}.n AS BIGINT) ORDER BY i) FROM s{n} WHERE s{n}.j = c{n}.j), m) AS m FROM c{n})"""
+    rounds = ",\n".join(near.format(n=n) + ",\n" + mean.format(n=n, m=n + 1) for n in range(centroids.ROUNDS))
+    return f"""WITH k AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), v) - 1 AS j, v AS m FROM k WHERE vec_id IS NOT NULL QUALIFY j < 8),
+{rounds},
+{near.format(n=centroids.ROUNDS)}
+SELECT vec_id, CAST(best.j AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.j) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{centroids.ROUNDS} JOIN c{centroids.ROUNDS} ON c{centroids.ROUNDS}.j = best.j"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Operators whose whole result SQL can state; the others are held against plain Python in the tests."""
-    return {"op4_binary_code_links": OP4, "op5_ngram_jaccard_join": OP5, "op9_secret_ownership": _op9(), "op10_systematic_mixing": _op10()}
+    return {"op4_binary_code_links": OP4, "op5_ngram_jaccard_join": OP5, "op9_secret_ownership": _op9(), "op10_systematic_mixing": _op10(), "op12_filter_audit": OP12, "op13_hamerly_clusters": _op13()}
