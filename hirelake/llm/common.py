@@ -147,7 +147,11 @@ def word_hashes(text: str | None, space: np.ndarray = _SPACE, prefixes: tuple[in
 
     With `prefixes`, hashes of the words' first so many bytes follow, and the order says nothing.
     """
-    b = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    return byte_hashes(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8), space, prefixes)
+
+
+def byte_hashes(b: np.ndarray, space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """The same for bytes, as they are; long ones are read in stretches that end at white space."""
     if len(b) <= _CHUNK:
         return _hashes(b, space, prefixes)
     out, at = [], 0

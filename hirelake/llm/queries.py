@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import centroids, embedding_links, filter_audit, fingerprints, jaccard_join, language, mixing, pieces, pii, secrets, sharding, toxicity
+from . import centroids, embedding_links, filter_audit, fingerprints, jaccard_join, language, mixing, pieces, pii, pitman_yor, secrets, sharding, toxicity
 from .common import documents
 
 
@@ -51,6 +51,10 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
