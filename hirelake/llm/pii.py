@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +16,16 @@ from pyspark.sql import functions as F
 from .common import slices
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The exact patterns, in forms that try each run of characters once: an address is sought from its at-sign outwards, an
+#: octet from its first digit, without giving digits back.
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Candidate zones: neighbouring tokens that each hold a digit or an at-sign.
-ZONE = re.compile(r"[^\s]*[0-9@][^\s]*(?:[\x20 ][^\s]*[0-9@][^\s]*)*")
-#: Spelled-out addresses: tokens with [at], (at), [dot] or (dot) open a zone as well, with the tokens beside them.
+#: Spelled-out addresses: tokens with [at], (at), [dot] or (dot) open a zone, with the tokens beside them.
 SPELLED = r"[\[(](?:[aA][tT]|[dD][oO][tT])[\])]"
-WIDE = re.compile(rf"(?:[^\s]+\x20)?[^\s]*{SPELLED}[^\s]*(?:\x20[^\s]+)?")
-_SPELLED = re.compile(SPELLED)
+_SPELLED, _SIGN, _WORD = re.compile(SPELLED), re.compile("[0-9@]"), re.compile(r"\S+")
 TOKEN = re.compile(r"[^\s\x20 ]+")
 EDGE = " \t\n\r()[]{}<>,;:!?\"'*#$%&|."
 LONGEST, TRAIN_ZONES, SURE = 6, 500, 0.9
@@ -37,13 +39,30 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    d = digits.lstrip("0")
+    return len(d) < 3 or len(d) == 3 and d <= "255"
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Mail addresses, leftmost and apart: what stands before an at-sign back to the last match, sign or other character."""
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        start = free + len(text[free:at].rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if start < at else None
+        if found:
+            out.append((start, found.end()))
+        free = found.end() if found else at + 1
+        at = text.find("@", free)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the exact patterns' matches that pass their checks, by start, then kind."""
-    out = []
-    if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out = [(a, 0, b) for a, b in addresses(text)]
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(is_octet(p) for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
@@ -173,15 +192,26 @@ class Lattice:
 
 
 def zones(text: str) -> list[tuple[int, int]]:
-    found = [m.span() for m in ZONE.finditer(text)]
-    if not _SPELLED.search(text):
-        return found
+    """Runs of tokens, one blank apart, that each hold a digit or an at-sign, or a spelled-out sign, or stand beside one."""
+    spelled = bool(_SPELLED.search(text))
     out: list[tuple[int, int]] = []
-    for a, b in sorted(found + [m.span() for m in WIDE.finditer(text)]):
-        if out and (a <= out[-1][1] or a == out[-1][1] + 1 and text[a - 1] == " "):
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+
+    def add(a, b):
+        if out and out[-1][1] + 1 == a and text[a - 1] == " ":
+            out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
+
+    before, drawn = (-2, -2), False
+    for m in _WORD.finditer(text):
+        a, b = m.span()
+        beside = before[1] + 1 == a and text[a - 1] == " "
+        sign = spelled and bool(_SPELLED.search(m[0]))
+        if sign and beside and (not out or out[-1][1] < before[1]):
+            add(*before)
+        if sign or (drawn and beside) or _SIGN.search(m[0]):
+            add(a, b)
+        before, drawn = (a, b), sign
     return out
 
 
@@ -301,11 +331,14 @@ def decode(text: str, a: int, b: int, weights: np.ndarray, stretch: int = 400) -
 def added_spans(text: str, base, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """Segments of the best labelling that no base span touches and whose posterior is at least SURE."""
     out = []
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # how far the first so many spans go
+    far = lambda n: reach[n - 1] if n else 0
     for a, b in zones(text):
-        if b - a < 7 or any(s <= a and b <= e for s, _, e in base):
+        if b - a < 7 or far(bisect_right(starts, a)) >= b:
             continue
         for x, t, y, p in decode(text, a, b, weights):
-            if p >= SURE and not any(s0 < y and e0 > x for s0, _, e0 in base):
+            if p >= SURE and far(bisect_left(starts, y)) <= x:
                 out.append((x, t, y))
     return out
 
