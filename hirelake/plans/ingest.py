@@ -269,7 +269,7 @@ def budget_by_weight(t):
 
 
 @query(
-    "R01 R02 R03 K05",
+    "R03 K05",
     """SELECT user_id, event_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY user_id
     ORDER BY ts DESC, event_id DESC) AS rn FROM event) WHERE rn = 1""",
 )
@@ -277,3 +277,42 @@ def stream_ingest_merge(t):
     from ..streaming.ingest import latest_by_stream
 
     return latest_by_stream(t.spark, t("event").select("user_id", "event_id", "kind", "ts")).select("user_id", "event_id", "kind")
+
+
+@query(
+    "R02 R03",
+    """WITH last AS (SELECT kind, count(*) AS users FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM event) WHERE rn = 1 GROUP BY kind)
+    SELECT e.kind, count(*) AS taken, CAST(sum(e.event_id) AS BIGINT) AS id_sum, coalesce(max(users), 0) AS users, (SELECT count(*) FROM event) AS durable
+    FROM event e LEFT JOIN last ON last.kind = e.kind GROUP BY e.kind""",
+)
+def stream_state_and_ledger(t):
+    """What each micro-batch did is written with its rows, under one list: rows taken by kind, beside the users whose last event is of that kind."""
+    from ..streaming.ingest import ingested
+
+    by_kind = lambda df: df.groupBy("kind").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    sink, state = ingested(t.spark, t("event").select("user_id", "event_id", "kind", "ts"), derive=by_kind)
+    taken = sink.ledger(t.spark, "kind string, n long, ids long").groupBy("kind").agg(F.sum("n").alias("taken"), F.sum("ids").alias("id_sum"))
+    users = state.groupBy("kind").agg(F.count("*").alias("users"))
+    durable = F.lit(sink.stands(t.spark, sink.last)["durable"]).cast("long")
+    return taken.join(users, "kind", "left").select("kind", "taken", "id_sum", F.coalesce("users", F.lit(0)).alias("users"), durable.alias("durable"))
+
+
+@query(
+    "R01",
+    """WITH RECURSIVE e AS (SELECT kind, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY kind ORDER BY ts, event_id) AS rn FROM event),
+    s AS (SELECT kind, event_id, us, rn, us AS opened, CAST(0 AS BIGINT) AS number, 1 AS held, FALSE AS closes FROM e WHERE rn = 1
+    UNION ALL SELECT e.kind, e.event_id, e.us, e.rn, CASE WHEN s.closes THEN s.us ELSE s.opened END, s.number + CAST(s.closes AS BIGINT), CASE WHEN s.closes THEN 1 ELSE s.held + 1 END,
+    CASE WHEN s.closes THEN 1 ELSE s.held + 1 END >= 50 OR e.us - CASE WHEN s.closes THEN s.us ELSE s.opened END >= 64800000000
+    FROM s JOIN e ON e.kind = s.kind AND e.rn = s.rn + 1)
+    SELECT kind, number, CASE WHEN max(held) >= 50 THEN 'full' WHEN bool_or(closes) THEN 'stale' ELSE 'end' END AS reason, count(*) AS n, arg_min(event_id, rn) AS first_id,
+    arg_max(event_id, rn) AS last_id, CAST(sum(event_id) AS BIGINT) AS id_sum, max(rn) AS durable FROM s GROUP BY kind, number""",
+)
+def write_batches_by_count_or_age(t):
+    """Batches of 50 events a source (here the kind), or of 18 hours, from keyed state and timers."""
+    from ..streaming.batching import write_batches
+
+    b = write_batches(t("event").select(F.col("event_id").alias("id"), "ts", "kind"), F.col("kind"), most=50, seconds=64_800)
+    return b.select(
+        F.col("key").alias("kind"), "number", "reason", F.size("ids").cast("long").alias("n"), F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"),
+        F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), "durable",
+    )

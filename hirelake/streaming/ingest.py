@@ -5,77 +5,121 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merging import last_in_batch
-
 
 class SnapshotSink:
-    """foreachBatch target: the latest row of each key, in hash parts of which a micro-batch rewrites those that it touches.
-
-    Batch n writes its parts under `batch=n`, then a list of where each part now stands under `parts=n`, both from the
-    list of batch n - 1; a replayed batch overwrites its own folders, so the result holds every row once whatever is
-    retried. The offsets are committed by the checkpoint only after the write. Folders that no list of the last two
-    batches names are deleted.
+    """foreachBatch target: the latest row of each key, kept as a log of runs, with a ledger that is written along.
+
+    Batch n writes its own latest rows as one run, and `derive` of them (where given) as one part of the ledger. Runs of
+    one size class, a class being `fan` times the one before, are merged once there are `fan` of them, so a row is
+    rewritten once a class and what a batch writes follows the batch, not the state; a state of N bytes has some
+    fan * log(N) runs, each in as many files as its size asks for. Reading takes the latest row of each key over all
+    runs: by the order column, then by batch.
+
+    The list `runs=n` is written last and names the runs and the ledger together, so both appear at once or not at all,
+    and `durable` in it, the rows taken in so far, never runs ahead of them. Batch n starts from the list of batch
+    n - 1, so a replayed batch overwrites its own files and counts once; the stream's checkpoint commits after the list.
+    Folders that no list of the last two batches names are deleted.
     """
 
-    def __init__(self, folder: str, keys: list[str], order: str, parts: int = 16):
-        self.folder, self.keys, self.order, self.parts = folder, keys, order, parts
+    def __init__(self, folder: str, keys: list[str], order: str, fan: int = 4, unit: int = 1 << 14, derive: Callable[[DataFrame], DataFrame] | None = None):
+        self.folder, self.keys, self.order, self.fan, self.unit, self.derive = folder, keys, order, fan, unit, derive
         self.last, self.known = None, {}
 
-    def _place(self, spark: SparkSession, number: int):
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/parts={number}")
+    def _place(self, spark: SparkSession, name: str):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
-    def _list(self, spark: SparkSession, number: int, stands: dict[int, int]) -> None:
-        fs, path = self._place(spark, number)
+    def _save(self, spark: SparkSession, number: int, now: dict) -> None:
+        fs, path = self._place(spark, f"runs={number}")
         out = fs.create(path, True)
-        out.write(bytearray(json.dumps(sorted(stands.items())).encode()))
+        out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        self.known[number] = stands
+        self.known = {n: x for n, x in self.known.items() if n == number - 1} | {number: now}
 
-    def _stands(self, spark: SparkSession, number: int) -> dict[int, int]:
-        """Part number -> the batch that wrote it last: as many numbers as there are parts. Kept, or read after a restart."""
+    def stands(self, spark: SparkSession, number: int) -> dict:
+        """The list of a batch: runs and ledger as [name, bytes], rows taken in, bytes written. Kept, or read after a restart."""
         if number < 0:
-            return {}
+            return {"runs": [], "ledger": [], "durable": 0, "written": 0}
         if number not in self.known:
-            text = "".join(r[0] for r in spark.read.text(f"{self.folder}/parts={number}").select("value").collect())
-            self.known[number] = {p: b for p, b in json.loads(text)}
+            self.known[number] = json.loads("".join(r[0] for r in spark.read.text(f"{self.folder}/runs={number}").collect()))
         return self.known[number]
 
-    def _read(self, spark: SparkSession, schema, stands: dict[int, int]) -> DataFrame | None:
-        paths = [f"{self.folder}/batch={b}/part={p}" for p, b in sorted(stands.items())]
-        return spark.read.schema(schema).parquet(*paths) if paths else None
+    def _write(self, spark: SparkSession, rows: DataFrame, name: str) -> list:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        fs, path = self._place(spark, name)
+        return [name, fs.getContentSummary(path).getLength()]
+
+    def _read(self, spark: SparkSession, schema, parts: list) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[f"{self.folder}/{name}" for name, _ in parts])
+
+    def _latest(self, rows: DataFrame) -> DataFrame:
+        best = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in self.keys]), F.struct(self.order, "in_batch")).alias("best"))
+        return best.select(*[c if c in self.keys else F.col("best").getField(c).alias(c) for c in rows.columns])
+
+    def _class(self, size: int) -> int:
+        n = 0
+        while size > self.unit:
+            size, n = size / self.fan, n + 1
+        return n
+
+    def _merged(self, spark: SparkSession, schema, parts: list, name: str, merge: Callable[[DataFrame], DataFrame]) -> tuple[list, int]:
+        """The parts with each full size class turned into one part, and the bytes that this wrote."""
+        written, at = 0, 0
+        while True:
+            by: dict[int, list] = {}
+            for p in parts:
+                by.setdefault(self._class(p[1]), []).append(p)
+            full = next((c for c in sorted(by) if len(by[c]) >= self.fan), None)
+            if full is None:
+                return parts, written
+            new = self._write(spark, merge(self._read(spark, schema, by[full])), f"{name}-{at}")
+            parts, written, at = [p for p in parts if p not in by[full]] + [new], written + new[1], at + 1
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        stands = self._stands(spark, number - 1)
-        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
-        touched = [r["part"] for r in batch.select(part.alias("part")).distinct().collect()]
-        held = self._read(spark, batch.schema, {p: stands[p] for p in touched if p in stands})
-        rows = batch if held is None else batch.unionByName(held)
-        latest = last_in_batch(rows, self.keys, self.order).withColumn("part", part)
-        latest.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/batch={number}")
-        now = stands | {p: number for p in touched}
-        self._list(spark, number, now)
-        self._sweep(spark, number, set(now.values()) | set(stands.values()))
-        self.known = {n: parts for n, parts in self.known.items() if n >= number - 1}
+        before = self.stands(spark, number - 1)
+        batch = batch.persist()
+        try:
+            run = self._write(spark, self._latest(batch.withColumn("in_batch", F.lit(number).cast("long"))), f"run={number}")
+            schema = batch.withColumn("in_batch", F.lit(0).cast("long")).schema
+            runs, written = self._merged(spark, schema, before["runs"] + [run], f"run={number}", self._latest)
+            ledger, written = before["ledger"], written + run[1]
+            if self.derive is not None:
+                derived = self.derive(batch)
+                part = self._write(spark, derived, f"ledger={number}")
+                ledger, more = self._merged(spark, derived.schema, ledger + [part], f"ledger={number}", lambda df: df)
+                written += part[1] + more
+            self._save(spark, number, {"runs": runs, "ledger": ledger, "durable": before["durable"] + batch.count(), "written": written})
+        finally:
+            batch.unpersist()
+        self._sweep(spark, number, {n for n, _ in runs + ledger + before["runs"] + before["ledger"]})
         self.last = number
 
-    def _sweep(self, spark: SparkSession, number: int, named: set[int]) -> None:
-        root = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    def _sweep(self, spark: SparkSession, number: int, named: set[str]) -> None:
+        fs, root = self._place(spark, "")
         for entry in fs.listStatus(root):
-            kind, _, n = entry.getPath().getName().partition("=")
-            if (kind == "batch" and int(n) not in named) or (kind == "parts" and int(n) < number - 1):
+            name = entry.getPath().getName()
+            kind, _, n = name.partition("=")
+            if (kind in ("run", "ledger") and name not in named) or (kind == "runs" and int(n) < number - 1):
                 fs.delete(entry.getPath(), True)
 
     def state(self, spark: SparkSession, schema) -> DataFrame:
-        """The state after the last batch."""
-        found = self._read(spark, schema, self._stands(spark, self.last)) if self.last is not None else None
-        return spark.createDataFrame([], schema) if found is None else found
+        """The latest row of each key after the last batch."""
+        runs = self.stands(spark, self.last)["runs"] if self.last is not None else []
+        if not runs:
+            return spark.createDataFrame([], schema)
+        stored = schema if "in_batch" in schema.fieldNames() else schema.add("in_batch", "long")
+        return self._latest(self._read(spark, stored, runs)).drop("in_batch")
+
+    def ledger(self, spark: SparkSession, schema) -> DataFrame:
+        """All that `derive` has made of the batches, each once."""
+        parts = self.stands(spark, self.last)["ledger"] if self.last is not None else []
+        return self._read(spark, schema, parts) if parts else spark.createDataFrame([], schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -91,16 +135,22 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def latest_by_stream(spark: SparkSession, events: DataFrame, files: int = 4) -> DataFrame:
-    """The last event of each user, by way of a file stream read two files at a time until it is drained."""
+def ingested(spark: SparkSession, events: DataFrame, files: int = 4, derive: Callable[[DataFrame], DataFrame] | None = None) -> tuple[SnapshotSink, DataFrame]:
+    """A sink that has taken in (user_id, event_id, ts, ...) by way of a file stream read two files at a time until it is
+    drained, and the last event of each user.
+    """
     root = shared_folder(spark)
     events.withColumn("at", F.struct("ts", "event_id")).repartition(files).write.parquet(f"{root}/in")
-    sink = SnapshotSink(f"{root}/out", ["user_id"], "at", parts=4)
+    sink = SnapshotSink(f"{root}/out", ["user_id"], "at", derive=derive)
     schema = spark.read.parquet(f"{root}/in").schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
     run = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return sink.state(spark, schema)
+    return sink, sink.state(spark, schema)
+
+
+def latest_by_stream(spark: SparkSession, events: DataFrame, files: int = 4) -> DataFrame:
+    return ingested(spark, events, files)[1]
 
 
 def daily_quota(events: DataFrame, key: str = "kind", at: str = "ts", late: str = "2 days") -> DataFrame:

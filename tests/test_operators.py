@@ -266,21 +266,3 @@ def test_stream_equals_batch(spark):
     rows = [(u, u * 100 + i, "k", i) for u in range(5) for i in range(8)]
     ev = spark.createDataFrame(rows, "user_id long, event_id long, kind string, ts long")
     assert {r.user_id: r.event_id for r in latest_by_stream(spark, ev).collect()} == {u: u * 100 + 7 for u in range(5)}
-
-
-def test_stream_parts_and_replay(spark, tmp_path):
-    from hirelake.streaming.ingest import SnapshotSink
-
-    sink = SnapshotSink(f"file://{tmp_path}/state", ["k"], "v", parts=4)
-    frame = lambda rows: spark.createDataFrame(rows, "k long, v long")
-    batches = [[(k, 0) for k in range(20)], [(3, 5), (4, 1)], [(3, 4), (30, 9)], [(7, 7)]]
-    for n, rows in enumerate(batches):
-        sink(frame(rows), n)
-        if n == 2:
-            sink(frame(rows), n)  # replayed
-    want = {k: 0 for k in range(20)} | {3: 5, 4: 1, 30: 9, 7: 7}
-    assert {r.k: r.v for r in sink.state(spark, frame([]).schema).collect()} == want
-    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("parts=")]) == 2
-    again = SnapshotSink(f"file://{tmp_path}/state", ["k"], "v", parts=4)  # restarted
-    again(frame([(1, 1)]), 4)
-    assert {r.k: r.v for r in again.state(spark, frame([]).schema).collect()} == want | {1: 1}
