@@ -80,6 +80,13 @@ def join_spread(df: DataFrame, small: DataFrame, keys: list[str], spread: Column
     return df.join(parts, [*keys, salt], how).drop(salt)
 
 
+def one_of_each(df: DataFrame, key: str) -> DataFrame:
+    """Of the rows that share a key, the one of greatest hash over its columns (maps and variants aside), so that reruns agree."""
+    told = [c for c, kind in df.dtypes if c != key and "map<" not in kind and "variant" not in kind]
+    best = df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), F.xxhash64(*told)).alias("best"))
+    return best.select(*[c if c == key else F.col("best").getField(c).alias(c) for c in df.columns])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, digest, discard, join_spread, mix, runs, shingles, slices, unused, word_hashes
+from .common import cut, digest, discard, join_spread, mix, one_of_each, runs, shingles, slices, unused, word_hashes
 from .graph import components
 
 HASHES, ROWS, BANDS = 64, 3, 21
@@ -268,10 +268,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs less all but one of each class of near duplicates; the columns stay as they are.
 
-    Of the class's rows with the kept id, one with the text of least hash stays. Further columns may have any name.
+    Of the class's rows with the kept id, one with the text of least hash stays; where rows of one id and text differ in
+    other columns, that of greatest hash over all columns. Further columns may have any name.
     """
-    rid, text = unused(docs, "rid_", "text_")
+    rid, text, row = unused(docs, "rid_", "text_", "row_")
     kept = near_duplicates(docs, **options).filter("kept").groupBy("label").agg(F.min(F.struct("rid", "hash")).alias("row"))
     chosen = kept.select(F.col("row.rid").alias(rid), F.col("row.hash").alias(text)).distinct()
     docs = docs.withColumn(rid, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn(text, F.xxhash64("text"))
-    return docs.join(chosen, [rid, text], "left_semi").dropDuplicates([rid, text]).drop(rid, text)
+    left = docs.join(chosen, [rid, text], "left_semi").withColumn(row, F.struct(rid, text)).drop(rid, text)
+    return one_of_each(left, row).drop(row)

@@ -25,6 +25,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Spelled-out addresses: tokens with [at], (at), [dot] or (dot) open a zone, with the tokens beside them.
 SPELLED = r"[\[(](?:[aA][tT]|[dD][oO][tT])[\])]"
+#: Tokens with a digit or an at-sign, one blank apart; a token is tried once, from its start.
+ZONE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+")
 _SPELLED, _SIGN, _WORD = re.compile(SPELLED), re.compile("[0-9@]"), re.compile(r"\S+")
 TOKEN = re.compile(r"[^\s\x20 ]+")
 EDGE = " \t\n\r()[]{}<>,;:!?\"'*#$%&|."
@@ -193,7 +195,8 @@ class Lattice:
 
 def zones(text: str) -> list[tuple[int, int]]:
     """Runs of tokens, one blank apart, that each hold a digit or an at-sign, or a spelled-out sign, or stand beside one."""
-    spelled = bool(_SPELLED.search(text))
+    if not _SPELLED.search(text):
+        return [m.span() for m in ZONE.finditer(text)]
     out: list[tuple[int, int]] = []
 
     def add(a, b):
@@ -206,7 +209,7 @@ def zones(text: str) -> list[tuple[int, int]]:
     for m in _WORD.finditer(text):
         a, b = m.span()
         beside = before[1] + 1 == a and text[a - 1] == " "
-        sign = spelled and bool(_SPELLED.search(m[0]))
+        sign = bool(_SPELLED.search(m[0]))
         if sign and beside and (not out or out[-1][1] < before[1]):
             add(*before)
         if sign or (drawn and beside) or _SIGN.search(m[0]):

@@ -109,7 +109,7 @@ found AS ({found}),
 each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found),
 span AS (SELECT doc_id, owner, t, rank, kind, v[i] AS value, length(m[i]) AS n, CAST(coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0)
     + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS s FROM each WHERE length(v[i]) >= least),
-own AS (SELECT value, count(DISTINCT owner) <= {secrets.MOST_OWNERS} AND count(DISTINCT (owner, t)) <= {secrets.MOST_REPOSITORIES}
+own AS (SELECT value, (count(DISTINCT owner) = 1 OR count(DISTINCT owner) <= {secrets.MOST_OWNERS} AND count(DISTINCT (owner, t)) <= {secrets.MOST_REPOSITORIES})
     AND NOT regexp_matches(value, '{secrets.PLACEHOLDER}') AND len(list_distinct(string_split(value, ''))) >= {secrets.LEAST_CHARACTERS} AS live FROM span GROUP BY value),
 judged AS (SELECT span.*, live FROM span JOIN own ON span.value = own.value),
 x AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE {p}) AS {n}" for n, p in names.items())},
@@ -118,8 +118,7 @@ SELECT d.doc_id, {", ".join(count(n, p) for n, p in names.items())}, sha256(coal
 
 
 def _op10() -> str:
-    """With up to 1.6 million documents the ranks' hash buckets number 16, as here."""
-    sub = _HEX8.format("CAST(doc_id AS VARCHAR)") + " % 16"
+    place = _HEX8.format("CAST(doc_id AS VARCHAR)")
     u = _HEX8.format("'mix:' || CASE WHEN source IS NULL THEN 'null' ELSE 's' || source END") + " / 4294967296.0::DOUBLE"
     return f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
@@ -128,7 +127,7 @@ o AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0)) /
     WINDOW before AS (ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT coalesce(max(level), 1e300) FROM o WHERE cap / weight > level)) AS target FROM o),
 k AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS r, {u.replace("source", "d.source")} AS u,
-    row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1) * 8), {sub}, size, doc_id) - 1 AS rank FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    row_number() OVER (PARTITION BY d.source ORDER BY size, {place}, doc_id) - 1 AS rank FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * (floor((rank + 1) * r + u) - floor(rank * r + u)) AS BIGINT) AS taken,
     CAST(floor((rank + 1) * r + u) - floor(rank * r + u) AS BIGINT) AS copies FROM k"""
 

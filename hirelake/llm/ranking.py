@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 
-def sub_bucket(key: Column, n_rows: int, per_bucket: int = 100_000, least: int = 16) -> Column:
-    """A hash bucket number, from the md5 of the key's text so that other engines can repeat it."""
-    n = max(least, -(-n_rows // per_bucket))
-    return F.pmod(F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n))
+def hash32(key: Column) -> Column:
+    """A number of 32 bits, from the md5 of the key's text so that other engines can repeat it."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def leading(hash32: Column, n_rows: int, per_task: int = 100_000) -> Column:
+    """As many leading bits of a 32-bit hash as there are rows to deal: a tier that keeps the order of the hash, whatever the rows number."""
+    return F.shiftright(hash32, 32 - min(32, max(4, (n_rows // per_task).bit_length())))
 
 
 def rank_in(df: DataFrame, group: list[str], tiers: list[str], order: list[Column], out: str = "rank") -> DataFrame:

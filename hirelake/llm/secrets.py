@@ -24,7 +24,7 @@ ADDED = [
     ("privatekey", _HEAD + _BODY, 1, 27),
 ]
 KINDS = [k for k, *_ in BASE + ADDED]
-#: A value is an example where more sources or more of their texts hold it, whatever it looks like.
+#: A value is an example where more sources hold it, or two with more texts than these; one owner's key stays live in however many of its texts.
 MOST_OWNERS, MOST_REPOSITORIES = 2, 8
 #: Values that say of themselves that they are none, and values of fewer distinct characters.
 PLACEHOLDER, LEAST_CHARACTERS = r"(?i)example|sample|placeholder|dummy|changeme|change_me|redacted|your[-_.]|x{4}|(?:0123|1234)5678", 2
@@ -87,14 +87,15 @@ def ownership(found: DataFrame) -> DataFrame:
     held = found.filter(F.size("found") > 0).select("owner", "tie", F.explode("found").alias("f"))
     held = held.select(F.col("f.value").alias("value"), F.coalesce(F.concat(F.lit("s"), "owner"), F.lit("")).alias("owner"), "tie").distinct()
     each = held.groupBy("value", "owner").agg(F.count("*").alias("n")).groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    return each.withColumn("own", (F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES))
+    few = (F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES)
+    return each.withColumn("own", (F.col("owners") == 1) | few)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, n_added, tie, judged.
 
-    A value is live where at most MOST_OWNERS sources and MOST_REPOSITORIES of their distinct texts hold it and it does
-    not look like a placeholder; all others are examples. Base matches always stay; a wider candidate (a prefixed key, a
+    A value is live where one source holds it, in any number of texts, or at most MOST_OWNERS in MOST_REPOSITORIES
+    distinct texts, and it does not look like a placeholder; all others are examples. Base matches always stay; a wider candidate (a prefixed key, a
     signed token, a private key's whole block) is added only where its value is live. n_live and n_example count the
     spans by that verdict. `judged` lists the spans with it.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard
-from .ranking import rank_in, sub_bucket
+from .ranking import rank_in
 
 #: Bits of a position: the value's place on its axis, a hash that orders equal values, and a hash that parts repeated rows.
 VALUE_BITS, HASH_BITS, COPY_BITS = 20, 32, 10
@@ -163,7 +163,8 @@ def shards(docs: DataFrame, n_shards: int | None = 40, target_bytes: int | None
     split like any other, and so are repeated rows. The boxes are split until each is one shard (`n_shards`, or as many
     as bring the mean to `target_bytes`). The law is `bytes`: each split is within `slack` of its quantile or within one
     document of it. size is the text's bytes (null: none) plus 16; text_crc32 is 0 for a null text. slot counts from 0
-    without gaps in each shard. grown_shard is null, as the law is not `key`. Nulls of any column take the first place of
+    without gaps in each shard, and its order is dealt by a hash of the whole place, row included, so that no task sorts
+    all rows of one id. grown_shard is null, as the law is not `key`. Nulls of any column take the first place of
     their axis; repeated rows each get a slot; an empty table gives an empty result; further columns are ignored.
 
     The open boxes are a small broadcast table and each row carries the box it is in, written once a level to the shared
@@ -174,6 +175,6 @@ def shards(docs: DataFrame, n_shards: int | None = 40, target_bytes: int | None
         n_shards = max(1, round(weight / target_bytes))
     if n:
         rows = leaves(rows, n_shards, slack)
-    placed = rows.select("doc_id", "size", "text_crc32", F.col("leaf").alias("shard"), sub_bucket(F.col("doc_id"), n, least=1).alias("sub"))
-    out = rank_in(placed, ["shard"], ["sub"], [F.col("doc_id").asc_nulls_first(), F.col("text_crc32")], "slot")
+    placed = rows.select("doc_id", "size", "text_crc32", F.col("leaf").alias("shard"), F.pmod(F.xxhash64("a"), F.lit(-(-n // 100_000) or 1)).alias("sub"), F.get("a", F.lit(0)).alias("at"))
+    out = rank_in(placed, ["shard"], ["sub"], [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("at")], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

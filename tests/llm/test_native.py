@@ -266,3 +266,47 @@ def test_mixing_awkward(spark):
     assert len(got) == 9 and all(r.taken <= 3 * r["size"] for r in got)
     assert mixing.copies(empty(spark)).collect() == []
     assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_mixing_order_does_not_depend_on_how_many_rows_there_are(spark, monkeypatch):
+    docs = read(spark, "documents")
+    few = sorted(map(tuple, mixing.copies(docs).collect()), key=repr)
+    plain = mixing.leading
+    monkeypatch.setattr(mixing, "leading", lambda place, n: plain(place, 10**13))
+    assert sorted(map(tuple, mixing.copies(docs).collect()), key=repr) == few
+
+
+def test_mixing_parts_the_rows_of_one_id(spark, monkeypatch):
+    """An id with one text on half of all rows: its rows are laid by row, so that many tasks can sort them."""
+    docs = spark.createDataFrame([(7, "a b c", "en", "s", 5)] * 600 + [(i, "a b c " * (i % 5), "en", f"s{i % 3}", 5) for i in range(100, 700)], DOCS)
+    seen = {}
+    plain_rank, plain_leading = mixing.rank_in, mixing.leading
+
+    def rank(df, group, tiers, order):
+        seen["cells"] = [r["count"] for r in df.filter("doc_id = 7").groupBy(*group, *tiers).count().collect()]
+        return plain_rank(df, group, tiers, order)
+
+    monkeypatch.setattr(mixing, "MANY", 100)
+    monkeypatch.setattr(mixing, "rank_in", rank)
+    monkeypatch.setattr(mixing, "leading", lambda place, n: plain_leading(place, n, per_task=40))
+    got = mixing.copies(docs).collect()
+    assert len(got) == 1200 and sum(seen["cells"]) == 600 and max(seen["cells"]) < 120
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3 * max(r["size"] for r in own)
+
+
+def test_mixing_repeated_rows_with_other_columns_agree(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i % 20, "a b c", "en", f"s{i % 2}", i) for i in range(400)], DOCS)
+    once = sorted(map(tuple, mixing.mixed(docs).collect()))
+    assert once and once == sorted(map(tuple, mixing.mixed(docs.repartition(7).orderBy(F.rand(3))).collect()))
+
+
+def test_one_owners_secret_stays_live_in_many_texts(spark):
+    key = "ghp_" + "Zx9Kq2Lm7Pv4Rt1Yw8Bn5"
+    rows = [(i, f"text {i} of one owner: {key}", "en", "mine", 9) for i in range(20)]
+    rows += [(100 + i, f"text {i} of everyone: ghp_Aa1Bb2Cc3Dd4Ee5Ff6Gg7", "en", f"s{i}", 9) for i in range(20)]
+    got = {r.doc_id: (r.n_live, r.n_added) for r in secrets.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[i] == (1, 1) for i in range(20)) and all(got[100 + i] == (0, 0) for i in range(20))
