@@ -6,27 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..catalog import query
-from ..sources import feeds as S
-
-
-@query(
-    "S05 S06 S07 S08",
-    """SELECT id, CASE id % 5 WHEN 3 THEN 'gone' WHEN 4 THEN 'markup_error' ELSE 'ok' END AS status, CASE WHEN id % 5 < 3 THEN
-    'posting ' || CAST(id AS VARCHAR) END AS title, CASE WHEN id % 5 < 3 THEN CAST(seniority AS DOUBLE) END AS pay_from,
-    CASE WHEN id % 5 < 3 THEN is_active ELSE FALSE END AS live, CAST(CASE id % 5 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END
-    AS BIGINT) AS n_skills FROM posting""",
-)
-def page_states(t):
-    """Five page bodies: the new shape with a wrapped list, the old one with a scalar, one without skills, an empty view, no state."""
-    p = t("posting")
-    name = F.concat(F.lit("posting "), F.col("id").cast("string"))
-    core = lambda skills: F.struct(F.col("id"), name.alias("name"), F.struct(F.col("seniority").cast("double").alias("from"), F.lit("KZT").alias("cur")).alias("pay"), F.col("is_active").alias("active"), F.lit(skills).cast("string").alias("skills"))
-    new = F.to_json(F.struct(F.struct(core('{"k":["a","b"]}').alias("posting")).alias("full")))
-    old, bare = F.to_json(F.struct(core("a").alias("view"))), F.to_json(F.struct(core(None).alias("view")))
-    k = F.col("id") % 5
-    state = F.when(k == 0, new).when(k == 1, old).when(k == 2, bare).when(k == 3, '{"view":{},"errorCode":404}')
-    body = F.when(k == 4, "<html>moved</html>").otherwise(F.concat(F.lit("<html><script>STATE="), state, F.lit(";</script>")))
-    return S.postings(p.select("id", body.alias("body"))).select("id", "status", "title", "pay_from", "live", F.size("skills").cast("long").alias("n_skills"))
 
 
 @query(
@@ -83,17 +62,6 @@ def column_bands(t):
     return bands.groupBy("user_id").agg(F.count("*").alias("bands"))
 
 
-@query("S01 S02", """SELECT 'feed_' || CAST(o_orderkey % 3 AS VARCHAR) AS source_slug, CAST(o_orderkey AS VARCHAR) AS external_id, CAST(min(o_orderkey // 40) AS BIGINT) AS page FROM orders GROUP BY o_orderkey""")
-def feed_pages_once(t):
-    """Pages of three feeds, each a JSON document whose neighbours overlap: every (source, posting) once, at its first page."""
-    o = t("orders").select(F.col("o_orderkey").alias("k"))
-    job = F.struct(F.concat(F.lit("feed_"), (F.col("k") % 3).cast("string")).alias("source_slug"), F.col("k").cast("string").alias("external_id"))
-    pages = F.array_distinct(F.array(F.floor(F.col("k") / 40), F.floor((F.col("k") + 2) / 40)))
-    body = o.select(job.alias("job"), F.explode(pages).alias("page")).groupBy("page").agg(F.to_json(F.struct(F.collect_list("job").alias("jobs"))).alias("body"))
-    jobs = body.select("page", F.explode(F.from_json("body", "jobs array<struct<source_slug:string,external_id:string>>")["jobs"]).alias("j"))
-    return jobs.groupBy("j.source_slug", "j.external_id").agg(F.min("page").alias("page"))
-
-
 @query("J17", """SELECT posting_id, count(DISTINCT skill) FILTER (WHERE covered) AS covered, count(DISTINCT skill) FILTER (WHERE NOT covered AND elsewhere) AS elsewhere, count(DISTINCT skill) FILTER (WHERE NOT covered AND NOT elsewhere) AS absent
     FROM (SELECT posting_id, skill, skill IN (SELECT p_name FROM part WHERE p_size < 3) AS covered, skill IN (SELECT p_name FROM part WHERE p_size = 7) AS elsewhere FROM requirement) GROUP BY posting_id""")
 def evidence_split(t):
@@ -112,17 +80,6 @@ def outcome_counts(t):
     return t("event").groupBy("user_id").agg(F.count_if(sent).alias("sent"), n(F.col("turn") > 2).alias("answered"), n(F.col("turn") > 4).alias("positive"), n(F.col("event_id") % 6 == 0).alias("text_unknown"))
 
 
-@query(
-    "F67",
-    """SELECT 'k' AS key, count(*) AS n, CAST(sum(length(json_extract_string(props, '$.k'))) AS BIGINT) AS size
-    FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""",
-)
-def state_census(t):
-    """Which top-level keys the payloads hold, how often and how large."""
-    pairs = t("events").select(F.explode(F.from_json("props", "map<string,string>")).alias("key", "v"))
-    return pairs.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("v")).alias("size"))
-
-
 @query(
     "F53",
     """SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(CAST(CAST(x AS DOUBLE) * 1.0000000001 AS FLOAT) AS

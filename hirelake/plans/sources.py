@@ -196,17 +196,3 @@ def keys_recomputed(t):
 def json_number(t):
     k = F.get_json_object("props", "$.k").cast("decimal(12,2)")
     return t("events").filter(k >= 50).select("event_id", k.cast("double").alias("k"))
-
-
-
-@query(
-    "S16",
-    """SELECT n_name, CASE WHEN n_nationkey % 5 = 0 THEN 'denied' WHEN n_nationkey % 3 = 0 THEN 'not enabled' WHEN n_nationkey
-    % 2 = 0 AND n_nationkey % 4 <> 0 THEN 'no key' ELSE 'runs' END AS state
-    FROM nation""",
-)
-def registry_states(t):
-    """Why a source is idle: denied, not enabled, or without the key that it needs; the first reason counts."""
-    k = F.col("n_nationkey")
-    state = F.when(k % 5 == 0, "denied").when(k % 3 == 0, "not enabled").when((k % 2 == 0) & ~(k % 4 == 0), "no key").otherwise("runs")
-    return t("nation").select("n_name", state.alias("state"))
