@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, runs, slices
 
 BAR = "▁"
-GIANT, CHUNK, FAN = 32_768, 8_192, 64
+GIANT, CHUNK, FAN = 4_096, 2_048, 64
 #: Short words whose ids are remembered in a process.
 KNOWN = 300_000
 _MODELS: dict[bytes, Pieces] = {}
@@ -492,17 +492,18 @@ def encode(docs: DataFrame, text: str = "text", proto: bytes | None = None, gian
     Texts of at most `giant` characters are encoded whole by the library. A longer one is split into chunks of `chunk`
     characters wherever that falls, and encoded by the scan that the module describes.
 
-    A null or empty text has no ids. Repeated rows each get a row; an empty table gives an empty result.
+    A null or empty text has no ids. Repeated rows each get a row; an empty table gives an empty result. Further columns
+    may have any name; one called ids gives way to the result.
     """
     proto = proto or model_bytes()
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
-    slim = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
-    short = slim.filter(F.length("_text") <= giant).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("_text").alias("text"))
+    keep = [c for c in docs.columns if c not in (text, "ids")] if keep is None else keep
+    whole = F.coalesce(F.col(text), F.lit(""))
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    short = docs.filter(F.length(whole) <= giant).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], whole.alias("text"))
     short = short.mapInArrow(_whole(proto), ", ".join([*(f"k{i} {types[c]}" for i, c in enumerate(keep)), "ids array<int>"]))
     short = short.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "ids")
-    long = slim.filter(F.length("_text") > giant)
-    long = cut(long.select(F.struct(*keep).alias("kept") if keep else F.lit(0).alias("kept"), F.col("_text").alias("text"), F.monotonically_increasing_id().alias("rid")), "giants")
+    long = docs.filter(F.length(whole) > giant)
+    long = cut(long.select(F.struct(*keep).alias("kept") if keep else F.lit(0).alias("kept"), whole.alias("text"), F.monotonically_increasing_id().alias("rid")), "giants")
     if long.isEmpty():
         return short
     kind = "rid long, i long, n long, seen string, a int, b int"

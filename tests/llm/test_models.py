@@ -452,8 +452,9 @@ def test_swapping_identities_moves_no_score():
     other = [toxicity.words(toxicity.swapped(t)).tolist() for t in texts]
     vocab = np.unique(np.concatenate([np.array(w, np.int32) for w in own]))
     gap = lambda m: abs(m.score("the women are here today") - m.score("the men are here today"))
-    plain = toxicity.learn(own, other, np.array(y), vocab, fairness=0.0)
-    fair = toxicity.learn(own, other, np.array(y), vocab, fairness=10.0)
+    pairs = list(zip(own, other, strict=True))
+    plain = toxicity.learn(own, pairs, np.array(y), vocab, fairness=0.0)
+    fair = toxicity.learn(own, pairs, np.array(y), vocab, fairness=10.0)
     assert gap(plain) > 0.1 > 0.02 > gap(fair)
     assert fair.score("the men are awful today") > 0.7
 
@@ -475,7 +476,9 @@ def test_toxicity_against_the_plain_objective():
     own = [sorted(rng.choice(vocabulary, rng.integers(1, 6), replace=False).tolist()) for _ in range(n)]
     other = [sorted({*(x for x in r if x != 100), 101}) if 100 in r else None for r in own]
     y = np.array([float(rng.random() < (0.7 if 103 in r or 100 in r else 0.1)) for r in own])
-    m = toxicity.learn(own, other, y, vocabulary, fairness, decay, rounds=4000, balance=balance)
+    pairs = [None if s is None else (r, s) for r, s in zip(own, other, strict=True)]
+    m = toxicity.learn(own, pairs, y, vocabulary, fairness, decay, rounds=4000, balance=balance)
+    assert m.pairs == m.active == sum(s is not None for s in other)
     heavy = np.where(y > 0, ((1 - y.mean()) / y.mean()) ** balance, 1.0)
     heavy = heavy / heavy.mean()
 
@@ -494,7 +497,7 @@ def test_toxicity_against_the_plain_objective():
             else:
                 bias += h
             assert objective(w, bias) >= at - 1e-7, j
-    free = toxicity.learn(own, other, y, vocabulary, 0.0, decay, rounds=4000, balance=balance)
+    free = toxicity.learn(own, pairs, y, vocabulary, 0.0, decay, rounds=4000, balance=balance)
     gap = lambda x: abs(x.weights[0] - x.weights[1])
     assert gap(m) < 0.5 * gap(free)
 
@@ -513,6 +516,30 @@ def test_counterfactual_penalty_on_real_rows(spark):
     assert change[1.0] < 0.5 * change[0.0], change
 
 
+def test_the_penalty_acts_on_the_given_table(spark):
+    """No document names a group: pairs come from sentences with a slot, and the scores of neutral mentions are held together."""
+    docs, labels = read(spark, "documents", "/root/testdata/sf0.1"), read(spark, "labels", "/root/testdata/sf0.1")
+    model = {f: toxicity.fit(docs, labels, fairness=f) for f in (0.0, 1.0)}
+    assert model[1.0].pairs > 1000 and model[1.0].active > 100
+    assert (model[0.0].vocabulary == model[1.0].vocabulary).all() and not np.allclose(model[0.0].weights, model[1.0].weights)
+    moved = {f: [] for f in model}
+    for r in docs.filter("doc_id % 40 = 7").collect():
+        pair = toxicity.named(r.text)
+        if pair:
+            for f, m in model.items():
+                moved[f].append(abs(m.score(pair[0]) - m.score(pair[1])))
+    assert sum(moved[1.0]) < 0.5 * sum(moved[0.0])
+
+
+def test_named_sentences_differ_in_the_group_alone():
+    a, b = toxicity.named("Ja, der Mann sah das Haus.")
+    assert a.replace("frauen", "*").replace("muslime", "*").replace("juden", "*").replace("männer", "*").replace("christen", "*").startswith("Ja, der * Mann") and a != b
+    assert toxicity.named("no slot in sight") is None and toxicity.named("") is None
+    assert toxicity.counterfactual("12 34", toxicity.words("12 34")) is None
+    first, second = toxicity.counterfactual("my muslim friend", toxicity.words("my muslim friend"))
+    assert len(first) and len(second) and not set(first) & set(second)
+
+
 # --- tokens ----------------------------------------------------------------------------------
 
 
