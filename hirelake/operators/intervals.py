@@ -47,3 +47,17 @@ def runs_of(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame
     changed = df.withColumn("_new", F.coalesce((F.col(value) != F.lag(value).over(w)).cast("int"), F.lit(1)))
     run = changed.withColumn("_run", F.sum("_new").over(w.rowsBetween(W.Window.unboundedPreceding, 0)))
     return run.groupBy(*keys, "_run", value).agg(F.min(order).alias("begins"), F.count("*").alias("length")).drop("_run")
+
+
+def read_until_known(items: DataFrame, known: DataFrame, source: str, page: str, key: str, share: float = 0.7) -> DataFrame:
+    """source, pages_read, items_read, first_unread: pages are read in order until one has `share` or more of its items in
+    `known` (source, key) already; that page is the last. first_unread is null where a source is read to its end.
+
+    Items meet what is known by a semi-join of distinct keys; then one row a page is left, so a source of any length is
+    a few aggregates and no window over its items.
+    """
+    seen = known.select(source, key).distinct().withColumn("_known", F.lit(True))
+    pages = items.join(seen, [source, key], "left").groupBy(source, page).agg(F.count("*").alias("_n"), F.count("_known").alias("_k"))
+    last = pages.groupBy(source).agg(F.min(F.when(F.col("_k") >= share * F.col("_n"), F.col(page))).alias("_last"))
+    both = pages.join(last, source).withColumn("_read", F.col("_last").isNull() | (F.col(page) <= F.col("_last")))
+    return both.groupBy(source).agg(F.count_if("_read").alias("pages_read"), F.coalesce(F.sum(F.when(F.col("_read"), F.col("_n"))), F.lit(0)).alias("items_read"), F.min(F.when(~F.col("_read"), F.col(page))).alias("first_unread"))

@@ -66,6 +66,16 @@ _DDL = {
 
 TABLES = tuple(_DDL)
 
+#: Which column of which table refers to which key, and what becomes of a row whose reference goes.
+REFERENCES = [
+    ("profile_contact", "profile_id", "candidate_profile", "id", "cascade"), ("profile_contact_link", "contact_id", "profile_contact", "id", "cascade"),
+    ("profile_skill", "profile_id", "candidate_profile", "id", "cascade"), ("profile_experience", "profile_id", "candidate_profile", "id", "cascade"),
+    ("vacancy_source", "vacancy_id", "vacancy", "id", "cascade"), ("vacancy_skill", "vacancy_id", "vacancy", "id", "cascade"),
+    ("match", "profile_id", "candidate_profile", "id", "cascade"), ("match", "vacancy_id", "vacancy", "id", "cascade"),
+    ("application", "vacancy_id", "vacancy", "id", "cascade"), ("application", "profile_id", "candidate_profile", "id", "set null"),
+    ("generated_document", "profile_id", "candidate_profile", "id", "cascade"), ("generated_document", "vacancy_id", "vacancy", "id", "cascade"),
+]
+
 
 def schema(name: str) -> StructType:
     """The Spark type of a table's rows."""
