@@ -39,7 +39,7 @@ def query(covers: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from .plans import folds, connectors, evidence, ingest, listing, matching, pages, payloads, profiles, relations, scoring, skills, sources, texts, timelines, tracker  # noqa: F401
+    from .plans import folds, connectors, evidence, ingest, layout, listing, matching, pages, payloads, profiles, relations, scoring, skills, sources, texts, timelines, tracker  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
