@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 
 from ..catalog import query
 from ..operators import merging as M
-from .matching import has_link
+from ..operators.contacts import has_link
 
 
 def pick(values: list, key: str = "id", kind: str = "string") -> Column:

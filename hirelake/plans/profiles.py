@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import listing as O
+from ..operators import contacts as C
 from ..operators import profiles as R
+from .folds import by_hand, pick
 
 
 def chosen(values, key: str, kind: str = "string"):
@@ -93,11 +95,26 @@ def pseudo_embeddings(t):
 
 @query("F16", None)
 def contacts(t):
-    """First address and telephone, and the links, of every document; the patterns look around, which the oracle's cannot."""
-    c = F.col("text")
-    email = F.nullif(F.regexp_extract(c, R.EMAIL, 0), F.lit(""))
-    found = t("documents").select("doc_id", email.alias("email"), R.first_phone(c).alias("phone"), R.links(c).alias("links"))
-    return found.filter("email is not null or phone is not null or size(links) > 0")
+    """First address and telephone, and the links, of every document that has any; read in Arrow batches, held by the readings below and by tests."""
+    return C.contacts(t("documents"), "doc_id", "text").filter("email is not null or phone is not null or size(links) > 0")
+
+
+#: Texts, and by hand their address, telephone and links.
+_CONTACTS = [
+    ("Телефон: +7 (701) 555-00-15, почта:k.m@example.com. GitHub github.com/some-one", "k.m@example.com", "+7 (701) 555-00-15", "github https://github.com/some-one"),
+    ("сайт https://me.example.org/a?b=1). Telegram: @nick_name", None, None, "website https://me.example.org/a?b=1,telegram https://t.me/nick_name"),
+    ("03.2021 - 06.2022, 1 200 000 - 1 500 000; tel 8(700)000-00-15", None, "8(700)000-00-15", ""),
+    ("+49 30 1234567 or mobile 0170-1234567", None, "0170-1234567", ""), ("call 555-0100 10:30 or +1 202 555 0100", None, "+1 202 555 0100", ""),
+    ("moved linkedin.com/in/x https://www.github.com/y https://u:p@t.me/z", "p@t.me", None, "github https://www.github.com/y,linkedin https://linkedin.com/in/x"),
+    ("", None, None, ""), ("ab@c a@b.c1 x@-y.com last.one@mail.co.uk.", "last.one@mail.co.uk", None, ""), ("(github.com/a) tg:@short @other123 tg @abc", None, None, "github https://github.com/a,telegram https://t.me/short"),
+    ("12.2020 3-4 1234567890123456-7", None, None, ""),
+]
+
+
+@query("F16", by_hand("email, phone, links", [c[1:] for c in _CONTACTS]))
+def contacts_by_hand(t):
+    found = C.contacts(t("posting").select("id", pick([c[0] for c in _CONTACTS]).alias("text")), "id", "text")
+    return found.select("id", "email", "phone", F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["kind"], x["url"])), ",").alias("links"))
 
 
 RULES = [
