@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -61,3 +61,28 @@ def read_until_known(items: DataFrame, known: DataFrame, source: str, page: str,
     last = pages.groupBy(source).agg(F.min(F.when(F.col("_k") >= share * F.col("_n"), F.col(page))).alias("_last"))
     both = pages.join(last, source).withColumn("_read", F.col("_last").isNull() | (F.col(page) <= F.col("_last")))
     return both.groupBy(source).agg(F.count_if("_read").alias("pages_read"), F.coalesce(F.sum(F.when(F.col("_read"), F.col("_n"))), F.lit(0)).alias("items_read"), F.min(F.when(~F.col("_read"), F.col(page))).alias("first_unread"))
+
+
+def read_feed(items: DataFrame, source: str, page: str, at: str, key: str, wanted: Column, limit: int, most_pages: int = 50) -> DataFrame:
+    """source, pages, unique, yielded, stop: a paginated feed read from page 1 until a page is empty, adds no key that was not
+    seen before, or brings the wanted postings to `limit`; `pages` counts the page that ended it.
+
+    A key counts where it first stands, which one aggregate finds; what is left is one row a page, at most `most_pages` of a
+    source. The page that ends the reading counts whole in `unique`.
+    """
+    seen = items.filter(F.col(page).between(1, most_pages))
+    first = seen.groupBy(source, key).agg(F.min_by(F.struct(F.col(page).alias("_page"), F.coalesce(wanted, F.lit(False)).alias("_yes")), F.struct(page, at)).alias("_f"))
+    fresh = first.groupBy(source, F.col("_f._page").alias(page)).agg(F.count("*").alias("_fresh"), F.count_if("_f._yes").alias("_yes"))
+    pages = seen.select(source, page).distinct().join(fresh, [source, page], "left").na.fill(0, ["_fresh", "_yes"])
+    w = W.Window.partitionBy(source).orderBy(page)
+    pages = pages.withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum("_yes").over(w)).withColumn("_unique", F.sum("_fresh").over(w))
+    why = F.when(F.col("_n") != F.col(page), "empty").when(F.col("_fresh") == 0, "nothing new").when(F.col("_sum") >= limit, "limit").when(F.col(page) == most_pages, "pages")
+    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0))
+    # a page that is not there is known by the one behind it, or by the end of the feed
+    ends = pages.select(source, F.col("_n").alias("_at"), why.alias("_why"), F.when(why == "empty", before("_unique")).otherwise(F.col("_unique")).alias("_u"), F.when(why == "empty", before("_sum")).otherwise(F.col("_sum")).alias("_y"))
+    last = ends.groupBy(source).agg(F.min(F.when(F.col("_why").isNotNull(), F.struct("_at", "_why", "_u", "_y"))).alias("_s"), F.max(F.struct("_at", "_u", "_y")).alias("_e"))
+    done = F.col("_s").isNull()
+    return last.select(
+        source, F.when(done, F.col("_e._at") + 1).otherwise(F.col("_s._at")).cast("long").alias("pages"), F.when(done, F.col("_e._u")).otherwise(F.col("_s._u")).alias("unique"),
+        F.least(F.lit(limit), F.when(done, F.col("_e._y")).otherwise(F.col("_s._y"))).cast("long").alias("yielded"), F.when(done, "empty").otherwise(F.col("_s._why")).alias("stop"),
+    )

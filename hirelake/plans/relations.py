@@ -79,3 +79,30 @@ def pages_until_known(t):
     p = t("provenance")
     items = p.filter("line <= 3").select("slug", "ext_id", F.floor(F.col("posting_id") / 40).alias("page"))
     return I.read_until_known(items, p.filter("line >= 6"), "slug", "page", "ext_id", share=0.6)
+
+
+_FEED = """feed AS (SELECT o_orderkey % 5 AS source, CASE WHEN o_orderkey % 5 = 2 AND o_custkey % 12 >= 6 THEN 2 + o_custkey % 12 ELSE 1 + o_custkey % 12 END AS page, o_orderkey AS at_,
+    CASE WHEN o_orderkey % 5 = 1 THEN o_orderkey % 61 ELSE o_orderkey // 10 END AS key, o_orderstatus <> 'F' AS wanted FROM orders)"""
+
+
+@query(
+    "S10 S02",
+    f"""WITH {_FEED}, first AS (SELECT source, key, min(page) AS page, arg_min(wanted, page * 100000000 + at_) AS yes FROM feed GROUP BY source, key),
+    p AS (SELECT f.source, f.page, count(x.key) AS fresh, count(x.key) FILTER (WHERE yes) AS yes FROM (SELECT DISTINCT source, page FROM feed) f LEFT JOIN first x ON x.source = f.source AND x.page = f.page GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER w AS n, sum(yes) OVER w AS got, sum(fresh) OVER w AS seen FROM p WINDOW w AS (PARTITION BY source ORDER BY page ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT *, lag(got, 1, 0) OVER v AS got0, lag(seen, 1, 0) OVER v AS seen0 FROM r WINDOW v AS (PARTITION BY source ORDER BY page)),
+    s AS (SELECT source, n, CASE WHEN n <> page THEN 'empty' WHEN fresh = 0 THEN 'nothing new' WHEN got >= (CASE source WHEN 3 THEN 20 ELSE 1000000 END) THEN 'limit' END AS why, CASE WHEN n <> page THEN got0 ELSE got END AS got, CASE WHEN n <> page THEN seen0 ELSE seen END AS seen FROM g),
+    k AS (SELECT source, min(n) FILTER (WHERE why IS NOT NULL) AS stop_at, max(n) AS most FROM s GROUP BY source)
+    SELECT k.source, CAST(coalesce(stop_at, most + 1) AS BIGINT) AS pages, CAST(s.seen AS BIGINT) AS "unique", CAST(least(s.got, CASE k.source WHEN 3 THEN 20 ELSE 1000000 END) AS BIGINT) AS yielded, coalesce(s.why, 'empty') AS stop
+    FROM k JOIN s ON s.source = k.source AND s.n = coalesce(stop_at, most)""",
+)
+def feeds_read_to_a_stop(t):
+    """Five feeds: one with few keys that come again, one with a gap, one read for twenty postings, two read to their end."""
+    o = t("orders")
+    k, turn = F.col("o_orderkey"), F.col("o_custkey") % 12
+    feed = o.select(
+        (k % 5).alias("source"), F.when((k % 5 == 2) & (turn >= 6), turn + 2).otherwise(turn + 1).alias("page"), k.alias("at"),
+        F.when(k % 5 == 1, k % 61).otherwise(F.floor(k / 10)).alias("key"), (F.col("o_orderstatus") != "F").alias("wanted"),
+    )
+    read = lambda rows, limit: I.read_feed(rows, "source", "page", "at", "key", F.col("wanted"), limit)
+    return read(feed.filter("source <> 3"), 1_000_000).unionByName(read(feed.filter("source = 3"), 20))

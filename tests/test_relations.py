@@ -58,3 +58,32 @@ def test_evidence_with_nulls_and_unknown_lists(spark):
     spans = spark.createDataFrame([("C++", "C++ here", "xC++"), ("R", "R, S", "Rust"), (r"a\E.b", r"see a\E.b", "see a.b")], "n string, yes string, no string")
     hits = spans.select(F.call_function("regexp_like", F.col("yes"), evidence.mention(F.col("n"))).alias("y"), F.call_function("regexp_like", F.col("no"), evidence.mention(F.col("n"))).alias("n")).collect()
     assert all(r.y and not r.n for r in hits)
+
+
+def plain_feed(rows, limit, most=50):
+    seen, got, page = set(), 0, 0
+    while page < most:
+        page += 1
+        entries = sorted((at, k, yes) for p, at, k, yes in rows if p == page)
+        if not entries:
+            return page, len(seen), got, "empty"
+        fresh = [(k, yes) for i, (_, k, yes) in enumerate(entries) if k not in seen and k not in {e[1] for e in entries[:i]}]
+        seen |= {k for k, _ in fresh}
+        got += sum(bool(y) for _, y in fresh)
+        if got >= limit:
+            return page, len(seen), limit, "limit"
+        if not fresh:
+            return page, len(seen), got, "nothing new"
+    return page, len(seen), got, "pages"
+
+
+def test_feeds_stop_as_a_reader_would(spark):
+    import random
+
+    rng = random.Random(4)
+    feeds = {s: [(rng.randint(1, 6), i, rng.randint(0, 60 if s % 2 else 12), rng.random() < 0.5) for i in range(rng.randint(0, 80))] for s in range(12)}
+    rows = [(s, *r) for s, rs in feeds.items() for r in rs]
+    df = spark.createDataFrame(rows, "source int, page int, at int, key int, wanted boolean")
+    for limit, most in ((10, 50), (1000, 3)):
+        got = {r.source: tuple(r)[1:] for r in intervals.read_feed(df, "source", "page", "at", "key", F.col("wanted"), limit, most).collect()}
+        assert got == {s: plain_feed(rs, limit, most) for s, rs in feeds.items() if any(p <= most for p, *_ in rs)}
