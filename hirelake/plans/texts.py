@@ -33,9 +33,6 @@ def url_names_id(t):
     return t("pages").select("page_id", tail.alias("tail"), (tail == F.col("page_id").cast("string")).alias("names_id"))
 
 
-EMAIL = "[a-z0-9._%+-]+@[a-z0-9.-]+[.][a-z]{2,}"
-
-
 @query(
     "T08 F20",
     """SELECT conv_id, turn, length(text) > 400 AS too_long, regexp_matches(text, '(https?://|www[.])') AS link, contains(text,

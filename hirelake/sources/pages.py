@@ -17,8 +17,6 @@ VIEW, NESTED, LIFTED = "vacancyView", "vacancyFull.vacancy", "translations"
 RENAMED = {"publicationDate": "publicationTimeIso", "validThroughTime": "validToTimeIso"}
 REMOTE = {"REMOTE": "full", "HYBRID": "hybrid"}
 
-STATUSES = ("no_state", "bad_json", "gone", "bad_shape", "mismatch", "not_live", "untitled", "ok")
-
 
 def path(*keys: str) -> str:
     return "$" + "".join(f"['{k}']" for k in keys)
