@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..operators import intervals as I
 from ..operators import relations as R
+from ..operators import validation as V
 
 _BOTH = """profile AS (SELECT DISTINCT s_suppkey % 10 AS id FROM supplier), contact AS (SELECT c_custkey AS id, c_custkey % 10 AS profile_id FROM customer),
 link AS (SELECT o_custkey AS contact_id, o_orderkey AS n FROM orders), experience AS (SELECT s_suppkey % 10 AS profile_id, s_suppkey AS n FROM supplier)"""
@@ -106,3 +107,34 @@ def feeds_read_to_a_stop(t):
     )
     read = lambda rows, limit: I.read_feed(rows, "source", "page", "at", "key", F.col("wanted"), limit)
     return read(feed.filter("source <> 3"), 1_000_000).unionByName(read(feed.filter("source = 3"), 20))
+
+
+@query(
+    "P32",
+    """SELECT id, concat_ws(',', CASE WHEN salary > high THEN 'pay_range' END, CASE WHEN score < 5 OR score > 95 THEN 'score' END, CASE WHEN NOT regexp_full_match(currency, '[A-Z]{3}') THEN 'currency' END,
+    CASE WHEN NOT regexp_full_match(country, '[A-Z]{2}') THEN 'country' END) AS faults
+    FROM (SELECT id, salary, score, CASE WHEN id % 13 = 0 THEN salary - 1 ELSE salary_max END AS high, CASE WHEN id % 10 = 1 THEN lower(currency) ELSE currency END AS currency, CASE WHEN id % 9 = 2 THEN country || 'X' ELSE country END AS country FROM vacancy)
+    WHERE coalesce(salary > high, FALSE) OR coalesce(score < 5 OR score > 95, FALSE) OR coalesce(NOT regexp_full_match(currency, '[A-Z]{3}'), FALSE) OR coalesce(NOT regexp_full_match(country, '[A-Z]{2}'), FALSE)""",
+)
+def rows_at_fault(t):
+    """Postings with an inverted pay range, a score out of bounds, or a code of the wrong shape; nulls break nothing."""
+    k = F.col("id")
+    v = t("vacancy").select(
+        "id", "salary", "score", F.when(k % 13 == 0, F.col("salary") - 1).otherwise(F.col("salary_max")).alias("high"), F.when(k % 10 == 1, F.lower("currency")).otherwise(F.col("currency")).alias("currency"),
+        F.when(k % 9 == 2, F.concat("country", F.lit("X"))).otherwise(F.col("country")).alias("country"),
+    )
+    rules = {"pay_range": V.ordered(F.col("salary"), F.col("high")), "score": V.within(F.col("score"), 5, 95), "currency": V.shaped(F.col("currency"), V.CURRENCY), "country": V.shaped(F.col("country"), V.COUNTRY)}
+    return V.parted(v, rules)[1].select("id", F.array_join("faults", ",").alias("faults"))
+
+
+@query(
+    "S19",
+    """SELECT count(*) AS n, 64 AS declared, count(*) FILTER (WHERE vec_id % 7 = 3) AS misfits, min(vec_id) FILTER (WHERE vec_id % 7 = 3) AS first_misfit FROM embeddings""",
+)
+def vector_widths_declared(t):
+    """Vectors against the width that their column declares; every seventh is cut short, every eleventh is null."""
+    k = F.col("vec_id")
+    e = t("embeddings").select("vec_id", F.when(k % 7 == 3, F.slice("embedding", 1, 32)).when(k % 11 == 0, F.lit(None)).otherwise(F.col("embedding")).alias("embedding"))
+    e = V.declare_width(e, "embedding", 64)
+    V.verify_width(e, "embedding", 64)
+    return e.agg(F.count("*").alias("n"), F.lit(V.declared_width(e, "embedding")).alias("declared"), F.count_if(V.misfits(e, "embedding")).alias("misfits"), F.min(F.when(V.misfits(e, "embedding"), k)).alias("first_misfit"))

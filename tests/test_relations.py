@@ -87,3 +87,22 @@ def test_feeds_stop_as_a_reader_would(spark):
     for limit, most in ((10, 50), (1000, 3)):
         got = {r.source: tuple(r)[1:] for r in intervals.read_feed(df, "source", "page", "at", "key", F.col("wanted"), limit, most).collect()}
         assert got == {s: plain_feed(rs, limit, most) for s, rs in feeds.items() if any(p <= most for p, *_ in rs)}
+
+
+def test_declared_widths_and_ranges(spark):
+    import pytest
+
+    from hirelake.operators import validation as V
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, None)], "i int, v array<double>")
+    with pytest.raises(ValueError, match="declares no width"):
+        V.declared_width(df, "v")
+    wide = V.declare_width(df, "v", 2)
+    assert V.declared_width(wide, "v") == 2 and V.declared_width(wide, "not_there") is None
+    assert [r.i for r in wide.filter(V.misfits(wide, "v")).collect()] == [2]
+    V.verify_width(wide, "v", 2)
+    with pytest.raises(ValueError, match="declared with 2"):
+        V.verify_width(wide, "v", 64)
+    V.checked_range(None, 3, "score")
+    with pytest.raises(ValueError, match="score_min"):
+        V.checked_range(4, 3, "score")
