@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut, runs, slices
 
 BAR = "▁"
-GIANT, CHUNK, FAN = 4_096, 2_048, 64
+GIANT, CHUNK, FAN = 16_384, 4_096, 64
 #: Short words whose ids are remembered in a process.
 KNOWN = 300_000
 _MODELS: dict[bytes, Pieces] = {}
