@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import join_spread, slices, text_or_empty
+from .common import cut, join_spread, slices, text_or_empty
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -55,7 +55,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text_or_empty().alias("text"))
     slim = slim.withColumn("same", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    slim = slim.mapInArrow(_judge, "doc_id long, part string, same binary, mask int, n long")
+    slim = cut(slim.mapInArrow(_judge, "doc_id long, part string, same binary, mask int, n long"), "judged")  # the texts are read once
     firsts = slim.groupBy("same").agg(F.min("doc_id").alias("first"))
     slim = join_spread(slim, firsts, ["same"], F.coalesce("doc_id", F.xxhash64("part")))
     mask = F.col("mask") + F.when(F.col("doc_id") > F.col("first"), 16).otherwise(0)
