@@ -70,6 +70,20 @@ def test_batches_survive_a_restart(spark, tmp_path):
     assert found(spark.read.schema(batching.OUT).parquet(f"file://{tmp_path}/out")) == plain_batches(rows, 10, 30)
 
 
+def test_triggers_follow_the_rows_not_the_files(spark):
+    """A table of many partitions becomes as few files as its rows ask for, and a slice of many rows is parted."""
+    rows = table(spark, made()).repartition(16).select(F.col("k").alias("key"), "id", "ts")
+    folder, span = batching.feed(ship(spark), rows, slices=4)
+    count = lambda f: len(list(Path(f.removeprefix("file://").removeprefix("file:")).glob("*.parquet")))
+    assert count(folder) == 5
+    held, batching.SLICE = batching.SLICE, 40
+    try:
+        parted, shorter = batching.feed(ship(spark), rows, slices=4)
+    finally:
+        batching.SLICE = held
+    assert count(parted) == 7 and shorter < span
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "k long, v long")
 
