@@ -12,10 +12,11 @@ GAP, LEAST_SHARE, LINE = 0.06, 0.08, 3
 
 def bands(words: DataFrame, page: str, width: Column, gap: float = GAP, share: float = LEAST_SHARE) -> DataFrame:
     """page, band, left, right: runs of left edges (x0) that no gap of more than `gap` of the width parts and that hold `share` of the page's words."""
+    edges = words.groupBy(page, "x0").agg(F.count("*").alias("_n"))
     w = W.Window.partitionBy(page).orderBy("x0")
     new = (F.col("x0") - F.lag("x0").over(w) > width * gap).cast("int")
-    runs = words.select(page, "x0", F.coalesce(new, F.lit(1)).alias("_new")).withColumn("_run", F.sum("_new").over(w.rangeBetween(W.Window.unboundedPreceding, 0)))
-    runs = runs.groupBy(page, "_run").agg(F.min("x0").alias("left"), F.max("x0").alias("right"), F.count("*").alias("_n"))
+    runs = edges.withColumn("_new", F.coalesce(new, F.lit(1))).withColumn("_run", F.sum("_new").over(w.rangeBetween(W.Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(page, "_run").agg(F.min("x0").alias("left"), F.max("x0").alias("right"), F.sum("_n").alias("_n"))
     all_ = W.Window.partitionBy(page)
     kept = runs.withColumn("_all", F.sum("_n").over(all_)).filter(F.col("_n") >= F.col("_all") * share)
     return kept.select(page, F.row_number().over(all_.orderBy("left")).alias("band"), "left", "right")
@@ -26,13 +27,18 @@ def lines(words: DataFrame, page: str, width: Column, **options) -> DataFrame:
 
     words: page, text, x0, top and `at`, a word's place in the text, which orders words of one edge. A word is of the band
     that its edge lies in, give or take a point; one between bands is of none.
+
+    Words are summed up where they are read: to the count of each edge for the bands, of which a page has few, and to the
+    edges and text of each line. Only lines meet the bands of their page.
     """
     placed = words.withColumn("line", F.bround(F.col("top") / LINE).cast("long"))
-    found = bands(words, page, width, **options)
-    of = placed.join(found, page, "left").groupBy(page, "line").agg(F.count_distinct(F.when(F.col("x0").between(F.col("left") - 1, F.col("right") + 1), F.col("band"))).alias("bands"))
+    found = bands(words, page, width, **options).groupBy(page).agg(F.collect_list(F.struct("left", "right")).alias("_bands"))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "at", "text"))), lambda x: x["text"]), " ")
-    whole = placed.groupBy(page, "line").agg(text.alias("text"))
-    return whole.join(of, [page, "line"]).select(page, "line", "bands", (F.col("bands") >= 2).alias("mixed"), "text")
+    whole = placed.groupBy(page, "line").agg(F.collect_set("x0").alias("_edges"), text.alias("text"))
+    holds = lambda b: F.exists("_edges", lambda x: x.between(b["left"] - 1, b["right"] + 1))
+    of = F.coalesce(F.size(F.filter("_bands", holds)), F.lit(0)).cast("long")
+    both = whole.join(found, page, "left").select(page, "line", of.alias("bands"), "text")
+    return both.select(page, "line", "bands", (F.col("bands") >= 2).alias("mixed"), "text")
 
 
 # --- sections --------------------------------------------------------------------------------
@@ -52,45 +58,68 @@ def fold_heading(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)[\s:*#_\-–—]+", ""))
 
 
-def _label(c: Column) -> Column:
-    """What stands before a colon as a heading, or null where it is a sentence."""
-    text = strip(c)
+def _let(c: Column, f) -> Column:
+    """f of the value of c, which is worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _label(text: Column) -> Column:
+    """What stands before a colon, stripped, as a heading, or null where it is a sentence."""
     return F.when((text != "") & (F.size(F.split(text, r"(?U)\s+")) <= MOST_WORDS) & ~text.rlike("[.!?]"), text)
 
 
-def heading(line: Column) -> Column:
-    """The heading that a line announces, or null: behind #, in bold, before a colon at its end, or in capitals."""
-    text = strip(line)
+def heading(text: Column) -> Column:
+    """The heading that a line, stripped, announces, or null: behind #, in bold, before a colon at its end, or in capitals."""
     bare = lambda c: F.nullif(strip(F.regexp_replace(strip(c), ":+$", "")), F.lit(""))
     found = (
         F.when(text.startswith("#"), bare(F.regexp_replace(text, "^#+", ""))).when(text.rlike(r"(?s)^\*\*.+\*\*$"), bare(F.regexp_extract(text, r"^\*\*(.+?)\*\*$", 1)))
-        .when(text.endswith(":"), _label(F.regexp_replace(text, ":$", ""))).when(text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{L}&&[^\p{Lu}]]"), bare(text))
+        .when(text.endswith(":"), _let(strip(F.regexp_replace(text, ":$", "")), _label)).when(text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{L}&&[^\p{Lu}]]"), bare(text))
     )
     return F.when((text != "") & (F.length(text) <= MOST_CHARS), found)
 
 
-def sections(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """doc, section (from 1), heading, items: what stands under each heading of each document; the text before the first is of none.
+def _line(w: Column, n: Column) -> Column:
+    """at, heading and body of the n-th line, stripped."""
 
-    A line may carry a heading and, behind its colon, the first of the body. An item is a line without its bullet, or one
-    of several values where the body is a single line. A document's lines meet in one task; documents do not.
-    """
-    each = docs.select(doc, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), BREAK)).alias("at", "line"))
-    whole = strip(F.col("line"))
-    head, tail = F.substring_index(whole, ":", 1), F.when(whole.contains(":"), strip(F.expr("substring(line, 1 + locate(':', line))")))
-    inline = F.when(~whole.startswith("#") & (tail != "") & (F.length(strip(head)) < MOST_CHARS), _label(head))
-    each = each.withColumn("_inline", inline).withColumn("heading", F.coalesce("_inline", heading(F.col("line"))))
-    body = F.when(F.col("_inline").isNotNull(), tail).when(F.col("heading").isNull(), strip(F.col("line")))
-    w = W.Window.partitionBy(doc).orderBy("at")
-    each = each.withColumn("section", F.count("heading").over(w)).filter("section > 0")
-    found = each.groupBy(doc, "section").agg(F.max(F.struct(F.col("heading").isNotNull().alias("is"), "heading")).getField("heading").alias("heading"), F.sort_array(F.collect_list(F.when(body != "", F.struct("at", body.alias("x"))))).alias("body"))
-    filled = F.transform("body", lambda x: x["x"])
+    def inline(x):
+        named = ~w.startswith("#") & (x["tail"] != "") & (F.length(x["head"]) < MOST_CHARS)
+        return F.struct(x["tail"].alias("tail"), F.when(named, _label(x["head"])).alias("inline"))
+
+    def read(x):
+        return _let(F.coalesce(x["inline"], heading(w)), lambda h: F.struct(n.alias("at"), h.alias("heading"), F.when(x["inline"].isNotNull(), x["tail"]).when(h.isNull(), w).alias("body")))
+
+    parts = F.struct(strip(F.substring_index(w, ":", 1)).alias("head"), strip(F.substr(w, F.locate(":", w) + 1)).alias("tail"))
+    return F.when(w.contains(":"), _let(_let(parts, inline), read)).otherwise(_let(heading(w), lambda h: F.struct(n.alias("at"), h.alias("heading"), F.when(h.isNull(), w).alias("body"))))
+
+
+def _items(filled: Column) -> Column:
     values = F.transform(F.filter(F.split(F.get(filled, F.lit(0)), BETWEEN), lambda x: strip(x) != ""), lambda x: strip(F.regexp_replace(F.btrim(x, F.lit(" \t·")), BULLET, "")))
     plain = F.transform(filled, lambda x: strip(F.regexp_replace(x, BULLET, "")))
-    return found.select(doc, F.col("section").cast("int").alias("section"), "heading", F.when((F.size(filled) == 1) & (F.size(values) > 1), values).otherwise(plain).alias("items"))
+    return F.when(F.size(filled) == 1, _let(values, lambda v: F.when(F.size(v) > 1, v).otherwise(plain))).otherwise(plain)
+
+
+def with_sections(docs: DataFrame, text: str, name: str = "sections") -> DataFrame:
+    """docs with an array of (section (from 1), heading, items): what stands under each heading of each document; the text before the first is of none.
+
+    A line may carry a heading and, behind its colon, the first of the body. An item is a line without its bullet, or one
+    of several values where the body is a single line. All is read inside the row: a section is a slice of the lines.
+    """
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), BREAK), lambda x: strip(x))
+    df = docs.withColumn("_lines", F.transform(lines, _line)).withColumn("_heads", F.filter("_lines", lambda x: x["heading"].isNotNull()))
+
+    def section(h, k):
+        end = F.coalesce(F.get("_heads", k + 1)["at"], F.size("_lines"))
+        body = F.filter(F.transform(F.slice("_lines", h["at"] + 1, end - h["at"]), lambda x: x["body"]), lambda x: x != "")
+        return F.struct((k + 1).cast("int").alias("section"), h["heading"].alias("heading"), _let(body, _items).alias("items"))
+
+    return df.withColumn(name, F.transform("_heads", section)).drop("_lines", "_heads")
+
+
+def sections(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc, section, heading, items: a row for each section; see `with_sections`."""
+    return with_sections(docs.select(doc, text), text, "_sections").select(doc, F.explode("_sections").alias("_x")).select(doc, "_x.*")
 
 
-def find_section(found: DataFrame, doc: str, name: Column) -> DataFrame:
-    """doc, section, heading, items of each document's first section of that name, however it is spelled."""
-    same = found.filter((fold_heading(F.col("heading")) == fold_heading(name)) & (fold_heading(name) != ""))
-    return same.groupBy(doc).agg(F.min(F.struct("section", "heading", "items")).alias("x")).select(doc, "x.*")
+def named_section(found: Column, name: Column) -> Column:
+    """The first section of that name among a document's, however it is spelled; null if there is none. `name` is folded."""
+    return F.get(F.filter(found, lambda s: (fold_heading(s["heading"]) == name) & (name != "")), F.lit(0))

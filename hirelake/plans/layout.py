@@ -61,9 +61,8 @@ _SECTIONS = [
 def document_sections(t):
     """Four spellings of a heading, lists in lines and in one line, and sentences that only look like headings."""
     docs = t("posting").select("id", pick([d for d, _ in _SECTIONS]).alias("text"))
-    found = L.sections(docs, "id", "text").withColumn("x", F.concat("heading", F.lit("="), F.array_join("items", "+")))
-    each = found.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "x"))), lambda s: s["x"]), "|").alias("sections"))
-    return docs.select("id").join(each, "id", "left").select("id", F.coalesce("sections", F.lit("")).alias("sections"))
+    each = F.transform("sections", lambda s: F.concat(s["heading"], F.lit("="), F.array_join(s["items"], "+")))
+    return L.with_sections(docs, "text").select("id", F.array_join(each, "|").alias("sections"))
 
 
 _ASK = [(d, n, w) for (d, _), (n, w) in zip(_SECTIONS, [(" работа :", "Acme, 2020"), ("НАВЫКИ", "Python"), ("KEY  Skills", "Python"), ("x", None), ("languages", "English"), ("b", "c:d"), ("", None), ("none", None), ("half", "**"), ("- skills -", "–")], strict=True)]
@@ -71,7 +70,6 @@ _ASK = [(d, n, w) for (d, _), (n, w) in zip(_SECTIONS, [(" работа :", "Acm
 
 @query("F19", by_hand("first", [(w,) for *_, w in _ASK]))
 def section_by_name(t):
-    docs = t("posting").select("id", pick([d for d, *_ in _ASK]).alias("text"))
-    named = docs.select("id", pick([n for _, n, _ in _ASK]).alias("name"))
-    found = L.find_section(L.sections(docs, "id", "text").join(named, "id"), "id", F.col("name"))
-    return docs.select("id").join(found, "id", "left").select("id", F.get("items", F.lit(0)).alias("first"))
+    docs = t("posting").select("id", pick([d for d, *_ in _ASK]).alias("text"), L.fold_heading(pick([n for _, n, _ in _ASK])).alias("name"))
+    found = L.named_section(F.col("sections"), F.col("name"))
+    return L.with_sections(docs, "text").select("id", F.get(found["items"], F.lit(0)).alias("first"))
