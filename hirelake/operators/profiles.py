@@ -69,8 +69,10 @@ def recoverable(items: Column, lines: Column) -> Column:
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     hay = F.array_join(F.transform(lines, flat), " ")
     named = F.filter(items, lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
-    lost = F.filter(named, lambda x: ~F.contains(hay, flat(x)))
-    return F.struct(F.size(named).alias("total"), (F.size(named) - F.size(lost)).alias("recovered"), F.slice(lost, 1, 10).alias("lost"))
+    said = lambda lost: F.struct(F.size(named).alias("total"), (F.size(named) - F.size(lost)).alias("recovered"), F.slice(lost, 1, 10).alias("lost"))
+    # bound as the items of arrays of one: the lines are joined once a text, not once an item and use
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    return once(hay, lambda h: once(F.filter(named, lambda x: ~F.contains(h, flat(x))), said))
 
 
 def price(tokens: list[tuple[Column, Column]]) -> Column:
