@@ -6,6 +6,7 @@ import html
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -15,9 +16,16 @@ UNIT = "\u001f"
 TOKEN = r"[^\p{L}\p{N}]+"
 
 
-@F.pandas_udf(StringType())
-def _nfkc_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+@F.arrow_udf(StringType())
+def _nfkc_casefold(s: pa.Array) -> pa.Array:
+    fold = lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold()
+    # a few texts at a time are Python's, whatever the batch holds
+    return pa.concat_arrays([pa.array([fold(x.as_py()) for x in s.slice(n, 16)], pa.string()) for n in range(0, max(1, len(s)), 16)])
+
+
+#: Characters that are their own compatibility form in any company of theirs and whose folded case is their lower case: ASCII,
+#: Latin letters of western Europe without those that fold or decompose, Russian letters, common punctuation.
+STABLE = "\\x00-\\x7f¡¢£¤¥¦§©«¬®°±¶·»¿À-ÖØ-Þà-öø-ÿŒœА-яЁё‐–—‘’‚“”„†‡•‰‹›€"
 
 
 @F.pandas_udf(StringType())
@@ -26,8 +34,8 @@ def _nfkd(s: pd.Series) -> pd.Series:
 
 
 def nfkc_casefold(c: Column) -> Column:
-    """Unicode compatibility form and case folding, which Spark has no function for; texts of ASCII alone stay in the JVM."""
-    plain = c.rlike(r"^\p{ASCII}*$")
+    """Unicode compatibility form and case folding, which Spark has no function for; texts of stable characters alone stay in the JVM."""
+    plain = ~F.regexp_replace(c, r"[\x00-\x7f]+", "").rlike(f"[^{STABLE}]")  # runs of ASCII go first, as a wide class is slow
     return F.coalesce(_nfkc_casefold(F.when(~plain, c)), F.lower(c))
 
 
