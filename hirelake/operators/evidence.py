@@ -14,7 +14,9 @@ from .skills import fold, spellings
 
 #: A word of a skill's name, and how many of them a phrase may have. Fixed values.
 WORD, MOST_WORDS = r"[^\W_]+(?:[+#.][^\W_]+|\+\+|#)*", 5
-_WORD, _MARKS = re.compile(WORD), re.compile(r"[\s._\-]+")
+_WORD = re.compile(WORD)
+#: Letters that match i or s in any case and are not lowered to it alone.
+_ODD = re.compile("[\u0130\u0131\u017f]")
 LEAST_SKILLS, MOST_SUMMARY, LEAST_DOCUMENT = 6, 600, 180
 
 
@@ -37,6 +39,18 @@ def _filter(name: str) -> re.Pattern | None:
     return re.compile(r"(?<![^\W_])(?:" + r"[\s\W_]{0,3}".join(map(re.escape, parts)) + r")(?![^\W_])", re.I)
 
 
+def _hit(name: str, text: str, low: str | None) -> re.Match | None:
+    """The filter's first hit. Where `low` is the text in lower case, place by place, and the name is ASCII, only places of its first word are tried."""
+    pattern = _filter(name)
+    if pattern is None or low is None or not name.isascii():
+        return pattern and pattern.search(text)
+    first = _WORD.search(name)[0].lower()
+    at = low.find(first)
+    while at >= 0 and not (found := pattern.match(text, at)):
+        at = low.find(first, at + 1)
+    return found if at >= 0 else None
+
+
 def _phrase(words: list[str], folded: list[str], keys: set[str]) -> str | None:
     """The first phrase, of the fewest words, whose folded spelling is one of the keys. Of a key only beginnings are followed."""
     best = None
@@ -60,16 +74,17 @@ def _read(batches):
     for rb in batches:
         out = []
         for doc, text, asked in zip(*[rb.column(c).to_pylist() for c in ("doc_id", "text", "asked")], strict=True):
-            words = folded = None
+            words = folded = joined = None
+            low = None if _ODD.search(text) else text.lower()
             for a in asked:
-                pattern = _filter(a["name"])
-                hit = pattern.search(text) if pattern else None
+                hit = _hit(a["name"], text, low)
                 held, found = a["held_as"], hit[0] if hit else None
                 if held is not None and hit is None:
                     if words is None:
                         words = _WORD.findall(text)
-                        folded = [_MARKS.sub("", w.lower()) for w in words]
-                    found = _phrase(words, folded, set(a["keys"]))
+                        folded = [w.lower().replace(".", "") for w in words]  # of blanks and marks a word has dots alone
+                        joined = "".join(folded)
+                    found = _phrase(words, folded, {k for k in a["keys"] if k in joined})
                 status = "absent" if held is None else "present" if hit else "unstated"
                 out.append((doc, a["position"], a["name"], status, found, held if status == "unstated" else None, True if a["required"] is None else a["required"], a["source"] or "employer"))
         columns = list(zip(*out, strict=True)) or [()] * 8
@@ -109,10 +124,11 @@ def requirements(docs: DataFrame, asks: DataFrame, held: DataFrame, dictionary:
 
     The lists meet the holdings without the texts; a text is read once, in an Arrow batch, against its own few requirements.
     """
-    asked = _asked(docs, asks, dictionary).join(_held(held, dictionary), ["profile_id", "key"], "left").join(_keys(dictionary), "key", "left")
+    pairs = docs.groupBy("list_id", "profile_id").agg(F.min(F.struct("list_id", "profile_id")).alias("doc_id"))  # the same requirements for all documents of a pair
+    asked = _asked(pairs, asks, dictionary).join(_held(held, dictionary), ["profile_id", "key"], "left").join(_keys(dictionary), "key", "left")
     asked = asked.withColumn("keys", F.array_union(F.array("key"), F.coalesce("keys", F.array().cast("array<string>"))))
     lists = asked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("position").cast("int").alias("position"), "name", "required", "source", "held_as", "keys"))).alias("asked"))
-    both = lists.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    both = docs.select("doc_id", "list_id", "profile_id", F.coalesce("text", F.lit("")).alias("text")).join(lists.select("doc_id.*", "asked"), ["list_id", "profile_id"], "left").filter("asked is not null")
     return both.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "asked").mapInArrow(_read, READ)
 
 
