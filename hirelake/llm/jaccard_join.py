@@ -271,9 +271,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     Of the class's rows with the kept id, one with the text of least hash stays; where rows of one id and text differ in
     other columns, that of greatest hash over all columns. Further columns may have any name.
     """
-    rid, text, row = unused(docs, "rid_", "text_", "row_")
+    rid, text = unused(docs, "rid_", "text_")
     kept = near_duplicates(docs, **options).filter("kept").groupBy("label").agg(F.min(F.struct("rid", "hash")).alias("row"))
     chosen = kept.select(F.col("row.rid").alias(rid), F.col("row.hash").alias(text)).distinct()
     docs = docs.withColumn(rid, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))).withColumn(text, F.xxhash64("text"))
-    left = docs.join(chosen, [rid, text], "left_semi").withColumn(row, F.struct(rid, text)).drop(rid, text)
-    return one_of_each(left, row).drop(row)
+    left = docs.join(chosen, [rid, text], "left_semi")
+    return one_of_each(left, rid, text).drop(rid, text)  # by the join's own columns: the texts are not dealt again
