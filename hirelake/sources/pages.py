@@ -143,28 +143,43 @@ def census(states: DataFrame, state: str = "state") -> DataFrame:
     return states.select(*keep, F.posexplode(F.array_sort(rated)).alias("n", "x")).select(*keep, (F.col("n") + 1).alias("place"), "x.key", "x.kind", "x.size")
 
 
-def descend(states: DataFrame, state: str = "state", most_levels: int = 64) -> DataFrame:
+def _exploded(rows: DataFrame, what: str, outer: bool = False) -> DataFrame:
+    """rows beside their entries e of the variant in column `_open`."""
+    return rows.sparkSession.sql(f"SELECT {what} FROM {{rows}} s, LATERAL variant_explode{'_outer' if outer else ''}(s._open) e", rows=rows)
+
+
+def descend(states: DataFrame, state: str = "state", most_levels: int = 64, wanted: Column | None = None) -> DataFrame:
     """Every value at any depth: the states' own columns, path, key (of the nearest object; null in a list of the top level), value.
 
-    One level is one `variant_explode` over what the level above left open, so the work follows the values and no state
-    is walked in Python; the walk ends when no container is left.
+    With `wanted`, a condition on path, key and value, only the values that meet it. The levels are chained in one pass:
+    a value found is carried through those below it as it is, and a copy of it is opened. Levels are 4 or twice as many as
+    long as some state has values below them, so a state is read twice and its beginning a few times more, whatever its depth.
     """
-    keep = [c for c in states.columns if c != state]
-    out, open_ = None, states.select(*keep, F.lit("").alias("path"), F.col(state).alias("value"))
+    keep, states = [c for c in states.columns if c != state], states.filter(F.col(state).isNotNull())
+    depth, below = 0, states.select(F.col(state).alias("_open"))
+    while True:
+        more = min(max(4, 2 * depth), most_levels)
+        for _ in range(more - depth):
+            below = _exploded(below, "e.value AS _open")
+        depth = more
+        if _exploded(below, "e.pos").isEmpty():
+            break
+        if depth == most_levels:
+            raise ValueError(f"states of more than {most_levels} levels")
+    rows = states.select(*keep, F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value"), F.col(state).alias("_open"))
     columns = "".join(f"s.`{c}`, " for c in keep)
-    step = f"SELECT {columns}concat(s.path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END) AS path, e.key, e.value FROM {{states}} s, LATERAL variant_explode(s.value) e"
-    for _ in range(most_levels):
-        level = open_.sparkSession.sql(step, states=open_)
-        out = level if out is None else out.unionByName(level)
-        open_ = level.filter(kind_of(F.col("value")).isin("object", "array")).select(*keep, "path", "value")
-        if open_.isEmpty():
-            return out
-    raise ValueError(f"states of more than {most_levels} levels")
+    step = f"""{columns}CASE WHEN e.pos IS NULL THEN s.path WHEN e.key IS NULL THEN concat(s.path, '[', e.pos, ']') ELSE concat(s.path, '.', e.key) END AS path,
+        CASE WHEN e.pos IS NULL THEN s.key ELSE e.key END AS key, CASE WHEN e.pos IS NULL THEN s.value ELSE e.value END AS value, e.pos IS NOT NULL AS _fresh, s._open IS NULL AS _carried"""
+    shut = F.lit(None).cast("variant")
+    meets = F.lit(True) if wanted is None else F.coalesce(wanted, F.lit(False))
+    copies = F.when(F.col("_carried"), F.array(shut)).when(F.col("_fresh") & meets, F.array(shut, "value")).when(F.col("_fresh"), F.array("value"))
+    for _ in range(depth):
+        rows = _exploded(rows, step, outer=True).select(*keep, "path", "key", "value", F.explode(copies).alias("_open"))
+    return rows.filter(F.col("_open").isNull()).select(*keep, "path", "key", "value")
 
 
 def ids_anywhere(states: DataFrame, by: str, state: str = "state", suffix: str = "vacancyId") -> DataFrame:
     """`by`, path, id: whole numbers, or strings of digits, under a key that ends in `suffix` (in any case) at any depth."""
-    found = descend(states.select(by, state), state)
     text = at(F.col("value"))
     ok = F.lower("key").endswith(suffix.lower()) & text.rlike("^[0-9]+$") & kind_of(F.col("value")).isin("number", "string")
-    return found.filter(ok).select(by, "path", text.alias("id"))
+    return descend(states.select(by, state), state, wanted=ok).select(by, "path", text.alias("id"))
