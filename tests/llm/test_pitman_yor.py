@@ -138,3 +138,77 @@ def test_tokens_of_long_and_strange_texts():
     for t, w in zip([x for text in texts for x in plain_tokens(text)], tok.tolist(), strict=True):
         assert names.setdefault(t, w) == w
     assert len(set(names.values())) == len(names)
+
+
+def test_every_word_is_a_context_of_its_own(spark):
+    """Two words whose hashes begin with the same 16 bits are followed by different words: neither learns from the other."""
+    words, seen = [f"context{i}" for i in range(3000)], {}
+    for word, h in zip(words, py.tokens([" ".join(words)])[0].tolist(), strict=False):
+        one, other = seen.setdefault(h >> 48, word), word
+        if one != other:
+            break
+    learned = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(1, 400) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = [(i, f"{one} apple" if n % 2 else f"{other} pear", "en", "s", 7) for n, i in enumerate(learned)]
+    rows += [(i, f"{a} {b}", "en", "s", 7) for i, (a, b) in zip(held, [(one, "apple"), (one, "pear"), (other, "pear"), (other, "apple")], strict=True)]
+    got = {r.doc_id: r.score for r in py.score(spark.createDataFrame(rows, DOCS)).collect()}
+    for right, wrong in (held[:2], held[2:]):
+        assert got[right] > got[wrong] + 1
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_contexts_hold_their_followers_and_sum_to_one(spark, monkeypatch, hot):
+    """Customers of each context against plain Python; tables between the distinct followers and one; probabilities after seen contexts."""
+    monkeypatch.setattr(py, "BLOCK", 500)  # many blocks tell one part
+    docs = documents(spark, SMALL).filter("doc_id < 60")
+    deal = py.plan(docs)
+    deal = deal if hot else py.Plan(7, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    model = py.fit(docs, deal)
+    blocks = [py.unpack(r.block, py.MODEL) for r in model.blocks.collect()]
+    told = tuple(py.unpack(r.block, "<u8 <f8") for r in model.told.collect())
+    lookup = py.Lookup(blocks, deal, model.discount, model.hot_counts, model.hot_less, told)
+    words = lookup.words
+    n, _, tables = lookup.known(words)
+    at = deal.among(words)
+    n[at >= 0], tables[at >= 0] = model.hot_counts[at[at >= 0]].astype(np.uint64), model.hot_tables[at[at >= 0]]
+    followers = {}
+    for r in docs.collect():
+        tok = [int(x) for x in py.tokens([r.text or ""])[0]]
+        for a, b in zip([int(py.END), *tok], tok, strict=False):
+            followers.setdefault(a, Counter())[b] += 1
+    assert {int(w): int(k) for w, k in zip(words, n, strict=True)} == {w: sum(f.values()) for w, f in followers.items()}
+    most = np.array([sum(followers[int(w)].values()) for w in words])
+    least = np.array([len(followers[int(w)]) for w in words])
+    assert (tables <= most[:, None]).all() and (tables >= least[:, None]).all() and (tables.mean(axis=1) > least).any()
+    every = np.append(words, np.uint64(3))  # and one word that was not seen
+    for c in np.flatnonzero(np.isin(words, sorted(followers, key=lambda w: -sum(followers[w].values()))[:20])).tolist() + list(range(0, len(words), 400)):
+        _, less, direct = lookup.find(every, np.ones(len(every), np.int64), np.full(len(every), words[c]))
+        assert (direct > 0).sum() == len(followers[int(words[c])])
+        total = model.predictive(direct, np.full(len(every), c), model.root(less), n.astype(np.float64), tables).sum()
+        assert total == pytest.approx(1, abs=1e-9)
+
+
+def test_words_of_a_very_long_text_are_told_apart(monkeypatch):
+    """Pairs and their documents, whether or not their numbers fit one key."""
+    rng = np.random.default_rng(5)
+    each = np.array([5, 1, 40, 30])
+    tok = rng.integers(1, 9, each.sum()).astype(np.uint64)
+    tok[np.cumsum(each) - 1] = py.END
+    words, w, c, times, doc = py._entries(tok, each)
+    got = sorted(zip(np.repeat(words[w], times).tolist(), np.repeat(words[c], times).tolist(), doc.tolist(), strict=True))
+    want = sorted(zip(tok.tolist(), py.context(tok).tolist(), np.repeat(np.arange(4), each).tolist(), strict=True))
+    assert got == want and (np.diff(w * 100 + c) > 0).all()
+    monkeypatch.setattr(py, "WIDE", 8)
+    assert all((a == b).all() for a, b in zip(py._entries(tok, each), (words, w, c, times, doc), strict=True))
+
+
+def test_texts_in_several_goes(spark, monkeypatch):
+    docs = documents(spark, SMALL).filter("doc_id % 4 = 0")
+    docs = docs.unionByName(docs.filter("doc_id % 8 = 0"))
+    one = sorted(map(tuple, py.score(docs).collect()))
+    monkeypatch.setattr(py, "ONE_GO", 1)
+    assert py.plan(docs).goes == py.GOES
+    got = sorted(map(tuple, py.score(docs).collect()))
+    assert len(got) == len(one)
+    for a, b in zip(got, one, strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-6)
